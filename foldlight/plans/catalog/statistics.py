@@ -27,14 +27,14 @@ def even_tail(x: str, degrees: int) -> str:
 @query(
     "q1_column_stats",
     " UNION ALL ".join(
-        f"""SELECT {i} AS feature, round(avg({f}), 6) AS mean, round(var_samp({f}), 6) AS variance,
+        f"""SELECT {i} AS feature, round(avg({f}), 8) AS mean, round(var_samp({f}), 8) AS variance,
         count(*) FILTER ({f} <> 0) AS non_zeros FROM lineitem"""
         for i, f in enumerate(SQL_FEATURES)
     ),
 )
 def q1_column_stats(spark, folder):
     out = stats.column_stats(line_features(spark, folder))
-    return out.select("feature", *rounded(6, "mean", "variance"), "non_zeros")
+    return out.select("feature", *rounded(8, "mean", "variance"), "non_zeros")
 
 
 def lines(spark, folder):
@@ -182,7 +182,7 @@ def p12_significant(spark, folder):
     """WITH z AS (SELECT (c_acctbal - 4500.0) / 3200.0 AS z FROM customer),
     d AS (SELECT z, rank() OVER (ORDER BY z) - 1 AS below,
             count(*) OVER (ORDER BY z RANGE UNBOUNDED PRECEDING) AS upto, count(*) OVER () AS n FROM z),
-    series AS (SELECT *, CASE WHEN z = 0 THEN 0.0 ELSE sign(z) * list_sum(list_transform(range(0, 60), i ->
+    series AS (SELECT *, CASE WHEN z = 0 THEN 0.0 ELSE sign(z) * list_sum(list_transform(range(0, 60), lambda i:
             exp((2 * i + 1) * ln(abs(z)) - lgamma(2.0 * i + 2) + i * ln(2) + lgamma(i + 1.0)))) END AS s FROM d),
     f AS (SELECT *, 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * s AS cdf FROM series)
     SELECT round(max(greatest(cdf - below / n, upto / n - cdf)), 7) AS statistic, max(n) AS rows FROM f""",
@@ -199,7 +199,7 @@ POINTS = (-500.0, 0.0, 1000.0, 2500.0, 5000.0, 7500.0, 9999.0)
 
 @query(
     "q8_kernel_density",
-    f"""SELECT p AS point, round(avg(exp(-((c_acctbal - p) / 300.0) ** 2 / 2)) / (300.0 * sqrt(2 * pi())), 10)
+    f"""SELECT p AS point, round(avg(exp(-((((c_acctbal - p) / 300.0) ** 2) / 2))) / (300.0 * sqrt(2 * pi())), 10)
       AS density
     FROM customer CROSS JOIN (VALUES {', '.join(f'({p}::DOUBLE)' for p in POINTS)}) v(p) GROUP BY p""",
 )
