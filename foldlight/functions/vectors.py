@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -25,8 +26,14 @@ def as_array(df: DataFrame, name: str = "features") -> DataFrame:
 
 
 def doubles(values: Sequence[float]) -> Column:
-    """Literal array<double>."""
-    return P.array(*[P.lit(float(v)) for v in values])
+    """Literal array<double>; one string in the plan, parsed once when it is optimized."""
+    return P.from_json(P.lit(json.dumps([float(v) for v in values])), "array<double>")
+
+
+def points(rows: Sequence[Sequence[float]]) -> Column:
+    """Literal array<array<double>>."""
+    text = json.dumps([[float(v) for v in row] for row in rows])
+    return P.from_json(P.lit(text), "array<array<double>>")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -78,7 +78,7 @@ def fit_linear_svm(
 ) -> LinearSVCModel | OneVsRestModel:
     """M4: linear support vector machine; one against the rest for more than two classes."""
     svm = LinearSVC(maxIter=iterations, regParam=reg, **params)
-    return _fit(svm if classes == 2 else OneVsRest(classifier=svm), df)
+    return _fit(svm if classes == 2 else OneVsRest(classifier=svm, parallelism=4), df)
 
 
 def fit_naive_bayes(

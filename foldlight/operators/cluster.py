@@ -19,7 +19,7 @@ from pyspark.ml.clustering import (
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as P
 
-from foldlight.functions.vectors import as_array, as_vector, doubles, squared_distance
+from foldlight.functions.vectors import as_array, as_vector, points, squared_distance
 from foldlight.session import enable_checkpoints
 
 
@@ -33,27 +33,27 @@ def centers(model: KMeansModel | BisectingKMeansModel) -> list[list[float]]:
     return [[float(x) for x in c] for c in model.clusterCenters()]
 
 
-def _distances(features: str, points: Sequence[Sequence[float]]) -> Column:
-    return P.array(*[squared_distance(P.col(features), doubles(p)) for p in points])
+def _distances(features: str, centres: Sequence[Sequence[float]]) -> Column:
+    return P.transform(points(centres), lambda c: squared_distance(P.col(features), c))
 
 
 def assign_clusters(
     df: DataFrame,
-    points: Sequence[Sequence[float]],
+    centres: Sequence[Sequence[float]],
     features: str = "features",
     name: str = "cluster",
 ) -> DataFrame:
     """Number of the nearest centre (the first of equals) for each row."""
-    near = as_array(df, features).withColumn("_d", _distances(features, points))
+    near = as_array(df, features).withColumn("_d", _distances(features, centres))
     nearest = P.array_position("_d", P.array_min("_d")) - 1
     return near.withColumn(name, nearest.cast("int")).drop("_d")
 
 
 def within_cluster_cost(
-    df: DataFrame, points: Sequence[Sequence[float]], features: str = "features"
+    df: DataFrame, centres: Sequence[Sequence[float]], features: str = "features"
 ) -> DataFrame:
     """Sum over the rows of the squared distance to the nearest centre."""
-    nearest = P.array_min(_distances(features, points))
+    nearest = P.array_min(_distances(features, centres))
     return as_array(df, features).agg(P.sum(nearest).alias("cost"))
 
 

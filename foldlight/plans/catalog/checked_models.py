@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as P
 
-from foldlight.functions.vectors import as_vector, doubles, squared_distance
+from foldlight.functions.vectors import as_vector, points, squared_distance
 from foldlight.operators import classify, cluster, recommend, regress
 from foldlight.plans import cross_validation
 from foldlight.plans.catalog.registry import (
@@ -14,7 +15,6 @@ from foldlight.plans.catalog.registry import (
     LINE_KEY,
     SQL_FEATURES,
     SQL_LABEL,
-    class_label,
     embedding_rows,
     line_features,
     query,
@@ -206,9 +206,10 @@ def _split_sql(target: str, gain: str, leaf: str) -> str:
 
 GINI = "(s0 ** 2 + s1 ** 2 + s2 ** 2) / n + (r0 ** 2 + r1 ** 2 + r2 ** 2) / m"
 VARIANCE = "s0 ** 2 / n + r0 ** 2 / m"
+SIZE = "l_quantity * l_linenumber"
 CLASS_TOTALS = (
-    "count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS s0, "
-    "count(*) FILTER (l_returnflag = 'N') AS s1, count(*) FILTER (l_returnflag = 'R') AS s2"
+    f"count(*) AS n, count(*) FILTER ({SIZE} < 50) AS s0, "
+    f"count(*) FILTER ({SIZE} >= 50 AND {SIZE} < 150) AS s1, count(*) FILTER ({SIZE} >= 150) AS s2"
 )
 PRICE_TOTALS = (
     "count(*) AS n, sum(l_extendedprice / 1000.0::DOUBLE) AS s0, 0 AS s1, 0 AS s2"
@@ -234,7 +235,8 @@ def leaf_counts(df, value):
 
 
 def _class_rows(spark, folder):
-    return split_rows(spark, folder, class_label())
+    size = P.expr(SIZE)
+    return split_rows(spark, folder, P.when(size < 50, 0.0).when(size < 150, 1.0).otherwise(2.0))
 
 
 def _price_rows(spark, folder):
@@ -324,10 +326,9 @@ def m2_logistic_calibration(spark, folder):
 
 def class_centres(spark, folder):
     """Mean embedding of each label: labels x 64 numbers."""
-    rows = embedding_rows(spark, folder).select("label", P.posexplode("features").alias("i", "v"))
-    means = rows.groupBy("label", "i").agg(P.avg("v").alias("m"))
-    packed = means.groupBy("label").agg(P.sort_array(P.collect_list(P.struct("i", "m"))).alias("c"))
-    return [[x["m"] for x in r["c"]] for r in packed.orderBy("label").collect()]
+    rows = as_vector(embedding_rows(spark, folder))
+    means = rows.groupBy("label").agg(Summarizer.mean(P.col("features")).alias("m"))
+    return [list(r["m"]) for r in means.orderBy("label").collect()]
 
 
 SQL_NEAREST = """
@@ -362,24 +363,21 @@ SQL_TOTAL = """SELECT round(sum(s), 3) AS total FROM (
 def split_of_squares(model, rows):
     """Cost around the centres plus the spread of the centres; equals the total sum of squares
     about the mean exactly when every centre is the mean of its own rows."""
-    points = cluster.centers(model)
+    centres = cluster.centers(model)
     scored = model.transform(as_vector(rows)).select(
         "prediction", vector_to_array("features").alias("x")
     )
-    centre = P.element_at(P.array(*[doubles(p) for p in points]), P.col("prediction") + 1)
+    centre = P.element_at(points(centres), P.col("prediction") + 1)
     summed = scored.select("x", centre.alias("c")).select(
         squared_distance(P.col("x"), P.col("c")).alias("within"),
         P.aggregate("c", P.lit(0.0), lambda s, v: s + v * v).alias("squares"),
         "c",
     )
-    dims = len(points[0])
     # |c - mean|^2 summed over the rows = sum |c|^2 - rows * |mean c|^2
-    mean_c = [P.avg(P.col("c")[i]) for i in range(dims)]
-    rest = sum((m * m for m in mean_c), P.lit(0.0))
+    mean_c = vector_to_array(Summarizer.mean(array_to_vector(P.col("c"))))
+    rest = P.aggregate(mean_c, P.lit(0.0), lambda s, v: s + v * v)
     return summed.agg(
-        P.round(
-            P.sum("within") + P.sum("squares") - P.count(P.lit(1)) * rest, 3
-        ).alias("total")
+        P.round(P.sum("within") + P.sum("squares") - P.count(P.lit(1)) * rest, 3).alias("total")
     )
 
 

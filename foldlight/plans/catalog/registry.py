@@ -206,3 +206,21 @@ def quality_rows(spark: SparkSession, folder: str) -> DataFrame:
             P.log1p(words), P.log1p(lines), digits / chars, marks / chars, words / chars
         ).alias("features"),
     )
+
+
+def priced_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """lineitem with its part as (label = price, features) for regressors."""
+    lines = table(spark, folder, "lineitem").select(
+        "l_partkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice"
+    )
+    parts = table(spark, folder, "part").select("p_partkey", "p_retailprice", "p_size")
+    return lines.join(parts, P.col("l_partkey") == P.col("p_partkey")).select(
+        (P.col("l_extendedprice") / 1000.0).alias("label"),
+        P.array(
+            P.col("l_quantity"),
+            P.col("p_retailprice"),
+            P.col("p_size").cast("double"),
+            P.col("l_discount"),
+            P.col("l_tax"),
+        ).alias("features"),
+    )

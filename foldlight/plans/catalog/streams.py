@@ -1 +1,100 @@
-"""."""
+"""Streaming test over the events, fed as text files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as P
+
+from foldlight.plans.catalog.registry import query
+from foldlight.plans.catalog.statistics import SQL_WELCH, welch_columns
+from foldlight.session import scratch_path
+from foldlight.sources.readers import stream_samples, table
+from foldlight.streaming import welch
+
+FILES = 6
+
+
+def sample_files(spark, folder, name="samples", keep=None):
+    """events as ``label,value`` text files in a new folder."""
+    events = table(spark, folder, "events")
+    if keep is not None:
+        events = events.filter(keep)
+    line = P.concat_ws(
+        ", ", (P.col("event_type") == "purchase").cast("string"), P.col("value").cast("string")
+    )
+    path = scratch_path(spark, name)
+    events.select(line.alias("value")).repartition(FILES).write.text(path)
+    return path
+
+
+@query(
+    "s9_stream_samples",
+    """SELECT event_type = 'purchase' AS label, count(*) AS n, round(sum(value), 4) AS total
+    FROM events GROUP BY 1""",
+)
+def s9_stream_samples(spark, folder):
+    samples = stream_samples(spark, sample_files(spark, folder))
+    path = scratch_path(spark, "sums")
+
+    def keep(batch, batch_id):
+        batch.groupBy("label").agg(
+            P.count(P.lit(1)).alias("n"), P.sum("value").alias("total")
+        ).write.mode("overwrite").parquet(f"{path}/sums/b{batch_id}")
+
+    query_ = (
+        samples.writeStream.foreachBatch(keep)
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query_.awaitTermination()
+    sums = spark.read.schema("label boolean, n long, total double").parquet(f"{path}/sums/*")
+    return sums.groupBy("label").agg(
+        P.sum("n").alias("n"), P.round(P.sum("total"), 4).alias("total")
+    )
+
+
+def last_row(results):
+    return results.orderBy(P.desc("batch_id")).limit(1)
+
+
+@query("w1_streaming_welch", f"WITH {SQL_WELCH}")
+def w1_streaming_welch(spark, folder):
+    """One file per batch; the test after the last batch covers all rows."""
+    stream = stream_samples(spark, sample_files(spark, folder), files_per_batch=1)
+    running = welch.streaming_welch(stream)
+    running.query.awaitTermination()
+    return welch_columns(last_row(running.results(spark)))
+
+
+@query("w1_streaming_welch_window")
+def w1_streaming_welch_window(spark, folder):
+    """Two batches ignored, then tests over the last three batches."""
+    stream = stream_samples(spark, sample_files(spark, folder), files_per_batch=1)
+    running = welch.streaming_welch(stream, peace_period=2, window_size=3)
+    running.query.awaitTermination()
+    return running.results(spark).select("batch_id", "n0", "n1", "t", "degrees", "p_value")
+
+
+@query("w2_stop_when_significant")
+def w2_stop_when_significant(spark, folder):
+    """Stops at the first significant batch or after three batches."""
+    stream = stream_samples(spark, sample_files(spark, folder), files_per_batch=1)
+    running, reason = welch.stop_when_significant(
+        lambda watch: welch.streaming_welch(stream, on_result=watch), alpha=0.05, max_batches=3
+    )
+    return running.results(spark).select(P.lit(reason).alias("reason"), "batch_id", "p_value")
+
+
+@query("w3_restart_from_checkpoint", f"WITH {SQL_WELCH}")
+def w3_restart_from_checkpoint(spark, folder):
+    """Stopped after the first half of the files, restarted for the second."""
+    early = sample_files(spark, folder, "early", P.col("event_id") % 2 == 0)
+    late = sample_files(spark, folder, "late", P.col("event_id") % 2 == 1)
+    inbox = scratch_path(spark, "inbox")
+    state = scratch_path(spark, "welch")
+    for part in (early, late):
+        spark.read.text(part).write.mode("append").text(inbox)
+        stream = stream_samples(spark, inbox, files_per_batch=2)
+        running = welch.streaming_welch(stream, folder=state)
+        running.query.awaitTermination()
+    return welch_columns(last_row(running.results(spark)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as P
 
-from foldlight.operators import features
+from foldlight.operators import features, stats
 from foldlight.plans.catalog.registry import (
     LINE_KEY,
     embedding_rows,
@@ -228,8 +228,8 @@ def t7_embedding_components(spark, folder):
     model, loadings = features.principal_components(rows, 64)
     squares = P.sum(P.col("loading") * P.col("loading")).alias("squares")
     lengths = loadings.agg(P.count_distinct("component").alias("components"), squares)
-    spread = features.project(rows, model).select(P.posexplode("projected").alias("i", "v"))
-    total = spread.groupBy("i").agg(P.var_samp("v").alias("s")).agg(P.sum("s")).scalar()
+    spread = stats.column_stats(features.project(rows, model), "projected")
+    total = spread.agg(P.sum("variance")).scalar()
     return lengths.select(
         P.round(total, 6).alias("total_variance"), "components", *rounded(6, "squares")
     )
