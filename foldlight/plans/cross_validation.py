@@ -25,16 +25,22 @@ from foldlight.session import materialize
 SCORES = ("f_measure", "precision", "recall", "accuracy")
 
 
-def _scored(model: Model, rows: DataFrame, label: str, prediction: str, keep: Sequence[str]):
+def _scored(
+    model: Model,
+    rows: DataFrame,
+    label: str,
+    prediction: str,
+    keep: Sequence[str],
+    positive: int,
+) -> DataFrame:
     out = model.transform(rows)
-    if "probability" in out.columns:
-        score = vector_to_array("probability")
-    elif "rawPrediction" in out.columns:
-        score = vector_to_array("rawPrediction")
-    else:
-        score = None
-    # the score of class 1; null where there are not exactly two classes
-    value = P.when(P.size(score) == 2, score[1]) if score is not None else P.lit(None)
+    # the score of the positive class; null where there are not exactly two classes
+    value = P.lit(None)
+    for source in ("probability", "rawPrediction"):
+        if source in out.columns:
+            score = vector_to_array(source)
+            value = P.when(P.size(score) == 2, score[positive])
+            break
     return out.select(
         "fold",
         *keep,
@@ -52,9 +58,15 @@ def score_folds(
     prediction: str = "prediction",
     keep: Sequence[str] = (),
     parallelism: int = 5,
+    training_rows: bool = False,
+    positive: int = 1,
 ) -> DataFrame:
     """Fit on k - 1 folds, score the rest, for each fold; one written table of all scores.
 
+    ``positive`` is the place of class 1 in the model's score vector. With
+    ``training_rows`` each model scores the rows it was fitted on instead,
+    to pick thresholds without looking at the validation fold.
+
     ``folded`` has an int ``fold`` column. It is written once, ordered by fold
     inside each file, so that every fit and every scoring pass reads prepared
     columns and skips the pages of the folds it does not need. Errors of a fold
@@ -69,10 +81,13 @@ def score_folds(
 
     with ThreadPool(min(parallelism, k)) as pool:
         models = pool.map(inheritable_thread_target(folded.sparkSession)(fit), range(k))
-    parts = [
-        _scored(m, kept.filter(P.col("fold") == i), label, prediction, keep)
-        for i, m in enumerate(models)
-    ]
+
+    def rows(i: int) -> DataFrame:
+        if training_rows:
+            return kept.filter(P.col("fold") != i).withColumn("fold", P.lit(i))
+        return kept.filter(P.col("fold") == i)
+
+    parts = [_scored(m, rows(i), label, prediction, keep, positive) for i, m in enumerate(models)]
     return materialize(reduce(DataFrame.unionAll, parts), "scored")
 
 
@@ -80,6 +95,8 @@ def fold_scores(scored: DataFrame, classes: Sequence[float] | None = None) -> Da
     """Rows, macro scores, accuracy and (binary data) area under ROC of each fold."""
     result = fold_counts(scored).join(macro_metrics(scored, classes, by=["fold"]), "fold")
     binary = scored.filter(P.col("score").isNotNull())
+    if binary.isEmpty():
+        return result.withColumn("area_under_roc", P.lit(None).cast("double"))
     areas = binary_areas(threshold_curves(binary, by=["fold"]), by=["fold"])
     return result.join(areas.select("fold", "area_under_roc"), "fold", "left")
 
@@ -93,11 +110,19 @@ def cross_validate(
     classes: Sequence[float] | None = None,
     label: str = "label",
     prediction: str = "prediction",
+    keep: Sequence[str] | None = None,
     parallelism: int = 5,
+    positive: int = 1,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scored rows, per-fold scores, their means)."""
+    """(scored rows, per-fold scores, their means).
+
+    The scored rows carry the ``keep`` columns, the key if not given.
+    """
     folded = k_fold(df, k, seed, key)
-    scored = score_folds(estimator, folded, k, label, prediction, tuple(key), parallelism)
+    kept = tuple(key) if keep is None else tuple(keep)
+    scored = score_folds(
+        estimator, folded, k, label, prediction, kept, parallelism, positive=positive
+    )
     per_fold = fold_scores(scored, classes)
     return scored, per_fold, fold_summary(per_fold, (*SCORES, "area_under_roc"))
 

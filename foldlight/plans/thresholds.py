@@ -100,14 +100,18 @@ def best_candidate(means: DataFrame) -> DataFrame:
 
 
 def search_from_scores(
-    scored: DataFrame, folds: int, min_f1: float | None = None
+    scored: DataFrame,
+    folds: int,
+    min_f1: float | None = None,
+    proposing: DataFrame | None = None,
 ) -> DataFrame:
     """The whole search: candidates from the folds' curves, then the best of them.
 
     Without ``min_f1`` each fold proposes its best threshold, with it all
-    thresholds above that F1.
+    thresholds above that F1. ``proposing`` is another scored table to take the
+    candidates from, such as the folds' training rows.
     """
-    curves = threshold_curves(scored, by=["fold"])
+    curves = threshold_curves(scored if proposing is None else proposing, by=["fold"])
     if min_f1 is None:
         candidates = best_threshold(curves).select("threshold")
     else:
