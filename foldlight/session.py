@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_private: dict[str, str] = {}  # application id -> folder, for local masters only
+
 
 def local_session(cores: str | int = "*", app: str = "foldlight", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
@@ -37,11 +39,12 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="foldlight-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if sc.applicationId not in _private:
+        _private[sc.applicationId] = tempfile.mkdtemp(prefix="foldlight-", dir="/tmp")
+    return _private[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
