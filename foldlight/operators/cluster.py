@@ -57,9 +57,11 @@ def within_cluster_cost(
     return as_array(df, features).agg(P.sum(nearest).alias("cost"))
 
 
-def fit_bisecting_kmeans(df: DataFrame, k: int = 4, seed: int = 1) -> BisectingKMeansModel:
+def fit_bisecting_kmeans(
+    df: DataFrame, k: int = 4, iterations: int = 20, seed: int = 1
+) -> BisectingKMeansModel:
     """C4: bisecting k-means."""
-    return BisectingKMeans(k=k, seed=seed).fit(as_vector(df))
+    return BisectingKMeans(k=k, maxIter=iterations, seed=seed).fit(as_vector(df))
 
 
 def fit_gaussian_mixture(

@@ -390,7 +390,7 @@ def c1_kmeans_sum_of_squares(spark, folder):
 @query("c4_bisecting_sum_of_squares", SQL_TOTAL)
 def c4_bisecting_sum_of_squares(spark, folder):
     rows = embedding_rows(spark, folder).select("features")
-    return split_of_squares(cluster.fit_bisecting_kmeans(rows, 4), rows)
+    return split_of_squares(cluster.fit_bisecting_kmeans(rows, 4, iterations=100), rows)
 
 
 @query(

@@ -18,37 +18,37 @@ def curves(spark, folder):
 @query(
     "e6_threshold_curves",
     f"""WITH {SQL_CURVES}
-    SELECT fold, threshold, tp, fp, {sql_rounded(8, 'precision', 'recall', 'f1', 'f2')} FROM curves""",
+    SELECT fold, threshold, tp, fp, {sql_rounded(9, 'precision', 'recall', 'f1', 'f2')} FROM curves""",
 )
 def e6_threshold_curves(spark, folder):
     return curves(spark, folder).select(
-        "fold", "threshold", "tp", "fp", *rounded(8, "precision", "recall", "f1", "f2")
+        "fold", "threshold", "tp", "fp", *rounded(9, "precision", "recall", "f1", "f2")
     )
 
 
 @query(
     "e7_pr_curve",
     f"""WITH {SQL_CURVES}
-    SELECT fold, threshold, {sql_rounded(8, 'recall', 'precision')} FROM curves
+    SELECT fold, threshold, {sql_rounded(9, 'recall', 'precision')} FROM curves
     UNION ALL
-    SELECT fold, NULL, 0.0, {sql_rounded(8, 'precision')} FROM curves
+    SELECT fold, NULL, 0.0, {sql_rounded(9, 'precision')} FROM curves
     QUALIFY row_number() OVER (PARTITION BY fold ORDER BY threshold DESC) = 1""",
 )
 def e7_pr_curve(spark, folder):
     points = evaluate.pr_curve(curves(spark, folder), ["fold"])
-    return points.select("fold", "threshold", *rounded(8, "recall", "precision"))
+    return points.select("fold", "threshold", *rounded(9, "recall", "precision"))
 
 
 @query(
     "e8_roc_curve",
     f"""WITH {SQL_CURVES}
-    SELECT fold, threshold, round(fpr, 8) + 0.0 AS fpr, round(recall, 8) + 0.0 AS tpr FROM curves
+    SELECT fold, threshold, round(fpr, 9) + 0.0 AS fpr, round(recall, 9) + 0.0 AS tpr FROM curves
     UNION ALL SELECT DISTINCT fold, CAST(NULL AS DOUBLE), v.x, v.x
     FROM curves, (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) v(x)""",
 )
 def e8_roc_curve(spark, folder):
     points = evaluate.roc_curve(curves(spark, folder), ["fold"])
-    return points.select("fold", "threshold", *rounded(8, "fpr", "tpr"))
+    return points.select("fold", "threshold", *rounded(9, "fpr", "tpr"))
 
 
 @query(
@@ -58,13 +58,13 @@ def e8_roc_curve(spark, folder):
         coalesce(lag(recall) OVER w, 0) AS r0, coalesce(lag(precision) OVER w, precision) AS p0,
         coalesce(lag(fpr) OVER w, 0) AS f0
       FROM curves WINDOW w AS (PARTITION BY fold ORDER BY threshold DESC))
-    SELECT fold, round(sum((recall - r0) * (precision + p0) / 2), 8) AS area_under_pr,
-      round(sum((fpr - f0) * (recall + r0) / 2), 8) AS area_under_roc
+    SELECT fold, round(sum((recall - r0) * (precision + p0) / 2), 9) AS area_under_pr,
+      round(sum((fpr - f0) * (recall + r0) / 2), 9) AS area_under_roc
     FROM steps GROUP BY fold""",
 )
 def e9_areas(spark, folder):
     areas = evaluate.binary_areas(curves(spark, folder), ["fold"])
-    return areas.select("fold", *rounded(8, "area_under_pr", "area_under_roc"))
+    return areas.select("fold", *rounded(9, "area_under_pr", "area_under_roc"))
 
 
 @query("p11_thresholds", f"WITH {SQL_CURVES} SELECT fold, threshold FROM curves")
@@ -80,11 +80,11 @@ best AS (
 
 @query(
     "n3_best_threshold",
-    f"WITH {SQL_CURVES}, {BEST} SELECT fold, threshold, round(f1, 8) AS f1 FROM best",
+    f"WITH {SQL_CURVES}, {BEST} SELECT fold, threshold, round(f1, 9) AS f1 FROM best",
 )
 def n3_best_threshold(spark, folder):
     best = thresholds.best_threshold(curves(spark, folder))
-    return best.select("fold", "threshold", *rounded(8, "f1"))
+    return best.select("fold", "threshold", *rounded(9, "f1"))
 
 
 @query(
@@ -126,23 +126,23 @@ MANY = search_sql(f"SELECT DISTINCT threshold FROM curves WHERE f1 > {MIN_F1}")
 @query(
     "n5_threshold_search",
     f"""WITH {SQL_CURVES}, {MANY}
-    SELECT threshold, {sql_rounded(8, *SEARCH_COLUMNS)} FROM found""",
+    SELECT threshold, {sql_rounded(9, *SEARCH_COLUMNS)} FROM found""",
 )
 def n5_threshold_search(spark, folder):
     candidates = thresholds.candidate_thresholds(curves(spark, folder), MIN_F1)
     means = thresholds.threshold_search(scored_events(spark, folder), candidates, 5)
-    return means.select("threshold", *rounded(8, *SEARCH_COLUMNS))
+    return means.select("threshold", *rounded(9, *SEARCH_COLUMNS))
 
 
 @query(
     "n5_best_of_folds",
     f"""WITH {SQL_CURVES}, {BEST}, {search_sql("SELECT DISTINCT threshold FROM best")}
-    SELECT threshold, {sql_rounded(8, *SEARCH_COLUMNS)} FROM found
-    ORDER BY round(found.f_measure, 12) DESC, threshold DESC LIMIT 1""",
+    SELECT threshold, {sql_rounded(9, *SEARCH_COLUMNS)} FROM found
+    ORDER BY round(found.f_measure, 9) DESC, threshold DESC LIMIT 1""",
 )
 def n5_best_of_folds(spark, folder):
     best = thresholds.search_from_scores(scored_events(spark, folder), 5)
-    return best.select("threshold", *rounded(8, *SEARCH_COLUMNS))
+    return best.select("threshold", *rounded(9, *SEARCH_COLUMNS))
 
 
 @query(

@@ -31,7 +31,7 @@ from foldlight.sources import readers, sinks
 from foldlight.sources.readers import table
 
 SQL_LINES = f"""SELECT {SQL_LABEL} AS label, count(*) AS n,
-  {', '.join(f'round(sum({f}), 4) AS f{i}' for i, f in enumerate(SQL_FEATURES))}
+  {', '.join(f'round(sum({f}), 5) AS f{i}' for i, f in enumerate(SQL_FEATURES))}
 FROM lineitem GROUP BY 1"""
 
 
@@ -54,7 +54,7 @@ def line_sums(df, by=("label",)):
     f = P.col("features")
     return df.groupBy(*by).agg(
         P.count(P.lit(1)).alias("n"),
-        *[P.round(P.sum(f[i]), 4).alias(f"f{i}") for i in range(4)],
+        *[P.round(P.sum(f[i]), 5).alias(f"f{i}") for i in range(4)],
     )
 
 
@@ -68,7 +68,7 @@ def s1_read_class_features(spark, folder):
 
 @query(
     "s2_read_feature_vectors",
-    f"""SELECT count(*) AS n, {', '.join(f'round(sum({f}), 4) AS f{i}' for i, f in enumerate(SQL_FEATURES))}
+    f"""SELECT count(*) AS n, {', '.join(f'round(sum({f}), 5) AS f{i}' for i, f in enumerate(SQL_FEATURES))}
     FROM lineitem""",
 )
 def s2_read_feature_vectors(spark, folder):
@@ -99,7 +99,7 @@ def s4_read_libsvm_dense(spark, folder):
 
 @query(
     "s5_read_number_rows",
-    f"""SELECT count(*) AS n, {', '.join(f'round(sum({f}), 4) AS f{i}' for i, f in enumerate(SQL_FEATURES))}
+    f"""SELECT count(*) AS n, {', '.join(f'round(sum({f}), 5) AS f{i}' for i, f in enumerate(SQL_FEATURES))}
     FROM lineitem""",
 )
 def s5_read_number_rows(spark, folder):

@@ -206,7 +206,7 @@ def j1_relevant_documents(spark, folder):
       SELECT r."user", r.item, m.best AS prediction FROM rated r
       JOIN (SELECT "user", item, max(rating) AS best FROM rated GROUP BY ALL) m
         ON m."user" = r."user" AND m.item = r.item)
-    SELECT r."user", count(*) AS pairs, round(avg((prediction - rating) ** 2), 6) + 0.0 AS mse
+    SELECT r."user", count(*) AS pairs, round(sqrt(avg((prediction - rating) ** 2)), 8) AS rmse
     FROM rated r JOIN predicted p ON p."user" = r."user" AND p.item = r.item GROUP BY ALL""",
 )
 def j2_rates_and_predictions(spark, folder):
@@ -217,7 +217,9 @@ def j2_rates_and_predictions(spark, folder):
     joined = reshape.rates_and_predictions(rated, predicted)
     scores = reshape.mean_squared_error(joined, ["user"], weight="copies")
     pairs = joined.groupBy("user").agg(P.sum("copies").alias("pairs"))
-    return pairs.join(scores, "user").select("user", "pairs", *rounded(6, "mse"))
+    return pairs.join(scores, "user").select(
+        "user", "pairs", P.round(P.sqrt("mse"), 8).alias("rmse")
+    )
 
 
 @query(
@@ -251,13 +253,13 @@ def a1_item_lists(spark, folder):
         {', '.join(f"sum(hit) FILTER (rank <= {k}) / {k}.0 AS p{k}, coalesce(sum(hit / log2(rank + 1)) FILTER (rank <= {k}), 0) AS g{k}" for k in (1, 3, 5))},
         sum(hit * hits / rank) AS ap FROM marked GROUP BY ALL)
     SELECT count(*) AS users,
-      {', '.join(f"round(avg(CASE WHEN n_relevant = 0 THEN 0.0 ELSE p{k} END), 6) AS precision_at_{k}, round(avg(CASE WHEN n_relevant = 0 THEN 0.0 ELSE g{k} / (SELECT best FROM ideal WHERE k = {k} AND m = least({k}, greatest(n_relevant, 1))) END), 6) AS ndcg_at_{k}" for k in (1, 3, 5))},
-      round(avg(CASE WHEN n_relevant = 0 THEN 0.0 ELSE ap / n_relevant END), 6) AS mean_average_precision
+      {', '.join(f"round(avg(CASE WHEN n_relevant = 0 THEN 0.0 ELSE p{k} END), 10) AS precision_at_{k}, round(avg(CASE WHEN n_relevant = 0 THEN 0.0 ELSE g{k} / (SELECT best FROM ideal WHERE k = {k} AND m = least({k}, greatest(n_relevant, 1))) END), 10) AS ndcg_at_{k}" for k in (1, 3, 5))},
+      round(avg(CASE WHEN n_relevant = 0 THEN 0.0 ELSE ap / n_relevant END), 10) AS mean_average_precision
     FROM per_user""",
 )
 def e14_ranking_metrics(spark, folder):
     scores = evaluate.ranking_metrics(relevant(spark, folder), (1, 3, 5))
-    return scores.select("users", *rounded(6, *scores.columns[1:]))
+    return scores.select("users", *rounded(10, *scores.columns[1:]))
 
 
 PRICED = """

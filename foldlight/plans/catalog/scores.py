@@ -51,7 +51,7 @@ def e1_confusion_matrix(spark, folder):
     "e2_per_class_metrics",
     f"""WITH {SQL_RULED}, {PER_CLASS}
     SELECT fold, class, tp, true_n, pred_n, rows,
-      {sql_rounded(8, 'precision', 'recall', 'f_measure', 'fpr')} FROM scores""",
+      {sql_rounded(9, 'precision', 'recall', 'f_measure', 'fpr')} FROM scores""",
 )
 def e2_per_class_metrics(spark, folder):
     scores = evaluate.per_class_metrics(ruled_lines(spark, folder), ["fold"])
@@ -62,63 +62,63 @@ def e2_per_class_metrics(spark, folder):
         "true_n",
         "pred_n",
         "rows",
-        *rounded(8, "precision", "recall", "f_measure", "fpr"),
+        *rounded(9, "precision", "recall", "f_measure", "fpr"),
     )
 
 
 @query(
     "e3_accuracy",
     f"""WITH {SQL_RULED}
-    SELECT round(avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 8) AS accuracy
+    SELECT round(avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS accuracy
     FROM ruled""",
 )
 def e3_accuracy(spark, folder):
-    return reshape.error_rate(ruled_lines(spark, folder)).select(*rounded(8, "accuracy"))
+    return reshape.error_rate(ruled_lines(spark, folder)).select(*rounded(9, "accuracy"))
 
 
 @query(
     "a3_error_rate",
     f"""WITH {SQL_RULED}
     SELECT fold, count(*) AS rows,
-      round(avg(CASE WHEN label = prediction THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 8) AS error_rate
+      round(avg(CASE WHEN label = prediction THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 9) AS error_rate
     FROM ruled GROUP BY fold""",
 )
 def a3_error_rate(spark, folder):
     rates = reshape.error_rate(ruled_lines(spark, folder), ["fold"])
-    return rates.select("fold", "rows", *rounded(8, "error_rate"))
+    return rates.select("fold", "rows", *rounded(9, "error_rate"))
 
 
 @query(
     "e4_weighted_metrics",
     f"""WITH {SQL_RULED}, {PER_CLASS}
-    SELECT fold, {', '.join(f"round(sum(true_n / rows * {s}), 8) AS weighted_{s}" for s in ("precision", "recall", "f_measure", "fpr"))}
+    SELECT fold, {', '.join(f"round(sum(true_n / rows * {s}), 9) AS weighted_{s}" for s in ("precision", "recall", "f_measure", "fpr"))}
     FROM scores GROUP BY fold""",
 )
 def e4_weighted_metrics(spark, folder):
     scores = evaluate.weighted_metrics(ruled_lines(spark, folder), ["fold"])
-    return scores.select("fold", *rounded(8, *scores.columns[1:]))
+    return scores.select("fold", *rounded(9, *scores.columns[1:]))
 
 
 @query(
     "e5_macro_metrics",
     f"""WITH {SQL_RULED}, {PER_CLASS}, {MACRO}
-    SELECT fold, {sql_rounded(8, 'f_measure', 'precision', 'recall', 'accuracy')} FROM macro""",
+    SELECT fold, {sql_rounded(9, 'f_measure', 'precision', 'recall', 'accuracy')} FROM macro""",
 )
 def e5_macro_metrics(spark, folder):
     scores = evaluate.macro_metrics(ruled_lines(spark, folder), [0.0, 1.0, 2.0], ["fold"])
-    return scores.select("fold", *rounded(8, *scores.columns[1:]))
+    return scores.select("fold", *rounded(9, *scores.columns[1:]))
 
 
 @query(
     "a5_fold_summary",
     f"""WITH {SQL_RULED}, {PER_CLASS}, {MACRO}
-    SELECT count(*) AS folds, {', '.join(f"round(avg({s}), 8) AS {s}" for s in ("f_measure", "precision", "recall", "accuracy"))}
+    SELECT count(*) AS folds, {', '.join(f"round(avg({s}), 9) AS {s}" for s in ("f_measure", "precision", "recall", "accuracy"))}
     FROM macro""",
 )
 def a5_fold_summary(spark, folder):
     names = ("f_measure", "precision", "recall", "accuracy")
     macro = evaluate.macro_metrics(ruled_lines(spark, folder), by=["fold"])
-    return reshape.fold_summary(macro, names).select("folds", *rounded(8, *names))
+    return reshape.fold_summary(macro, names).select("folds", *rounded(9, *names))
 
 
 def code_sets(spark, folder):
@@ -142,13 +142,13 @@ docs AS (
 @query(
     "e11_multilabel_metrics",
     f"""WITH {SETS}
-    SELECT round(avg(CASE WHEN p = 0 THEN 0.0 ELSE b / p END), 8) AS precision,
-      round(avg(b / t), 8) AS recall, round(avg(2.0 * b / (p + t)), 8) AS f1,
-      round(avg(b / (p + t - b)), 8) AS accuracy FROM docs""",
+    SELECT round(avg(CASE WHEN p = 0 THEN 0.0 ELSE b / p END), 9) AS precision,
+      round(avg(b / t), 9) AS recall, round(avg(2.0 * b / (p + t)), 9) AS f1,
+      round(avg(b / (p + t - b)), 9) AS accuracy FROM docs""",
 )
 def e11_multilabel_metrics(spark, folder):
     scores = evaluate.multilabel_metrics(code_sets(spark, folder))
-    return scores.select(*rounded(8, *scores.columns))
+    return scores.select(*rounded(9, *scores.columns))
 
 
 @query(
@@ -157,12 +157,12 @@ def e11_multilabel_metrics(spark, folder):
       SELECT code, sum(p * t) AS tp, sum(p * (1 - t)) AS fp, sum((1 - p) * t) AS fn
       FROM marks GROUP BY 1)
     SELECT CAST(code AS DOUBLE) AS class, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
-      CAST(fn AS BIGINT) AS fn, round(tp / (tp + fp), 8) AS precision,
-      round(tp / (tp + fn), 8) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 8) AS f1 FROM c""",
+      CAST(fn AS BIGINT) AS fn, round(tp / (tp + fp), 9) AS precision,
+      round(tp / (tp + fn), 9) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c""",
 )
 def e12_multilabel_by_class(spark, folder):
     scores = evaluate.multilabel_by_class(code_sets(spark, folder))
-    return scores.select("class", "tp", "fp", "fn", *rounded(8, "precision", "recall", "f1"))
+    return scores.select("class", "tp", "fp", "fn", *rounded(9, "precision", "recall", "f1"))
 
 
 @query(
@@ -170,11 +170,11 @@ def e12_multilabel_by_class(spark, folder):
     f"""WITH {SETS}, s AS (
       SELECT sum(b) AS tp, sum(p - b) AS fp, sum(t - b) AS fn, count(*) AS n,
         avg(CASE WHEN p = b AND t = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS same FROM docs)
-    SELECT round(tp / (tp + fp), 8) AS micro_precision, round(tp / (tp + fn), 8) AS micro_recall,
-      round(2.0 * tp / (2 * tp + fp + fn), 8) AS micro_f1,
-      round((fp + fn) / (n * (SELECT count(DISTINCT code) FROM marks WHERE t = 1)), 8) AS hamming_loss,
-      round(same, 8) AS subset_accuracy FROM s""",
+    SELECT round(tp / (tp + fp), 9) AS micro_precision, round(tp / (tp + fn), 9) AS micro_recall,
+      round(2.0 * tp / (2 * tp + fp + fn), 9) AS micro_f1,
+      round((fp + fn) / (n * (SELECT count(DISTINCT code) FROM marks WHERE t = 1)), 9) AS hamming_loss,
+      round(same, 9) AS subset_accuracy FROM s""",
 )
 def e13_multilabel_micro(spark, folder):
     scores = evaluate.multilabel_micro(code_sets(spark, folder))
-    return scores.select(*rounded(8, *scores.columns))
+    return scores.select(*rounded(9, *scores.columns))
