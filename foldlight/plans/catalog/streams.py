@@ -10,7 +10,18 @@ from foldlight.session import scratch_path
 from foldlight.sources.readers import stream_samples, table
 from foldlight.streaming import welch
 
-FILES = 6
+BATCHES = 6
+
+
+def file_count(spark):
+    """One file per shuffle partition, so that the writing scales with the cluster."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sample_stream(spark, folder):
+    """The events as a stream of about ``BATCHES`` batches."""
+    per_batch = -(-file_count(spark) // BATCHES)
+    return stream_samples(spark, sample_files(spark, folder), files_per_batch=per_batch)
 
 
 def sample_files(spark, folder, name="samples", keep=None):
@@ -22,7 +33,7 @@ def sample_files(spark, folder, name="samples", keep=None):
         ", ", (P.col("event_type") == "purchase").cast("string"), P.col("value").cast("string")
     )
     path = scratch_path(spark, name)
-    events.select(line.alias("value")).repartition(FILES).write.text(path)
+    events.select(line.alias("value")).repartition(file_count(spark)).write.text(path)
     return path
 
 
@@ -59,8 +70,8 @@ def last_row(results):
 
 @query("w1_streaming_welch", f"WITH {SQL_WELCH}")
 def w1_streaming_welch(spark, folder):
-    """One file per batch; the test after the last batch covers all rows."""
-    stream = stream_samples(spark, sample_files(spark, folder), files_per_batch=1)
+    """The test after the last batch covers all rows."""
+    stream = sample_stream(spark, folder)
     running = welch.streaming_welch(stream)
     running.query.awaitTermination()
     return welch_columns(last_row(running.results(spark)))
@@ -68,9 +79,9 @@ def w1_streaming_welch(spark, folder):
 
 @query("w1_streaming_welch_window")
 def w1_streaming_welch_window(spark, folder):
-    """Two batches ignored, then tests over the last three batches."""
-    stream = stream_samples(spark, sample_files(spark, folder), files_per_batch=1)
-    running = welch.streaming_welch(stream, peace_period=2, window_size=3)
+    """One batch ignored, then tests over the last two batches."""
+    stream = sample_stream(spark, folder)
+    running = welch.streaming_welch(stream, peace_period=1, window_size=2)
     running.query.awaitTermination()
     return running.results(spark).select("batch_id", "n0", "n1", "t", "degrees", "p_value")
 
@@ -78,7 +89,7 @@ def w1_streaming_welch_window(spark, folder):
 @query("w2_stop_when_significant")
 def w2_stop_when_significant(spark, folder):
     """Stops at the first significant batch or after three batches."""
-    stream = stream_samples(spark, sample_files(spark, folder), files_per_batch=1)
+    stream = sample_stream(spark, folder)
     running, reason = welch.stop_when_significant(
         lambda watch: welch.streaming_welch(stream, on_result=watch), alpha=0.05, max_batches=3
     )
@@ -94,7 +105,7 @@ def w3_restart_from_checkpoint(spark, folder):
     state = scratch_path(spark, "welch")
     for part in (early, late):
         spark.read.text(part).write.mode("append").text(inbox)
-        stream = stream_samples(spark, inbox, files_per_batch=2)
+        stream = stream_samples(spark, inbox, files_per_batch=-(-file_count(spark) // 2))
         running = welch.streaming_welch(stream, folder=state)
         running.query.awaitTermination()
     return welch_columns(last_row(running.results(spark)))

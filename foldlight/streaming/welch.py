@@ -96,8 +96,8 @@ def streaming_welch(
     """A Welch test after each batch of a (label, value) stream.
 
     The first ``peace_period`` batches are ignored. Each test covers the last
-    ``window_size`` batches, or all so far for 0. Every batch writes its moments
-    and its result under its own batch id, replacing what an earlier attempt at
+    ``window_size`` batches, or all so far for 0. Every batch writes two moment
+    rows and its result under its own batch id, replacing what an earlier attempt at
     the same batch left, so a restart from the checkpoint repeats nothing.
     ``trigger`` goes to ``writeStream.trigger``; the default takes what is there
     and stops.
@@ -114,17 +114,17 @@ def streaming_welch(
         progress["batches"] = batch_id + 1
         if batch_id < peace_period:
             return
-        keep(batch_moments(samples), "moments", batch_id)
 
         def stored(kind: str, first: int, last: int) -> DataFrame:
             paths = [f"{folder}/{kind}/b{b}" for b in range(max(first, peace_period), last + 1)]
             return session.read.schema(MOMENTS).parquet(*paths)
 
         if window_size:
+            keep(batch_moments(samples), "moments", batch_id)
             groups = merge_moments(stored("moments", batch_id - window_size + 1, batch_id))
         else:
             # all so far = all before (one small table) + this batch
-            groups = stored("moments", batch_id, batch_id)
+            groups = batch_moments(samples)
             if batch_id > peace_period:
                 groups = merge_moments(groups.unionAll(stored("so_far", batch_id - 1, batch_id - 1)))
             keep(groups, "so_far", batch_id)
