@@ -16,6 +16,7 @@ for _module in (
     "patterns",
     "estimators",
     "checked_models",
+    "checked_selection",
     "files",
     "streams",
 ):
