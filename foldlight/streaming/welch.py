@@ -22,16 +22,24 @@ RESULTS = (
 
 
 def batch_moments(samples: DataFrame) -> DataFrame:
-    """Count, mean and sum of squared deviations of each group in one batch."""
-    return (
-        samples.dropna()
-        .groupBy("label")
-        .agg(
-            P.count("value").alias("n"),
-            P.avg("value").alias("mean"),
-            (P.var_pop("value") * P.count("value")).alias("m2"),
+    """Count, mean and sum of squared deviations of each group in one batch.
+
+    One aggregate without keys: each task sends one row, whatever the partition setting.
+    """
+    groups = {False: ~P.col("label"), True: P.col("label")}
+    aggregates = []
+    for flag, member in groups.items():
+        v = P.when(member, P.col("value"))
+        aggregates.append(
+            P.struct(
+                P.lit(flag).alias("label"),
+                P.count(v).alias("n"),
+                P.avg(v).alias("mean"),
+                (P.var_pop(v) * P.count(v)).alias("m2"),
+            )
         )
-    )
+    both = samples.dropna().agg(P.array(*aggregates).alias("groups"))
+    return both.select(P.inline("groups")).filter("n > 0")
 
 
 def merge_moments(moments: DataFrame) -> DataFrame:
@@ -40,7 +48,8 @@ def merge_moments(moments: DataFrame) -> DataFrame:
     The between-batch part is taken around the common mean of the group, which
     keeps precision for large values.
     """
-    groups = moments.groupBy("label").agg(
+    # two rows per batch of the window
+    groups = moments.coalesce(1).groupBy("label").agg(
         P.sum("n").alias("n"),
         (P.sum(P.col("n") * P.col("mean")) / P.sum("n")).alias("mean"),
         P.sum("m2").alias("within"),
@@ -105,6 +114,8 @@ def streaming_welch(
     spark = stream.sparkSession
     folder = folder or scratch_path(spark, "welch")
     progress: dict = {"batches": 0}
+    # so that the results can be read before the first batch has one
+    spark.createDataFrame([], RESULTS).write.mode("ignore").parquet(f"{folder}/results/none")
 
     def keep(df: DataFrame, kind: str, batch_id: int) -> None:
         df.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{kind}/b{batch_id}")

@@ -1,6 +1,8 @@
 """Literal inputs with results known by hand or from published examples."""
 
 import math
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -96,6 +98,16 @@ def test_normal_cdf(spark):
     assert got == pytest.approx([0.5 * math.erfc(-x / math.sqrt(2)) for x in xs], rel=1e-12)
 
 
+def test_tail_helpers_travel_without_the_package(tmp_path):
+    from pyspark import cloudpickle
+
+    path = tmp_path / "f"
+    path.write_bytes(cloudpickle.dumps(tails.chi2_tail))
+    code = f"import pickle; print(pickle.load(open({str(path)!r}, 'rb'))(0.125, 4))"
+    out = subprocess.run([sys.executable, "-c", code], cwd="/", capture_output=True, text=True)
+    assert float(out.stdout) == pytest.approx(0.998126379), out.stderr
+
+
 def test_kernel_density(spark):
     sample = [float(v) for v in (1, 1, 1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 9)]
     df = spark.createDataFrame([(v,) for v in sample], "x double")

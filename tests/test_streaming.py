@@ -73,6 +73,11 @@ def test_batches_without_a_group_give_no_row(spark, tmp_path):
     assert sorted(run(spark, tmp_path / "in")) == [1]
 
 
+def test_no_result_yet(spark, tmp_path):
+    write(tmp_path / "in", batches(2))
+    assert run(spark, tmp_path / "in", peace_period=5) == {}
+
+
 def test_restart_continues(spark, tmp_path):
     parts = batches(4)
     state = str(tmp_path / "state")
