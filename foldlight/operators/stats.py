@@ -17,6 +17,7 @@ from pyspark.sql import functions as P
 from foldlight.functions.tails import chi2_p, ks_p, normal_cdf, t_p
 from foldlight.functions.vectors import as_array, as_vector
 from foldlight.operators.running import average_ranks, running_totals
+from foldlight.session import materialize
 
 
 def column_stats(df: DataFrame, features: str = "features") -> DataFrame:
@@ -81,9 +82,16 @@ def correlation_matrix(
 
 
 def rank_features(df: DataFrame, features: str = "features") -> DataFrame:
-    """Each feature replaced by its average rank, as array<double>."""
-    rows = as_array(df.select(features), features).withColumn(
-        "_row", P.monotonically_increasing_id()
+    """Each feature replaced by its average rank, as array<double>.
+
+    The row numbers are written before they are used, so a recomputed task
+    cannot number the rows differently.
+    """
+    rows = materialize(
+        as_array(df.select(features), features).withColumn(
+            "_row", P.monotonically_increasing_id()
+        ),
+        "rows",
     )
     long = rows.select("_row", P.posexplode(features).alias("_i", "_x"))
     ranks = average_ranks(long, "_x", ["_i"])
