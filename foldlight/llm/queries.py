@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldlight.llm.near_dedup import near_duplicates
 from foldlight.llm.registry import ORACLE, QUERIES, query, table
 from foldlight.llm.token_counts import count_tokens
 
@@ -17,3 +18,8 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     counts = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query("op10_near_dedup")
+def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
