@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldlight.llm.line_cleaning import clean_lines
 from foldlight.llm.near_dedup import near_duplicates
 from foldlight.llm.registry import ORACLE, QUERIES, query, table
 from foldlight.llm.token_counts import count_tokens
@@ -23,3 +24,8 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_near_dedup")
 def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op2_line_cleaning")
+def line_cleaning(spark: SparkSession, folder: str) -> DataFrame:
+    return clean_lines(table(spark, folder, "documents"), with_text=False)
