@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foldlight.llm.line_cleaning import clean_lines
 from foldlight.llm.near_dedup import near_duplicates
 from foldlight.llm.registry import ORACLE, QUERIES, query, table
+from foldlight.llm.substring_dedup import remove_repeats
 from foldlight.llm.token_counts import count_tokens
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -29,3 +30,9 @@ def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_line_cleaning")
 def line_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     return clean_lines(table(spark, folder, "documents"), with_text=False)
+
+
+@query("op4_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = remove_repeats(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
