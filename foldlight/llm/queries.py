@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foldlight.llm.line_cleaning import clean_lines
 from foldlight.llm.near_dedup import near_duplicates
+from foldlight.llm.packing import pack, token_pieces
 from foldlight.llm.quality import fit_quality, held_out
 from foldlight.llm.registry import ORACLE, QUERIES, query, table
 from foldlight.llm.substring_dedup import remove_repeats
@@ -49,3 +50,14 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query("op7_packing")
+def packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
+    pieces = pieces.withColumn("ids_crc32", F.crc32("ids"))
+    packed = pack(pieces, 2048, carry=("start", "ids_crc32"))
+    return packed.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
