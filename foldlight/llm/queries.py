@@ -12,6 +12,7 @@ from foldlight.llm.packing import pack, token_pieces
 from foldlight.llm.quality import fit_quality, held_out
 from foldlight.llm.registry import ORACLE, QUERIES, query, table
 from foldlight.llm.substring_dedup import remove_repeats
+from foldlight.llm.syncmers import as_text, fingerprints
 from foldlight.llm.token_counts import count_tokens
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -61,3 +62,16 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+@query("op3_syncmers")
+def syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("anchors")).alias("fingerprint"),
+        as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
