@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foldlight.llm.line_cleaning import clean_lines
 from foldlight.llm.near_dedup import near_duplicates
 from foldlight.llm.packing import pack, token_pieces
+from foldlight.llm.pii import KINDS, fit_spans
 from foldlight.llm.quality import fit_quality, held_out
 from foldlight.llm.registry import ORACLE, QUERIES, query, table
 from foldlight.llm.substring_dedup import remove_repeats
@@ -75,3 +76,25 @@ def syncmers(spark: SparkSession, folder: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query("op1_pii")
+def pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = fit_spans(docs).spans(docs)
+
+    def joined(spans):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["base"])
+    return found.withColumn("base", base).select(
+        "doc_id",
+        *map(count, KINDS),
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
