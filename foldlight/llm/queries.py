@@ -15,6 +15,7 @@ from foldlight.llm.registry import ORACLE, QUERIES, query, table
 from foldlight.llm.substring_dedup import remove_repeats
 from foldlight.llm.syncmers import as_text, fingerprints
 from foldlight.llm.token_counts import count_tokens
+from foldlight.llm.url_filter import fit_url_filter, hosts_with_words
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -98,3 +99,44 @@ def pii(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+ALLOW_RULES = ["org/", "com/fr/"]
+BLOCK_RULES = ["example.org/es/", "example.org/en/1", "com/de/"]
+HOST_WORDS = ["casino", "bets", "pills", "ads"]
+
+SQL_RULES = ", ".join(
+    f"('{r}', '{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}')"
+    for rules, v in ((ALLOW_RULES, "allow"), (BLOCK_RULES, "block"))
+    for r in rules
+)
+
+
+@query(
+    "op6_url_filter",
+    f"""
+    WITH cut AS (
+      SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+      FROM pages),
+    split AS (
+      SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+      FROM cut),
+    places AS (
+      SELECT page_id, coalesce(host, '') AS host, CASE WHEN host IS NULL THEN '' ELSE path END AS path
+      FROM split),
+    rules(rule, rule_host, rule_path, verdict) AS (VALUES {SQL_RULES}),
+    fitting AS (
+      SELECT p.*, r.rule, r.verdict,
+             row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC NULLS LAST, r.rule) AS n
+      FROM places p LEFT JOIN rules r
+        ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path))
+    SELECT page_id, host, path, rule, coalesce(verdict,
+           CASE WHEN regexp_matches(host, '(^|[.-])({"|".join(HOST_WORDS)})([.-]|$)') THEN 'block'
+                ELSE 'allow' END) AS verdict
+    FROM fitting WHERE n = 1""",
+)
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    listed = hosts_with_words(pages, HOST_WORDS)
+    return fit_url_filter(pages, ALLOW_RULES, BLOCK_RULES, listed).judge(pages)
