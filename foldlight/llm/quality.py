@@ -86,13 +86,23 @@ def fit_logistic(
     penalty = ridge * np.eye(a.shape[1])
     penalty[0, 0] = 1e-6
     w = np.zeros(a.shape[1])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+
+    def loss(w: np.ndarray) -> float:
+        line = a @ w
+        return float((each * (np.logaddexp(0, line) - y * line)).sum() + w @ penalty @ w / 2)
+
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
         curve = (a.T * (p * (1 - p) * each)) @ a + penalty
         step = np.linalg.solve(curve, a.T @ ((y - p) * each) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-9:
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        after = loss(w + size * step)
+        if now - after <= 1e-10 * (1 + abs(now)):
             break
+        w, now = w + size * step, after
     plain = w[1:] / scale
     return np.concatenate([[w[0] - plain @ mean], plain])
 
@@ -109,15 +119,11 @@ class QualityModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
-                both = np.array([sizes(d, dictionaries) for d in data], np.int64).reshape(-1, 2)
-                n = np.array([len(d) for d in data], np.int64)
-                line = weights[0] + features(both[:, 0], both[:, 1], n) @ weights[1:]
-                score = 1 / (1 + np.exp(-np.clip(line, -30, 30)))
+                score, found = _scores(_bytes(batch.column("text")), dictionaries, weights)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c) for c in carry),
-                        *map(pa.array, (n, both[:, 0], both[:, 1], score)),
+                        *map(pa.array, (*found.T.copy(), score)),
                     ],
                     names=names,
                 )
@@ -145,6 +151,35 @@ class QualityModel:
         return out.withColumnRenamed("key", key)
 
 
+    def accepted(self, docs: DataFrame, least: float = 0.7, text: str = "text") -> DataFrame:
+        """The rows of ``docs``, all columns, whose score is at least ``least``."""
+        if self.dictionaries is None:
+            return docs if self.weights[0] >= least else docs.filter(F.lit(False))
+        dictionaries, weights, at = self.dictionaries, self.weights, docs.columns.index(text)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data = _bytes(batch.column(at))
+                score, _ = _scores(data, dictionaries, weights)
+                yield batch.filter(pa.array(score >= least))
+
+        return docs.mapInArrow(run, docs.schema)
+
+
+def _bytes(texts: pa.Array) -> list[bytes]:
+    return pc.fill_null(texts.cast(pa.string()), "").cast(pa.binary()).to_pylist()
+
+
+def _scores(
+    data: list[bytes], dictionaries: tuple[bytes, bytes], weights: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Scores, and rows of bytes, size by the bad and size by the good dictionary."""
+    both = np.array([sizes(d, dictionaries) for d in data], np.int64).reshape(-1, 2)
+    n = np.array([len(d) for d in data], np.int64)
+    line = weights[0] + features(both[:, 0], both[:, 1], n) @ weights[1:]
+    return 1 / (1 + np.exp(-np.clip(line, -30, 30))), np.column_stack([n, both])
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Rows that no model may learn from: crc32 of the key as text leaves 2 when divided by 4."""
     rest = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4))

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foldlight.llm.words import Words, chunks, windows, words
 
@@ -207,8 +208,7 @@ def _text_of(w: Words, keep: np.ndarray) -> pa.Array:
     return pa.array([body[a:b].decode() for a, b in zip(lows.tolist(), highs.tolist(), strict=True)], pa.string())
 
 
-def _cleaned(shape: Anchors, kind: pa.DataType):
-    names = ["key", "n_words", "n_removed", "kept_text"]
+def _cleaned(shape: Anchors, schema: pa.Schema, carry: list[str]):
 
     def run(table: pa.Table, repeated: pa.Table) -> pa.Table:
         low, high = (_joined(repeated.column(c), np.uint64) for c in ("low", "high"))
@@ -237,16 +237,15 @@ def _cleaned(shape: Anchors, kind: pa.DataType):
             out.append(
                 pa.RecordBatch.from_arrays(
                     [
-                        part.column("key"),
+                        *(part.column(c) for c in carry),
                         pa.array(w.counts, pa.int64()),
                         pa.array(sums[w.first[1:]] - sums[w.first[:-1]], pa.int64()),
                         _text_of(w, keep),
                     ],
-                    names=names,
+                    schema=schema,
                 )
             )
-        empty = pa.schema(list(zip(names, [kind, pa.int64(), pa.int64(), pa.string()], strict=True)))
-        return pa.Table.from_batches(out) if out else empty.empty_table()
+        return pa.Table.from_batches(out, schema)
 
     return run
 
@@ -266,10 +265,16 @@ def remove_repeats(
     window: int = 35,
     period: int = 21,
     slots: int | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(key, n_words, n_removed, kept_text): ``text`` without the words of repeated windows."""
+    """(key, carried columns, n_words, n_removed, kept_text): ``text`` without the words of repeated windows."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    named = [f"_carry{i}" for i in range(len(carry))]
+    rows = docs.select(
+        F.col(key).alias("key"),
+        F.col(text).cast("string").alias("text"),
+        *(F.col(c).alias(n) for c, n in zip(carry, named, strict=True)),
+    )
     if slots is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         slots = slot_count(size, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -280,12 +285,14 @@ def remove_repeats(
     repeated = anchors.groupBy("bucket").applyInArrow(answers, ANSWERS)
     found = by_slot.cogroup(repeated.groupBy("slot")).applyInArrow(_window_entries(shape, slots), ENTRIES)
     confirmed = found.groupBy("bucket").applyInArrow(answers, ANSWERS)
-    kind = dealt.schema["key"].dataType
-    return (
-        by_slot.cogroup(confirmed.groupBy("slot"))
-        .applyInArrow(
-            _cleaned(shape, to_arrow_type(kind)),
-            f"key {kind.simpleString()}, n_words long, n_removed long, kept_text string",
-        )
-        .withColumnRenamed("key", key)
+    out = T.StructType([dealt.schema[c] for c in ("key", *named)])
+    out = out.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    cleaned = _cleaned(shape, to_arrow_schema(out), ["key", *named])
+    result = by_slot.cogroup(confirmed.groupBy("slot")).applyInArrow(cleaned, out)
+    return result.select(
+        F.col("key").alias(key),
+        *(F.col(n).alias(c) for c, n in zip(carry, named, strict=True)),
+        "n_words",
+        "n_removed",
+        "kept_text",
     )

@@ -1,43 +1,17 @@
 """Near-duplicate components against brute force over all pairs of full sets."""
 
 import random
-import re
 
-import pyspark.sql.functions as F
+from tests_llm_helpers import brute_components, shingles
 
 from foldlight.llm.near_dedup import near_duplicates
 
 
-def shingles(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    if len(words) < 5:
-        return frozenset([tuple(words)]) if words else frozenset()
-    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
-
-
 def expected(rows):
     """(key, set size, component, kept) per row; keys are unique."""
     sets = [shingles(t) for _, t in rows]
-    parent = list(range(len(rows)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if not a or not b or 100 * min(len(a), len(b)) < 85 * max(len(a), len(b)):
-                continue
-            both = len(a & b)
-            if 100 * both >= 85 * (len(a) + len(b) - both):
-                parent[find(i)] = find(j)
-    least = {}
-    for i, (key, _) in enumerate(rows):
-        r = find(i)
-        least[r] = min(least.get(r, key), key)
-    return sorted((k, len(s), least[find(i)], least[find(i)] == k) for i, ((k, _), s) in enumerate(zip(rows, sets, strict=True)))
+    component = brute_components(rows, sets)
+    return sorted((k, len(s), component[k], component[k] == k) for (k, _), s in zip(rows, sets, strict=True))
 
 
 def found(df):

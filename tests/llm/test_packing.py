@@ -2,57 +2,24 @@
 
 import itertools
 import random
-import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tests_llm_helpers import check_layout, check_pieces
 
 from foldlight.llm.packing import best_fit, lower_bound, pack, token_pieces
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def check_layout(rows, capacity):
-    bins = defaultdict(list)
-    for r in rows:
-        bins[r.sequence_id].append((r.offset, r.length))
-    for places in bins.values():
-        end = 0
-        for offset, length in sorted(places):
-            assert offset == end
-            end += length
-        assert end <= capacity
-    return len(bins)
-
-
-def check_pieces(rows, texts, capacity):
-    tokenizer = Tokenizer.from_file(PATH)
-    by = defaultdict(list)
-    for r in rows:
-        by[r.doc_id].append(r)
-    assert set(by) == set(texts)
-    for i, parts in by.items():
-        ids = [*tokenizer.encode(texts[i] or "", add_special_tokens=False).ids, 0]
-        parts.sort(key=lambda r: r.piece)
-        at = 0
-        for j, r in enumerate(parts):
-            assert (r.piece, r.start) == (j, at)
-            body = np.array(ids[at : at + r.length], "<u4").tobytes()
-            assert r.crc == zlib.crc32(body)
-            assert j == 0 or r.length == capacity
-            at += r.length
-        assert at == len(ids)
-
-
 @pytest.mark.parametrize("capacity, part_rows", [(2048, 32_768), (300, 70)])
 def test_given_documents(documents, texts, capacity, part_rows):
     pieces = token_pieces(documents, PATH, capacity).withColumn("crc", F.crc32("ids"))
     rows = pack(pieces, capacity, carry=("start", "crc"), part_rows=part_rows).collect()
-    check_pieces(rows, texts, capacity)
+    check_pieces(rows, texts, capacity, PATH)
     used = check_layout(rows, capacity)
     bound = lower_bound(np.bincount([r.length for r in rows], minlength=capacity + 1), capacity)
     assert bound <= used <= bound + (1 if part_rows > 200 else 0.03 * bound)
@@ -118,7 +85,7 @@ def test_odd_rows(odd):
     rows = pack(pieces, carry=("start", "crc")).collect()
     check_layout(rows, 2048)
     texts = {r.doc_id: r.text for r in odd.collect() if r.doc_id != 7}
-    check_pieces([r for r in rows if r.doc_id != 7], texts, 2048)
+    check_pieces([r for r in rows if r.doc_id != 7], texts, 2048, PATH)
     assert len([r for r in rows if r.doc_id == 7]) == 2
 
 

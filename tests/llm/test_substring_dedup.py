@@ -1,28 +1,15 @@
 """Repeated windows against brute force over all windows."""
 
 import random
-import re
-from collections import Counter
 
 import pytest
+from tests_llm_helpers import brute_repeats
 
 from foldlight.llm.substring_dedup import difference_cover, remove_repeats, slot_count
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
 def expected(rows, window=35):
-    words = [WORD.findall(t or "") for _, t in rows]
-    count = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
-    out = []
-    for (key, _), w in zip(rows, words, strict=True):
-        gone = set()
-        for i in range(len(w) - window + 1):
-            if count[tuple(w[i : i + window])] > 1:
-                gone.update(range(i, i + window))
-        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
-        out.append((key, len(w), len(gone), kept))
-    return sorted(out, key=str)
+    numbered = brute_repeats(list(enumerate(t for _, t in rows)), window)
+    return sorted(((key, *numbered[i]) for i, (key, _) in enumerate(rows)), key=str)
 
 
 def found(df):
