@@ -10,11 +10,15 @@ concentrated estimate of the Jaccard similarity.
 
 Texts with equal sets form a class and only classes are compared. Classes
 meeting in a band bucket are candidates. A bucket never lists its pairs: all
-members are first compared with its smallest class; only buckets that still
-hold different components are taken further, with eight times as many leaders in
-each round until every member has led, and members of one component are not
-compared again. Candidates whose sketches are too unlike are dropped (the
-margin is seven standard deviations), the rest is checked on full sets.
+members are first compared with the one that meets most others over all its
+buckets, which in a group of copies is the text they were made from. Buckets
+that still hold different components go on. There, the differences of each class
+from the leader bound from below how much two classes differ, and classes that
+the bound keeps apart from all others leave the bucket. Of the rest a few lead,
+in each round thirty-two times as many, until every member has led; members of one
+component are not compared again. Candidates whose sketches
+are too unlike are dropped (the margin is seven standard deviations), the rest is
+checked on full sets.
 
 With the defaults a link at the threshold is missed with probability 3e-8.
 
@@ -33,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldlight.llm.graph import components, relabel
@@ -43,7 +47,7 @@ from foldlight.session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 5
-GROWTH = 8  # leaders of a bucket grow by this factor per round
+GROWTH = 32  # leaders of a bucket grow by this factor per round
 
 
 def shingle_sets(w: Words) -> list[np.ndarray]:
@@ -137,15 +141,18 @@ class NearDuplicates:
         rows: int = 5,
     ) -> None:
         self.percent, self.bands, self.rows = percent, bands, rows
-        text_hash = F.xxhash64("text")
+        self.source, self.key, self.text = docs, key, text
         self.docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).select(
-            "key", "text", F.xxhash64("key", text_hash).alias("rid")
+            "key", "text", self._rid(key="key", text="text").alias("rid")
         )
-        self.key = key
         self.kind = docs.schema[key].dataType.simpleString()
         j = percent / 100
         self.least = j - 7 * (j * (1 - j) / (bands * rows)) ** 0.5
 
+    @staticmethod
+    def _rid(key: str, text: str) -> Column:
+        return F.xxhash64(F.col(key), F.xxhash64(F.col(text).cast("string")))
+
     def sketched(self) -> DataFrame:
         """One row per document: set size, digest of the set, band keys, signature."""
         bands, rows = self.bands, self.rows
@@ -213,9 +220,7 @@ class NearDuplicates:
             .select("a", "b")
         )
 
-    def _resolve(
-        self, pairs: DataFrame, classes: DataFrame, roots: DataFrame | None
-    ) -> DataFrame | None:
+    def _resolve(self, pairs: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame | None:
         """Components after checking the likely ``pairs`` that still join different roots.
 
         First each class is checked with its likeliest partner only; what the
@@ -223,9 +228,6 @@ class NearDuplicates:
         """
         if pairs.isEmpty():
             return roots
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        rids = classes.join(ends, "node", "left_semi").select("rid")
-        sets = materialize(self._sets(rids), "sets")
         first = pairs.groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a"))
         sure = materialize(self._linked(first, sets), "links")
         roots = components(self._by_root(sure, roots), roots)
@@ -244,6 +246,26 @@ class NearDuplicates:
         return edges if roots is None else materialize(relabel(edges, roots, "a", "b"), "edges")
 
     def result(self) -> DataFrame:
+        """(key, n_shingles, component_id, kept) for every row."""
+        return self._named(*self._solved())
+
+    def survivors(self) -> DataFrame:
+        """One row of each component, all columns of ``docs``: the one with the smallest key."""
+        rows, classes, roots = self._solved()
+        if roots is not None:
+            classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        else:
+            classes = classes.withColumn("root", F.col("node"))
+        named = rows.join(classes.select("node", "root"), "node", "left").withColumn(
+            "root", F.coalesce("root", F.encode(F.col("rid").cast("string"), "utf-8"))
+        )
+        order = F.struct(F.col("key").isNull(), "key", "rid")
+        best = named.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.rid").alias("_rid"))
+        found = self.source.withColumn("_rid", self._rid(self.key, self.text))
+        return found.join(best, "_rid", "left_semi").dropDuplicates(["_rid"]).drop("_rid")
+
+    def _solved(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """Rows of all documents, the classes, and the roots of classes that are not their own root."""
         rows = materialize(self.sketched(), "sketches")
         classes = materialize(
             rows.filter("n > 0")
@@ -257,33 +279,41 @@ class NearDuplicates:
             ),
             "classes",
         )
-        member = classes.select("node", F.explode("bands").alias("bucket"))
-        shared = (
-            member.groupBy("bucket")
-            .agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("m"))
-            .filter("lead < last")
-            .select("bucket", "lead", "m")
+        buckets = materialize(self._buckets(classes), "buckets")
+        star = buckets.filter("node <> lead").select(
+            F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")
         )
-        buckets = materialize(member.join(shared, "bucket"), "buckets")
-        pairs = buckets.filter("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        tried = materialize(self._likely(pairs.distinct(), classes), "pairs")
-        roots = self._resolve(tried, classes, None)
-        leaders, lead_before = GROWTH, 0
-        while True:
-            buckets = self._unresolved(buckets, roots, lead_before)
-            if buckets.isEmpty():
-                break
-            pairs = self._led(buckets, leaders, lead_before).join(tried, ["a", "b"], "left_anti")
+        tried = materialize(self._likely(star.distinct(), classes), "pairs")
+        several = buckets.filter("m > 2")
+        wanted = tried.select(F.explode(F.array("a", "b")).alias("node")).union(several.select("node"))
+        sets = materialize(self._sets(classes.join(wanted, "node", "left_semi").select("rid")), "sets")
+        roots = self._resolve(tried, sets, None)
+        open_rows = self._unresolved(several, roots)
+        if not open_rows.isEmpty():
+            open_rows = self._able(open_rows, sets)
+        leaders, before = GROWTH, 0
+        while not open_rows.isEmpty():
+            pairs = self._led(open_rows, leaders, before).join(tried, ["a", "b"], "left_anti")
             pairs = materialize(self._likely(pairs, classes), "pairs")
-            roots = self._resolve(pairs, classes, roots)
+            roots = self._resolve(pairs, sets, roots)
             tried = tried.unionByName(pairs)
-            leaders, lead_before = leaders * GROWTH, leaders
-        return self._named(rows, classes, roots)
+            open_rows = self._unresolved(open_rows.filter(F.col("m") > leaders).drop("root"), roots)
+            leaders, before = leaders * GROWTH, leaders
+        return rows, classes, roots
+
+    @staticmethod
+    def _buckets(classes: DataFrame) -> DataFrame:
+        """Rows (bucket, node, m, lead) of buckets with m > 1 classes."""
+        member = classes.select("node", F.explode("bands").alias("bucket"))
+        shared = member.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
+        rows = materialize(member.join(shared, "bucket"), "shared")
+        meets = rows.groupBy("node").agg(F.sum("m").alias("meets"))
+        lead = rows.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("top"))
+        return rows.join(lead.select("bucket", F.col("top.node").alias("lead")), "bucket")
 
     @staticmethod
-    def _unresolved(buckets: DataFrame, roots: DataFrame | None, led: int) -> DataFrame:
-        """Rows (bucket, node, root, lead, m) of buckets with several roots and members yet to lead."""
-        rows = buckets.filter(F.col("m") > max(led, 2)).select("bucket", "node", "lead", "m")
+    def _unresolved(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """``rows`` (bucket, node, ...) with their roots, of the buckets that hold several."""
         if roots is not None:
             rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         else:
@@ -294,26 +324,84 @@ class NearDuplicates:
             .filter("low < high")
             .select("bucket")
         )
-        return materialize(rows.join(mixed, "bucket", "left_semi"), "buckets")
+        return materialize(rows.join(mixed, "bucket", "left_semi"), "open")
 
-    @staticmethod
-    def _led(buckets: DataFrame, leaders: int, before: int) -> DataFrame:
+    def _able(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """``rows`` that may still have a partner, with n, d and s.
+
+        d is the number of shingles in which a class differs from the bucket's leader, s
+        those of them in which another class differs as well. Two classes differ in
+        d + d' less twice the shared ones, so in d + d' - 2 min(s, s') at least. Classes
+        of a bucket that agree in n, d and s are judged together, so copies of the
+        leader with changes of their own leave without being paired.
+        """
+        ends = rows.select("node", "lead").distinct()
+        left = sets.select("node", F.col("set").alias("own"))
+        right = sets.select(F.col("node").alias("lead"), F.col("set").alias("other"))
+        both = ends.join(left, "node").join(right, "lead")
+        change = F.array_union(F.array_except("own", "other"), F.array_except("other", "own"))
+        sizes = both.select("node", "lead", F.size("own").cast("long").alias("n"), change.alias("change"))
+        sizes = materialize(sizes, "changes")
+        alone = (
+            sizes.select("node", "lead", F.explode("change").alias("shingle"))
+            .groupBy("lead", "shingle")
+            .agg(F.min("node").alias("node"), F.count("*").alias("holders"))
+            .filter("holders = 1")
+            .groupBy("lead", "node")
+            .agg(F.count("*").alias("alone"))
+        )
+        sizes = sizes.select("node", "lead", "n", F.size("change").cast("long").alias("d"))
+        sizes = sizes.join(alone, ["node", "lead"], "left").withColumn(
+            "s", F.col("d") - F.coalesce("alone", F.lit(0))
+        )
+        rows = rows.join(sizes.drop("alone"), ["node", "lead"])
+        rows = materialize(rows, "differences")
+        most = rows.groupBy("bucket", "root").agg(F.count("*").alias("members"))
+        most = most.groupBy("bucket").agg(F.max_by("root", F.struct("members", "root")).alias("most"))
+        rows = rows.join(most, "bucket").withColumn("home", F.col("root") == F.col("most")).drop("most")
+        kind = ("n", "d", "s", "home")
+        kinds = rows.select("bucket", *kind).distinct()
+        able = kinds.alias("x").join(
+            kinds.alias("y"),
+            (F.col("x.bucket") == F.col("y.bucket"))
+            & ~(F.col("x.home") & F.col("y.home"))
+            & self._possible(*(F.col(f"{e}.{c}") for e in "xy" for c in ("n", "d", "s"))),
+            "left_semi",
+        )
+        rows = rows.join(able, ["bucket", *kind], "left_semi").drop("m")
+        left = rows.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
+        return materialize(rows.join(left, "bucket").drop("home"), "able")
+
+    def _possible(self, *of: Column) -> Column:
+        """Whether classes with (n, d, s) and (n', d', s') can reach the threshold."""
+        n, d, s, n2, d2, s2 = of
+        differ = d + d2 - 2 * F.least(s, s2)
+        return (100 + self.percent) * differ <= (100 - self.percent) * (n + n2)
+
+    def _led(self, rows: DataFrame, leaders: int, before: int) -> DataFrame:
         """Pairs of this round's leaders with members of other components, each once.
 
         A member leads when its hash in the bucket falls below leaders / m, so about
-        ``leaders`` members lead, and all of them once ``leaders`` reaches m.
+        ``leaders`` members lead, and all of them once ``leaders`` reaches m. A pair is
+        formed in the first open bucket that both share; that one stays open until
+        all its members have led or are one component.
         """
+        own = rows.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
         draw = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 40)) / float(1 << 40) * F.col("m")
-        rows = buckets.withColumn("draw", draw)
-        lead = rows.filter(((F.col("draw") < leaders) | (F.col("m") <= leaders)) & (F.col("draw") >= before))
-        left = lead.select("bucket", F.col("node").alias("x"), F.col("root").alias("root_x"))
-        right = rows.select("bucket", F.col("node").alias("y"), F.col("root").alias("root_y"))
-        return (
-            left.join(right, "bucket")
-            .filter("root_x <> root_y")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct()
-        )
+        rows = rows.join(own, "node").withColumn("draw", draw)
+        leads = ((F.col("draw") < leaders) | (F.col("m") <= leaders)) & (F.col("draw") >= before)
+        rows = rows.withColumn("leads", leads)
+        names = ("node", "root", "n", "d", "s", "buckets", "leads")
+        left = rows.filter("leads").select("bucket", *(F.col(c).alias(f"{c}_x") for c in names))
+        right = rows.select("bucket", *(F.col(c).alias(f"{c}_y") for c in names))
+        possible = self._possible(*(F.col(f"{c}_{e}") for e in "xy" for c in ("n", "d", "s")))
+        once = ~F.col("leads_y") | (F.col("node_x") < F.col("node_y"))
+        first = F.col("bucket") == F.array_min(F.array_intersect("buckets_x", "buckets_y"))
+        found = left.join(right, on=["bucket"]).filter((F.col("root_x") != F.col("root_y")) & possible & once)
+        found = found.filter(first)
+        return found.select(
+            F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")
+        ).distinct()
 
     def _named(self, rows: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
         named = classes.select("node", "least")
