@@ -16,7 +16,9 @@ RANGE = 2**32
 
 def hash32(seed: int, key: Sequence[str]) -> Column:
     """First 32 bits of md5(seed:key...) as a long."""
-    text = P.concat_ws(":", P.lit(str(seed)), *[P.col(k).cast("string") for k in key])
+    # concat_ws would skip nulls, and (a, null, b) would meet (a, b, null)
+    parts = [P.coalesce(P.col(k).cast("string"), P.lit("\0")) for k in key]
+    text = P.concat_ws(":", P.lit(str(seed)), *parts)
     return P.conv(P.substring(P.md5(text), 1, 8), 16, 10).cast("long")
 
 

@@ -371,16 +371,44 @@ def ranking_metrics(relevant: DataFrame, ks: Sequence[int] = (1, 3, 5)) -> DataF
 # -- regression ------------------------------------------------------------------------
 
 
-def regression_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """MSE, RMSE, MAE, R squared and explained variance in one aggregate."""
+def regression_metrics(
+    df: DataFrame, by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """MSE, RMSE, MAE, R squared and explained variance.
+
+    ``weight`` says how often a row counts. R squared is null where all labels are
+    equal. Weighted spreads are taken around the means of a first pass over one row
+    per group, so large values lose no precision.
+    """
     p, y = P.col("prediction").cast("double"), P.col("label").cast("double")
     gap = p - y
-    mse = P.avg(gap * gap)
-    shift = P.avg(p) - P.avg(y)
+    if weight is None:
+        mse, absolute = P.avg(gap * gap), P.avg(P.abs(gap))
+        spread_y, spread_p, shift = P.var_pop(y), P.var_pop(p), P.avg(p) - P.avg(y)
+    else:
+        w = P.when(gap.isNotNull(), P.col(weight))
+        y0 = P.col("_y0")
+
+        def mean(x: Column) -> Column:
+            return P.try_divide(P.sum(w * x), P.sum(w))
+
+        same: Column = P.lit(True)
+        for c in by:
+            same = same & P.col(f"a.{c}").eqNullSafe(P.col(f"m.{c}"))
+        first = df.groupBy(*by).agg(mean(y).alias("_y0"))
+        if by:
+            df = df.alias("a").join(first.alias("m"), same).select("a.*", "m._y0")
+        else:
+            df = df.withColumn("_y0", first.scalar())
+        mse, absolute = mean(gap * gap), mean(P.abs(gap))
+        off_y, off_p = mean(y - y0), mean(p - y0)
+        spread_y = mean((y - y0) * (y - y0)) - off_y * off_y
+        spread_p = mean((p - y0) * (p - y0)) - off_p * off_p
+        shift = off_p - off_y
     return df.groupBy(*by).agg(
         mse.alias("mse"),
         P.sqrt(mse).alias("rmse"),
-        P.avg(P.abs(gap)).alias("mae"),
-        (1.0 - mse / P.var_pop(y)).alias("r2"),
-        (P.var_pop(p) + shift * shift).alias("explained_variance"),
+        absolute.alias("mae"),
+        (1.0 - P.try_divide(mse, spread_y)).alias("r2"),
+        (spread_p + shift * shift).alias("explained_variance"),
     )

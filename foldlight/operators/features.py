@@ -145,14 +145,17 @@ def singular_values(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """U (input rows with a ``u`` column), s (component, value), V (feature, component).
 
-    Spark sums the Gram matrix over the rows; only the k small factors reach the
-    driver, and U = A V / s is a row expression over the input.
+    One pass sums the Gram matrix, whatever the number of features; its eigenvectors
+    are taken from that features x features matrix, and U = A V / s is a row
+    expression over the input. Values below ``r_cond`` times the largest are left out.
     """
     spark = df.sparkSession
     rows = MLUtils.convertVectorColumnsFromML(as_vector(df.select(features), features), features)
-    svd = RowMatrix(rows).computeSVD(k, computeU=False, rCond=r_cond)
-    s = np.array(svd.s)
-    v = svd.V.toArray()
+    gram = RowMatrix(rows).computeGramianMatrix().toArray()
+    squares, v = np.linalg.eigh(gram)
+    s = np.sqrt(np.maximum(squares[::-1], 0.0))[:k]
+    s = s[s > r_cond * max(s[:1], default=0.0)]
+    v = v[:, ::-1][:, : len(s)]
     v = v * _signs(v)
     values = spark.createDataFrame(
         [(i, float(x)) for i, x in enumerate(s)], "component int, singular_value double"

@@ -12,11 +12,10 @@ from pyspark.sql import functions as P
 def baskets_from_rows(df: DataFrame, basket: Sequence[str], item: str) -> DataFrame:
     """Long (basket, item) rows to one array of distinct items per basket.
 
-    Repeats are removed before the items meet, so a basket holds at most the
-    number of distinct items.
+    Each map task drops repeats before the one shuffle, so a basket holds at most
+    the number of distinct items. Its items meet in one row, as the estimators need.
     """
-    pairs = df.select(*basket, P.col(item).alias("item")).distinct()
-    return pairs.groupBy(*basket).agg(P.sort_array(P.collect_list("item")).alias("items"))
+    return df.groupBy(*basket).agg(P.sort_array(P.collect_set(item)).alias("items"))
 
 
 def fit_fpgrowth(
@@ -83,12 +82,11 @@ def sequences_from_rows(
 ) -> DataFrame:
     """Long rows to one ordered array of itemsets per sequence.
 
-    Repeats within a step are removed first; what meets in a sequence is its
-    distinct (step, item) pairs.
+    Each map task drops repeats within a step before the shuffle; what meets in a
+    sequence is its distinct (step, item) pairs. Two shuffles: by step, by sequence.
     """
-    cells = df.select(*sequence, P.col(step).alias("step"), P.col(item).alias("item")).distinct()
-    steps = cells.groupBy(*sequence, "step").agg(
-        P.sort_array(P.collect_list("item")).alias("items")
+    steps = df.groupBy(*sequence, P.col(step).alias("step")).agg(
+        P.sort_array(P.collect_set(item)).alias("items")
     )
     ordered = P.sort_array(P.collect_list(P.struct("step", "items")))
     return steps.groupBy(*sequence).agg(

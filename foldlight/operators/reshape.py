@@ -167,24 +167,18 @@ def items_by_user(ratings: DataFrame, min_rating: float = 0.0) -> DataFrame:
 
 
 def item_lists(
-    ratings: DataFrame, min_rating: float = 0.0, chunk: int = 100_000
+    ratings: DataFrame, min_rating: float = 0.0, chunks: int = 1
 ) -> DataFrame:
     """A1: the liked items of each user as sorted lists (user, chunk, items).
 
-    A user has one list (chunk 0) up to about ``chunk`` distinct items; larger
-    users are split over several chunks by a hash of the item, so no row and no
-    task holds an unbounded list. Users without liked items keep an empty list.
+    Items are dealt over ``chunks`` lists by their hash, for every user alike and
+    whatever its size; with one chunk a user is one row. Choose as many as keep the
+    longest list small. Users without liked items keep one empty list.
     """
     long = items_by_user(ratings, min_rating)
-    per_user = long.groupBy("user").agg(
-        P.greatest(P.ceil(P.count("item") / P.lit(chunk)), P.lit(1)).alias("_chunks")
-    )
-    spread = P.pmod(P.xxhash64("item"), P.col("_chunks"))
+    dealt = P.coalesce(P.pmod(P.xxhash64("item"), P.lit(chunks)), P.lit(0)).cast("int")
     return (
-        long.join(per_user, "user")
-        .withColumn("chunk", P.when(P.col("item").isNull(), 0).otherwise(spread).cast("int"))
-        # without this the group-by would keep the join's partitioning by user alone
-        .repartition("user", "chunk")
+        long.withColumn("chunk", P.when(P.col("item").isNull(), 0).otherwise(dealt))
         .groupBy("user", "chunk")
         .agg(P.sort_array(P.collect_list("item")).alias("items"))
     )

@@ -65,6 +65,35 @@ def running_totals(
     )
 
 
+def with_file_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """P6 for rows without a key: ids 0 .. n-1 in the order of the input files.
+
+    The rows are written once with their file, block and place, so the ids are the
+    same for every later job. Rows of a block follow each other, so only the counts
+    per block meet in one window and no row is shuffled. Rows that come from no file
+    count in the order of their partitions.
+    """
+    block = ["_file", "_block", "_split"]
+    rows = materialize(
+        df.select(
+            "*",
+            P.input_file_name().alias("_file"),
+            P.input_file_block_start().alias("_block"),
+            P.spark_partition_id().alias("_split"),
+            P.monotonically_increasing_id().alias("_place"),
+        ),
+        "numbered",
+    )
+    blocks = rows.groupBy(*block).agg(
+        P.count(P.lit(1)).alias("_n"), P.min("_place").alias("_low")
+    )
+    # one row per block of input meets in this window
+    earlier = Window.partitionBy(P.lit(0)).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    first = P.coalesce(P.sum("_n").over(earlier), P.lit(0))
+    starts = blocks.select(*block, (first - P.col("_low")).alias("_shift"))
+    return rows.join(starts, block).select((P.col("_place") + P.col("_shift")).alias(name), *df.columns)
+
+
 def with_row_id(df: DataFrame, key: Sequence[str], name: str = "row_id") -> DataFrame:
     """Ids 0 .. n-1 in the order of a unique key."""
     numbered = running_totals(df.withColumn("_one", P.lit(1).cast("long")), key, ["_one"])

@@ -6,10 +6,11 @@ from collections.abc import Mapping, Sequence
 from itertools import accumulate
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as P
 
 from foldlight.functions.hashing import RANGE, bucket, hash32, unit_interval
+from foldlight.functions.lookup import with_lookup
 
 
 def k_fold(
@@ -39,18 +40,12 @@ def sample_fraction(
     return df.filter(unit_interval(seed, key) < fraction)
 
 
-def _fraction_of(stratum: str, fractions: Mapping[Any, float]) -> Column:
-    chosen = P.lit(0.0)
-    for value, fraction in fractions.items():
-        chosen = P.when(P.col(stratum) == P.lit(value), P.lit(float(fraction))).otherwise(chosen)
-    return chosen
-
-
 def stratified_sample(
     df: DataFrame, stratum: str, fractions: Mapping[Any, float], seed: int, key: Sequence[str]
 ) -> DataFrame:
     """Bernoulli sample with one fraction per stratum; strata not named give no row."""
-    return df.filter(unit_interval(seed, key) < _fraction_of(stratum, fractions))
+    rows = with_lookup(df, stratum, fractions, "_fraction")
+    return rows.filter(unit_interval(seed, key) < P.col("_fraction")).drop("_fraction")
 
 
 def stratified_sample_exact(
@@ -71,9 +66,10 @@ def stratified_sample_exact(
     tagged = df.filter(P.col(stratum).isin(*fractions)).withColumn("_h", hash32(seed, key))
     tagged = tagged.withColumn("_slice", P.floor(P.col("_h") / width).cast("int"))
     counts = tagged.groupBy(stratum, "_slice").agg(P.count(P.lit(1)).alias("_n"))
+    counts = with_lookup(counts, stratum, fractions, "_fraction")
     group = Window.partitionBy(stratum)
     upto = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    quota = P.ceil(_fraction_of(stratum, fractions) * P.sum("_n").over(group))
+    quota = P.ceil(P.max("_fraction").over(group) * P.sum("_n").over(group))
     cut = (
         counts.withColumn("_quota", quota)
         .withColumn("_upto", P.sum("_n").over(upto))

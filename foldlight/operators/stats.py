@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as P
 
 from foldlight.functions.tails import chi2_p, ks_p, normal_cdf, t_p
+from foldlight.functions.lookup import with_lookup
 from foldlight.functions.vectors import as_array, as_vector
 from foldlight.operators.running import average_ranks, running_totals
 from foldlight.session import materialize
@@ -37,13 +38,18 @@ def column_stats(df: DataFrame, features: str = "features") -> DataFrame:
     )
 
 
+def _ratio_or_nan(above: Column, below: Column) -> Column:
+    """NaN where a column is constant or empty, as in Spark's correlation matrix."""
+    return P.coalesce(P.try_divide(above, below), P.lit(float("nan")))
+
+
 def _weighted_pearson(x: Column, y: Column, n: Column) -> Column:
     """Correlation of ranks with counts; ranks are centred by the caller."""
-    return P.sum(n * x * y) / P.sqrt(P.sum(n * x * x) * P.sum(n * y * y))
+    return _ratio_or_nan(P.sum(n * x * y), P.sqrt(P.sum(n * x * x) * P.sum(n * y * y)))
 
 
 def correlation(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFrame:
-    """Q2: Pearson or Spearman correlation of two columns.
+    """Q2: Pearson or Spearman correlation of two columns; NaN where one is constant.
 
     Spearman counts equal (x, y) pairs first and joins the average ranks to
     these counts, so a value that fills a third of the rows travels once.
@@ -51,7 +57,8 @@ def correlation(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataF
     both = df.select(P.col(x).cast("double").alias("x"), P.col(y).cast("double").alias("y"))
     both = both.dropna()
     if method == "pearson":
-        return both.agg(P.corr("x", "y").alias("correlation"))
+        spread = P.sqrt(P.var_pop("x") * P.var_pop("y"))
+        return both.agg(_ratio_or_nan(P.covar_pop("x", "y"), spread).alias("correlation"))
     if method != "spearman":
         raise ValueError(f"unknown method {method!r}")
     pairs = both.groupBy("x", "y").agg(P.count(P.lit(1)).alias("n"))
@@ -111,7 +118,8 @@ def chi_square_fit(
 ) -> DataFrame:
     """Q4: observed category counts against equal or given frequencies.
 
-    Given frequencies are scaled to the observed total.
+    Given frequencies are scaled to the observed total. A category without one,
+    the null category included, has expected count 0: the statistic is infinite.
     """
     amount = P.sum(P.col(weight).cast("double")) if weight else P.count(P.lit(1)).cast("double")
     counts = df.groupBy(category).agg(amount.alias("o"))
@@ -122,14 +130,12 @@ def chi_square_fit(
         )
     else:
         total = float(sum(expected.values()))
-        share = P.lit(None).cast("double")
-        for value, e in expected.items():
-            share = P.when(P.col(category) == P.lit(value), e / total).otherwise(share)
+        shares = {value: e / total for value, e in expected.items()}
         # sum (o - pN)^2 / pN with N = sum o
-        test = counts.withColumn("p", share).agg(
-            (P.sum(P.col("o") * P.col("o") / P.col("p")) / P.sum("o") - P.sum("o")).alias(
-                "statistic"
-            ),
+        fit = P.sum(P.col("o") * P.col("o") / P.col("p")) / P.sum("o") - P.sum("o")
+        unlisted = P.max((P.col("p").isNull() & (P.col("o") > 0)).cast("int")) == 1
+        test = with_lookup(counts, category, shares, "p").agg(
+            P.when(unlisted, float("inf")).otherwise(fit).alias("statistic"),
             P.lit(len(expected) - 1).cast("long").alias("degrees"),
         )
     return test.withColumn("p_value", chi2_p("statistic", "degrees"))
@@ -140,9 +146,11 @@ def chi_square_independence(
 ) -> DataFrame:
     """Q5: Pearson test on the contingency table of two columns.
 
-    Only observed cells are joined with their margins. The empty cells add the
-    expected counts that the observed cells leave over, so they need no rows.
+    Rows with a null category are left out. Only observed cells are joined with
+    their margins. The empty cells add the expected counts that the observed cells
+    leave over, so they need no rows.
     """
+    df = df.dropna(subset=[row, col])
     amount = P.sum(P.col(weight).cast("double")) if weight else P.count(P.lit(1)).cast("double")
     cells = df.groupBy(P.col(row).alias("r"), P.col(col).alias("c")).agg(amount.alias("o"))
     rows = cells.groupBy("r").agg(P.sum("o").alias("ro"))
@@ -227,11 +235,15 @@ def kernel_density(
 
 
 def welch_from_moments(moments: DataFrame) -> DataFrame:
-    """Q9 formula on a row of n0, mean0, var0, n1, mean1, var1 (sample variances)."""
+    """Q9 formula on a row of n0, mean0, var0, n1, mean1, var1 (sample variances).
+
+    t, degrees and p are null where both groups are constant or one is a single value.
+    """
     a = P.col("var0") / P.col("n0")
     b = P.col("var1") / P.col("n1")
-    t = (P.col("mean0") - P.col("mean1")) / P.sqrt(a + b)
-    degrees = (a + b) * (a + b) / (a * a / (P.col("n0") - 1) + b * b / (P.col("n1") - 1))
+    t = P.try_divide(P.col("mean0") - P.col("mean1"), P.sqrt(a + b))
+    within = P.try_divide(a * a, P.col("n0") - 1) + P.try_divide(b * b, P.col("n1") - 1)
+    degrees = P.try_divide((a + b) * (a + b), within)
     return moments.select("*", t.alias("t"), degrees.alias("degrees")).withColumn(
         "p_value", t_p("t", "degrees")
     )

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as P
 
-from foldlight.operators import evaluate, recommend, reshape, running
+from foldlight.operators import evaluate, recommend, reshape, running, sampling
 from foldlight.plans.catalog.registry import (
+    FOLD_SEED,
+    LINE_KEY,
     SQL_FEATURES,
     SQL_LABEL,
     SQL_RATED,
     SQL_RATINGS,
     SQL_RULED,
     SQL_TOP,
+    class_label,
     embedding_rows,
     line_features,
     query,
@@ -20,9 +23,11 @@ from foldlight.plans.catalog.registry import (
     recency,
     rounded,
     ruled_lines,
+    sql_hash,
     sql_rounded,
 )
-from foldlight.sources.readers import table
+from foldlight.session import scratch_path
+from foldlight.sources.readers import read_class_features, table
 
 LIKED = 12.0
 
@@ -103,6 +108,34 @@ def p5_append_bias(spark, folder):
     )
 
 
+@query(
+    "p6_file_row_id",
+    f"""SELECT row_number() OVER (ORDER BY {', '.join(LINE_KEY)}) - 1 AS row_id,
+      {SQL_LABEL} AS label, l_quantity AS quantity FROM lineitem""",
+)
+def p6_file_row_id(spark, folder):
+    """lineitem in key order as a class-feature file without a key, numbered when read back."""
+    path = scratch_path(spark, "class-features")
+    lines = table(spark, folder, "lineitem").orderBy(*LINE_KEY)
+    text = P.concat_ws(",", class_label().cast("string"), P.col("l_quantity").cast("string"))
+    lines.select(text.alias("value")).write.text(path)
+    rows = running.with_file_row_id(read_class_features(spark, path))
+    return rows.select("row_id", "label", P.col("features")[0].alias("quantity"))
+
+
+@query(
+    "f1_fold_of_file_rows",
+    f"""WITH numbered AS (
+      SELECT row_number() OVER (ORDER BY {', '.join(LINE_KEY)}) - 1 AS row_id FROM lineitem)
+    SELECT CAST({sql_hash(FOLD_SEED, 'row_id')} % 10 AS INT) AS fold, count(*) AS n
+    FROM numbered GROUP BY 1""",
+)
+def f1_fold_of_file_rows(spark, folder):
+    """Sizes of the ten folds that the class-feature jobs make of a file."""
+    folded = sampling.k_fold(p6_file_row_id(spark, folder), 10, FOLD_SEED, ["row_id"])
+    return folded.groupBy("fold").agg(P.count(P.lit(1)).alias("n"))
+
+
 @query(
     "p6_with_row_id",
     """SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS row_id, o_orderkey

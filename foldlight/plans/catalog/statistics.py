@@ -208,26 +208,39 @@ def q8_kernel_density(spark, folder):
     return out.select("point", *rounded(10, "density"))
 
 
-SQL_WELCH = """
+SQL_T = "(mean0 - mean1) / sqrt(var0 / n0 + var1 / n1)"
+SQL_DEGREES = (
+    "(var0 / n0 + var1 / n1) ** 2 / ((var0 / n0) ** 2 / (n0 - 1) + (var1 / n1) ** 2 / (n1 - 1))"
+)
+
+
+def sql_t_p(t: str, v: str, steps: int = 2000) -> str:
+    """Two-sided p of Student's t by Simpson's rule over its density."""
+    return f"""(1 - 2 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt({v} * pi())
+      * abs({t}) / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i:
+        (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+        * pow(1 + pow({t} * i / {steps}.0, 2) / {v}, -({v} + 1) / 2))))"""
+
+
+SQL_WELCH = f"""
 g AS (SELECT count(*) FILTER (event_type <> 'purchase')::DOUBLE AS n0,
     avg(value) FILTER (event_type <> 'purchase') AS mean0,
     var_samp(value) FILTER (event_type <> 'purchase') AS var0,
     count(*) FILTER (event_type = 'purchase')::DOUBLE AS n1,
     avg(value) FILTER (event_type = 'purchase') AS mean1,
     var_samp(value) FILTER (event_type = 'purchase') AS var1 FROM events),
-welch AS (SELECT *, (mean0 - mean1) / sqrt(var0 / n0 + var1 / n1) AS t,
-    (var0 / n0 + var1 / n1) ** 2 / ((var0 / n0) ** 2 / (n0 - 1) + (var1 / n1) ** 2 / (n1 - 1))
-      AS degrees FROM g)
+welch AS (SELECT *, {SQL_T} AS t, {SQL_DEGREES} AS degrees FROM g)
 SELECT CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1, round(mean0, 6) AS mean0,
   round(mean1, 6) AS mean1, round(var0, 6) AS var0, round(var1, 6) AS var1,
-  round(t, 6) AS t, round(degrees, 4) AS degrees FROM welch"""
+  round(t, 6) AS t, round(degrees, 4) AS degrees,
+  round({sql_t_p('t', 'degrees')}, 6) AS p_value FROM welch"""
 
 
 def welch_columns(df):
     return df.select(
         P.col("n0").cast("long").alias("n0"),
         P.col("n1").cast("long").alias("n1"),
-        *rounded(6, "mean0", "mean1", "var0", "var1", "t"),
+        *rounded(6, "mean0", "mean1", "var0", "var1", "t", "p_value"),
         *rounded(4, "degrees"),
     )
 

@@ -1,7 +1,7 @@
 """The class-feature jobs: from a table (label, features) to its report tables.
 
 Each job takes what ``read_class_features`` gives. Such a table has no row key,
-so folds go by the row content; equal rows share a fold.
+so its rows are numbered once in input order and folds go by the number.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from foldlight.operators.features import (
     label_restorer,
 )
 from foldlight.operators.reshape import fold_summary
+from foldlight.operators.running import with_file_row_id
 from foldlight.operators.sampling import k_fold
 from foldlight.plans.cross_validation import (
     SCORES,
@@ -39,13 +40,18 @@ from foldlight.plans.cross_validation import (
 )
 from foldlight.plans.thresholds import search_from_scores
 
-ROW = ("label", "features")
+ROW = ("row_id",)
 # The fold seeds of the jobs.
 SEED = 77678969
 SVM_SEED = 8762387863872386238
 BAYES_SEED = 457687989080
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its ``row_id``, given or new."""
+    return df if "row_id" in df.columns else with_file_row_id(df)
+
+
 def _behind_indexers(df: DataFrame, classifier) -> tuple[Pipeline, int]:
     """Indexers fitted on all rows, the classifier, and the way back to label text.
 
@@ -61,6 +67,7 @@ def _behind_indexers(df: DataFrame, classifier) -> tuple[Pipeline, int]:
 
 
 def _indexed_job(df: DataFrame, classifier, k: int) -> tuple[DataFrame, DataFrame]:
+    df = numbered(df)
     pipeline, positive = _behind_indexers(df, classifier)
     _, per_fold, summary = cross_validate(
         pipeline, df, k, SEED, ROW, prediction="predicted_label", keep=(), positive=positive
@@ -81,7 +88,7 @@ def logistic_pipeline_job(df: DataFrame, k: int = 10) -> tuple[DataFrame, DataFr
 def logistic_job(df: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """Cross-validated plain logistic regression: per fold, means."""
     _, per_fold, summary = cross_validate(
-        LogisticRegression(), df, k, BAYES_SEED, ROW, keep=()
+        LogisticRegression(), numbered(df), k, BAYES_SEED, ROW, keep=()
     )
     return per_fold, summary
 
@@ -89,14 +96,14 @@ def logistic_job(df: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
 def elastic_logistic_job(df: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """Cross-validated elastic-net logistic regression: per fold, means."""
     estimator = LogisticRegression(maxIter=10, regParam=0.7, elasticNetParam=0.8)
-    _, per_fold, summary = cross_validate(estimator, df, k, BAYES_SEED, ROW, keep=())
+    _, per_fold, summary = cross_validate(estimator, numbered(df), k, BAYES_SEED, ROW, keep=())
     return per_fold, summary
 
 
 def naive_bayes_job(df: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """Cross-validated multinomial naive Bayes: per fold, means."""
     _, per_fold, summary = cross_validate(
-        NaiveBayes(smoothing=1.0), df, k, BAYES_SEED, ROW, keep=()
+        NaiveBayes(smoothing=1.0), numbered(df), k, BAYES_SEED, ROW, keep=()
     )
     return per_fold, summary
 
@@ -108,7 +115,7 @@ def svm_job(
     svm = LinearSVC(maxIter=iterations, regParam=0.01)
     estimator = svm if len(classes) == 2 else OneVsRest(classifier=svm)
     _, per_fold, summary = cross_validate(
-        estimator, df, k, SVM_SEED, ROW, classes=classes, keep=()
+        estimator, numbered(df), k, SVM_SEED, ROW, classes=classes, keep=()
     )
     return per_fold, summary
 
@@ -126,7 +133,7 @@ def svm_threshold_job(
     threshold, with it all thresholds above that F1. ``from_training`` lets the
     training rows of a fold propose instead of its validation rows.
     """
-    folded = k_fold(df, k, SVM_SEED, ROW)
+    folded = k_fold(numbered(df), k, SVM_SEED, ROW)
     svm = LinearSVC(maxIter=iterations, regParam=0.01)
     scored = score_folds(svm, folded, k)
     proposing = score_folds(svm, folded, k, training_rows=True) if from_training else None
@@ -139,6 +146,7 @@ def svm_threshold_job(
 
 def forest_grid_job(df: DataFrame, k: int = 10) -> tuple[Model, DataFrame]:
     """Grid search over a forest behind the indexers: best model, mean accuracy per setting."""
+    df = numbered(df)
     forest = RandomForestClassifier()
     pipeline, _ = _behind_indexers(df, forest)
     grid = {"maxDepth": [2, 4, 6], "maxBins": [20, 60], "numTrees": [5, 20]}

@@ -33,10 +33,25 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(P.trim("value") != "")
 
 
-def read_class_features(spark: SparkSession, path: str, mode: str = FAIL) -> DataFrame:
-    """CSV of label and features; every line that starts with ``ClassId`` is dropped."""
+def read_class_features(
+    spark: SparkSession, path: str, mode: str = FAIL, fields: int | None = None
+) -> DataFrame:
+    """CSV of label and features; every line that starts with ``ClassId`` is dropped.
+
+    Every line must have ``fields`` numbers, as many as the first one if not given;
+    other lines are errors, or dropped by ``mode``.
+    """
     rows = _lines(spark, path).filter(~P.col("value").startswith("ClassId"))
+    if fields is None:
+        first = rows.first()
+        fields = first["value"].count(",") + 1 if first else 1
     numbers = rows.select(_numbers(P.split("value", ","), mode).alias("_all"))
+    whole = P.size("_all") == fields
+    if mode == DROP:
+        numbers = numbers.filter(whole)
+    else:
+        text = P.concat(P.lit(f"a line has not {fields} fields but "), P.size("_all").cast("string"))
+        numbers = numbers.select(P.when(whole, P.col("_all")).otherwise(P.raise_error(text)).alias("_all"))
     return _keep_parsed(numbers, mode, "_all").select(
         P.col("_all")[0].alias("label"),
         P.slice("_all", P.lit(2), P.size("_all") - 1).alias("features"),
@@ -70,10 +85,13 @@ def read_number_rows(spark: SparkSession, path: str, mode: str = FAIL) -> DataFr
 def read_label_comma_numbers(spark: SparkSession, path: str, mode: str = FAIL) -> DataFrame:
     """``label,f1 f2 ...`` with all features."""
     sides = P.split("value", ",", 2)
+    rest = P.get(sides, 1) if mode == DROP else sides[1]  # a line without a comma is an error or dropped
     rows = _lines(spark, path).select(
         _numbers(P.array(sides[0]), mode).alias("_label"),
-        _numbers(P.split(P.trim(sides[1]), " "), mode).alias("features"),
+        _numbers(P.split(P.trim(rest), " "), mode).alias("features"),
     )
+    if mode == DROP:
+        rows = rows.filter(P.col("features").isNotNull())
     return _keep_parsed(rows, mode, "_label", "features").select(
         P.col("_label")[0].alias("label"), "features"
     )
@@ -85,6 +103,10 @@ def read_ratings(
     """``user SEP item SEP rating``; further fields are ignored."""
     fields = P.split("value", rf"\Q{sep}\E")
     numbers = _lines(spark, path).select(_numbers(P.slice(fields, 1, 3), mode).alias("_all"))
+    if mode == DROP:
+        whole = P.col("_all")
+        ids = [P.get(whole, P.lit(i)).try_cast("int") for i in (0, 1)]
+        numbers = numbers.filter((P.size(whole) == 3) & ids[0].isNotNull() & ids[1].isNotNull())
     return _keep_parsed(numbers, mode, "_all").select(
         P.col("_all")[0].cast("int").alias("user"),
         P.col("_all")[1].cast("int").alias("item"),

@@ -100,7 +100,7 @@ def streaming_welch(
     window_size: int = 0,
     folder: str | None = None,
     trigger: dict | None = None,
-    on_result: Callable[[int, DataFrame], None] | None = None,
+    on_result: Callable[[int, DataFrame | None], bool | None] | None = None,
 ) -> WelchStream:
     """A Welch test after each batch of a (label, value) stream.
 
@@ -109,11 +109,12 @@ def streaming_welch(
     rows and its result under its own batch id, replacing what an earlier attempt at
     the same batch left, so a restart from the checkpoint repeats nothing.
     ``trigger`` goes to ``writeStream.trigger``; the default takes what is there
-    and stops.
+    and stops. ``on_result`` is called after every batch, with None for an ignored
+    one; once it returns true, later batches are neither tested nor written.
     """
     spark = stream.sparkSession
     folder = folder or scratch_path(spark, "welch")
-    progress: dict = {"batches": 0}
+    progress: dict = {"batches": 0, "stopped": False}
     # so that the results can be read before the first batch has one
     spark.createDataFrame([], RESULTS).write.mode("ignore").parquet(f"{folder}/results/none")
 
@@ -121,9 +122,13 @@ def streaming_welch(
         df.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{kind}/b{batch_id}")
 
     def handle(samples: DataFrame, batch_id: int) -> None:
+        if progress["stopped"]:
+            return
         session = samples.sparkSession
         progress["batches"] = batch_id + 1
         if batch_id < peace_period:
+            if on_result is not None:
+                progress["stopped"] = bool(on_result(batch_id, None))
             return
 
         def stored(kind: str, first: int, last: int) -> DataFrame:
@@ -146,7 +151,8 @@ def streaming_welch(
         )
         target = f"{folder}/results/b{batch_id}"
         if on_result is not None:
-            on_result(batch_id, session.read.schema(RESULTS).parquet(target))
+            result = session.read.schema(RESULTS).parquet(target)
+            progress["stopped"] = bool(on_result(batch_id, result))
 
     query = (
         stream.writeStream.foreachBatch(handle)
@@ -158,7 +164,7 @@ def streaming_welch(
 
 
 def stop_when_significant(
-    start: Callable[[Callable[[int, DataFrame], None]], WelchStream],
+    start: Callable[[Callable[[int, DataFrame | None], bool]], WelchStream],
     alpha: float = 0.05,
     max_batches: int | None = None,
     poll_seconds: float = 0.1,
@@ -166,18 +172,19 @@ def stop_when_significant(
     """Run a test until p < alpha, the batch limit is used up or the input ends.
 
     ``start`` gets the callback to pass on as ``on_result`` and returns the
-    running stream. Batches after the deciding one may still have begun; their
-    results are kept.
+    running stream. Every batch counts, ignored ones too. Batches after the deciding
+    one leave no result.
     """
     found = {"reason": ""}
     seen = {"batches": 0}
 
-    def watch(batch_id: int, result: DataFrame) -> None:
+    def watch(batch_id: int, result: DataFrame | None) -> bool:
         seen["batches"] += 1
-        if not found["reason"] and not significant(result, alpha).isEmpty():
+        if result is not None and not significant(result, alpha).isEmpty():
             found["reason"] = "significant"
-        elif not found["reason"] and max_batches is not None and seen["batches"] >= max_batches:
+        elif max_batches is not None and seen["batches"] >= max_batches:
             found["reason"] = "batches"
+        return bool(found["reason"])
 
     running = start(watch)
     while running.query.isActive and not found["reason"]:

@@ -101,7 +101,7 @@ def test_kmeans_job(binary):
 def test_grid_job(binary):
     grid = {"maxDepth": [2, 4], "numTrees": [3]}
     model, table = cross_validation.grid_search(
-        RandomForestClassifier(seed=1), grid, binary, k=3, key=jobs.ROW
+        RandomForestClassifier(seed=1), grid, jobs.numbered(binary), k=3, key=jobs.ROW
     )
     rows = table.collect()
     assert {r["maxDepth"] for r in rows} == {2, 4}

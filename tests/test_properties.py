@@ -132,7 +132,7 @@ def test_hot_user_is_split_over_chunks(spark):
     hot = [(1, i, 5.0) for i in range(400)]
     rest = [(u, u, 5.0 if u % 2 else 0.0) for u in range(2, 40)]
     df = spark.createDataFrame(hot + rest, "user int, item int, rating double")
-    lists = reshape.item_lists(df, 0.0, chunk=50).collect()
+    lists = reshape.item_lists(df, 0.0, chunks=8).collect()
     mine = [r for r in lists if r["user"] == 1]
     assert len(mine) == 8
     assert sorted(i for r in mine for i in r["items"]) == list(range(400))
