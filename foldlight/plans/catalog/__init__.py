@@ -17,6 +17,7 @@ for _module in (
     "estimators",
     "checked_models",
     "checked_selection",
+    "checked_factors",
     "files",
     "streams",
 ):

@@ -516,7 +516,7 @@ def user_item_ratings(spark, folder):
 )
 def l3_recommend_for_all_users(spark, folder):
     """Ten different items for every user, in falling order of rating."""
-    model = recommend.fit_als(user_item_ratings(spark, folder), rank=4, iterations=5, reg=0.1)
+    model = recommend.fit_als(user_item_ratings(spark, folder), rank=10, iterations=10, reg=0.1)
     recs = recommend.recommend_for_all_users(model, 10)
     ordered = P.forall(
         P.sequence(P.lit(1), P.lit(9)),
@@ -536,7 +536,7 @@ def l3_recommend_for_all_users(spark, folder):
 )
 def l2_predict_ratings(spark, folder):
     rated = user_item_ratings(spark, folder)
-    model = recommend.fit_als(rated, rank=4, iterations=5, reg=0.1)
+    model = recommend.fit_als(rated, rank=10, iterations=10, reg=0.1)
     predicted = recommend.predict_ratings(model, rated)
     return predicted.agg(
         P.count(P.lit(1)).alias("pairs"), P.count("prediction").alias("predicted")
@@ -545,11 +545,11 @@ def l2_predict_ratings(spark, folder):
 
 @query(
     "l4_factors",
-    """SELECT 'item' AS side, count(DISTINCT props) AS ids, CAST(4 AS BIGINT) AS rank FROM events
-    UNION ALL SELECT 'user', count(DISTINCT user_id), 4 FROM events""",
+    """SELECT 'item' AS side, count(DISTINCT props) AS ids, CAST(10 AS BIGINT) AS rank FROM events
+    UNION ALL SELECT 'user', count(DISTINCT user_id), 10 FROM events""",
 )
 def l4_factors(spark, folder):
-    model = recommend.fit_als(user_item_ratings(spark, folder), rank=4, iterations=5, reg=0.1)
+    model = recommend.fit_als(user_item_ratings(spark, folder), rank=10, iterations=10, reg=0.1)
     sides = [
         factors.agg(
             P.count_distinct("id").alias("ids"), P.max(P.size("features")).cast("long").alias("rank")

@@ -181,7 +181,7 @@ def l1_regression_evaluation(spark, folder):
 @query("n1_cross_validate_logistic")
 def n1_cross_validate_logistic(spark, folder):
     _, per_fold, _ = cross_validation.cross_validate(
-        LogisticRegression(maxIter=10), quality_rows(spark, folder), k=5, key=["doc_id"]
+        LogisticRegression(maxIter=10), quality_rows(spark, folder), k=10, key=["doc_id"]
     )
     return per_fold
 
@@ -190,9 +190,9 @@ def n1_cross_validate_logistic(spark, folder):
 def n2_grid_search(spark, folder):
     _, settings = cross_validation.grid_search(
         RandomForestClassifier(seed=12345),
-        {"maxDepth": [2, 4], "maxBins": [20, 60], "numTrees": [5]},
+        {"maxDepth": [2, 4, 6], "maxBins": [20, 60], "numTrees": [5, 20]},
         quality_rows(spark, folder),
-        k=3,
+        k=10,
         seed=FOLD_SEED,
         key=["doc_id"],
     )
@@ -202,14 +202,14 @@ def n2_grid_search(spark, folder):
 @query("n5_svm_threshold_search")
 def n5_svm_threshold_search(spark, folder):
     """Fit each fold once, then search the threshold over the scored table."""
-    folded = sampling.k_fold(quality_rows(spark, folder), 5, FOLD_SEED, ["doc_id"])
-    scored = cross_validation.score_folds(LinearSVC(maxIter=100, regParam=0.01), folded, 5)
-    return thresholds.search_from_scores(scored, 5)
+    folded = sampling.k_fold(quality_rows(spark, folder), 10, FOLD_SEED, ["doc_id"])
+    scored = cross_validation.score_folds(LinearSVC(maxIter=100, regParam=0.01), folded, 10)
+    return thresholds.search_from_scores(scored, 10)
 
 
 @query("n6_compare_data_sets")
 def n6_compare_data_sets(spark, folder):
     forms = cross_validation.with_reduced_forms({"embeddings": embedding_rows(spark, folder)}, 8)
     return cross_validation.compare_data_sets(
-        LogisticRegression(maxIter=10), forms, k=3, key=["vec_id"]
+        LogisticRegression(maxIter=10), forms, k=10, key=["vec_id"]
     )
