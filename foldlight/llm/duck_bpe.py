@@ -1,7 +1,7 @@
 """Byte-level BPE by recursive queries of an in-process DuckDB in each task.
 
 Encoding: the split pattern cuts texts into words. Words not met before in this
-worker become rows (word, position, token), one per byte. Each step of a
+worker become rows (word and position, token), one per byte. Each step of a
 recursive query joins neighbouring tokens with the merge table, finds the lowest
 rank in each word and contracts its leftmost pair, together with the pairs of the
 same rank further right that do not overlap; that is what contracting one pair
@@ -40,34 +40,37 @@ from foldlight.llm.words import chunks, kept
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-KNOWN = 300_000
+KNOWN = 500_000
 PART = 1 << 20
-WORDS_AT_ONCE = 40_000
-TOKENS_AT_ONCE = 1 << 20
+WORDS_AT_ONCE = 20_000
+TOKENS_AT_ONCE = 1 << 18
 
-ENCODE = """
-WITH RECURSIVE step(word, place, token, after, done) AS (
-  SELECT word, place, token, lead(token) OVER (PARTITION BY word ORDER BY place), false FROM start
+PLACES = 1 << 24  # a row's id is its word's number times this, plus its place
+
+ENCODE = f"""
+WITH RECURSIVE step(id, token, after, done) AS (
+  SELECT id, token, CASE WHEN lead(id) OVER o // {PLACES} = id // {PLACES} THEN lead(token) OVER o END, false
+  FROM start WINDOW o AS (ORDER BY id)
   UNION ALL
   (WITH
    pairs AS MATERIALIZED (
-     SELECT s.word, s.place, s.token, m.made
+     SELECT s.id, s.token, m.made
      FROM step s LEFT JOIN merges m ON s.token = m.first AND s.after = m.second
      WHERE NOT s.done),
-   lowest AS MATERIALIZED (SELECT word, min(made) AS best FROM pairs GROUP BY word),
+   lowest AS MATERIALIZED (SELECT id // {PLACES} AS word, min(made) AS best FROM pairs GROUP BY 1),
    numbered AS (
-     SELECT word, place, token, best, coalesce(made = best, false) AS hit,
-            row_number() OVER (PARTITION BY word ORDER BY place) AS n
-     FROM pairs JOIN lowest USING (word)),
-   runs AS (  -- consecutive hits right before each row
+     SELECT id, token, best, coalesce(made = best, false) AS hit, row_number() OVER (ORDER BY id) AS n
+     FROM pairs JOIN lowest ON id // {PLACES} = word),
+   runs AS (  -- consecutive hits right before each row; the last row of a word is never a hit
      SELECT *, n - 1 - coalesce(max(CASE WHEN NOT hit THEN n END) OVER (
-              PARTITION BY word ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+              ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
      FROM numbered),
    contracted AS (  -- of overlapping hits every second one, from the left, takes the token after it
-     SELECT word, place, CASE WHEN hit THEN best ELSE token END AS token, best IS NULL AS done
+     SELECT id, CASE WHEN hit THEN best ELSE token END AS token, best IS NULL AS done
      FROM runs WHERE before % 2 = 0)
-   SELECT word, place, token, lead(token) OVER (PARTITION BY word ORDER BY place), done FROM contracted))
-SELECT word, list(token ORDER BY place) AS ids FROM step WHERE done GROUP BY word ORDER BY word
+   SELECT id, token, CASE WHEN lead(id) OVER o // {PLACES} = id // {PLACES} THEN lead(token) OVER o END, done
+   FROM contracted WINDOW o AS (ORDER BY id)))
+SELECT id // {PLACES} AS word, list(token ORDER BY id) AS ids FROM step WHERE done GROUP BY 1 ORDER BY 1
 """
 
 DECODE = """
@@ -86,7 +89,7 @@ class Database:
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.con = duckdb.connect(
             ":memory:",
-            config={"threads": 1, "memory_limit": "600MB", "temp_directory": "", "preserve_insertion_order": False},
+            config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False},
         )
         cuts = [
             (ranks[w[:i]], ranks[w[i:]], made)
@@ -111,9 +114,9 @@ class Database:
         data = [w.encode() for w in words]
         sizes = np.array([len(d) for d in data])
         token = self.byte[np.frombuffer(b"".join(data), np.uint8)]
-        word = np.repeat(np.arange(len(data), dtype=np.int32), sizes)
-        place = (np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-        self.con.register("start", pa.table({"word": word, "place": place, "token": token}))
+        place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ids = np.repeat(np.arange(len(data)), sizes) * PLACES + place
+        self.con.register("start", pa.table({"id": ids, "token": token}))
         ids = self.con.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
         self.con.unregister("start")
         ends = ids.offsets.to_numpy()
@@ -194,3 +197,19 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
             yield pa.RecordBatch.from_arrays(columns, [*carry, "decoded"])
 
     return encoded.select(*carry, ids).mapInArrow(run, f"{schema}, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, decoded): encoded and decoded again by one database per worker."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                base = database(path, pattern)
+                ids = base.encode([t or "" for t in part.column("text").to_pylist()])
+                columns = [part.column("key"), pa.array(ids, pa.binary()), pa.array(base.decode(ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "decoded"])
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"key {kind}, ids binary, decoded binary").withColumnRenamed("key", key)

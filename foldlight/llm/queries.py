@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlight.llm.duck_bpe import decode, encode
+from foldlight.llm.duck_bpe import round_trip
 from foldlight.llm.line_cleaning import clean_lines
 from foldlight.llm.near_dedup import near_duplicates
 from foldlight.llm.packing import pack, token_pieces
@@ -146,14 +146,10 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_duckdb_bpe")
 def duckdb_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
-    ids = encoded.select(
+    rows = round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return rows.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        "ids",
-    )
-    decoded = decode(ids, path, public_tokenizers.PATTERN)
-    return decoded.select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
