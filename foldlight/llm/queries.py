@@ -28,7 +28,29 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-@query("op10_near_dedup")
+@query(
+    "op10_near_dedup",
+    r"""
+    WITH RECURSIVE low AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+      FROM documents),
+    shingle AS MATERIALIZED (
+      SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM low WHERE len(words) > 0)),
+    size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+    pair AS (
+      SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    link AS MATERIALIZED (
+      SELECT x, y FROM pair JOIN size p ON x = p.doc_id JOIN size q ON y = q.doc_id WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+    edge AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+    reach(doc_id, other) AS (
+      SELECT doc_id, doc_id FROM documents
+      UNION
+      SELECT r.doc_id, e.y FROM reach r JOIN edge e ON r.other = e.x),
+    least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+    SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM least LEFT JOIN size USING (doc_id)""",
+)
 def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -38,7 +60,20 @@ def line_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     return clean_lines(table(spark, folder, "documents"), with_text=False)
 
 
-@query("op4_substring_dedup")
+@query(
+    "op4_substring_dedup",
+    r"""
+    WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    starts AS (SELECT r, unnest(range(1, len(words) - 33)) AS i, words FROM w WHERE len(words) >= 35),
+    windows AS (SELECT r, i, array_to_string(words[i:i + 34], ' ') AS run FROM starts),
+    again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY run) AS n FROM windows) WHERE n > 1),
+    gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM again),
+    spread AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM spread ANTI JOIN gone USING (r, p) GROUP BY r)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+      sha256(coalesce(text, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (r)""",
+)
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = remove_repeats(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
