@@ -16,10 +16,11 @@ from pyspark.ml.clustering import (
     LDAModel,
     PowerIterationClustering,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as P
 
-from foldlight.functions.vectors import as_array, as_vector, points, squared_distance
+from foldlight.functions.nearest import nearest
+from foldlight.functions.vectors import as_array, as_vector
 from foldlight.session import enable_checkpoints
 
 
@@ -33,10 +34,6 @@ def centers(model: KMeansModel | BisectingKMeansModel) -> list[list[float]]:
     return [[float(x) for x in c] for c in model.clusterCenters()]
 
 
-def _distances(features: str, centres: Sequence[Sequence[float]]) -> Column:
-    return P.transform(points(centres), lambda c: squared_distance(P.col(features), c))
-
-
 def assign_clusters(
     df: DataFrame,
     centres: Sequence[Sequence[float]],
@@ -44,17 +41,15 @@ def assign_clusters(
     name: str = "cluster",
 ) -> DataFrame:
     """Number of the nearest centre (the first of equals) for each row."""
-    near = as_array(df, features).withColumn("_d", _distances(features, centres))
-    nearest = P.array_position("_d", P.array_min("_d")) - 1
-    return near.withColumn(name, nearest.cast("int")).drop("_d")
+    return as_array(df, features).withColumn(name, nearest(P.col(features), centres)["cluster"])
 
 
 def within_cluster_cost(
     df: DataFrame, centres: Sequence[Sequence[float]], features: str = "features"
 ) -> DataFrame:
     """Sum over the rows of the squared distance to the nearest centre."""
-    nearest = P.array_min(_distances(features, centres))
-    return as_array(df, features).agg(P.sum(nearest).alias("cost"))
+    costs = as_array(df.select(features), features).select(nearest(P.col(features), centres)["cost"].alias("c"))
+    return costs.agg(P.sum("c").alias("cost"))
 
 
 def fit_bisecting_kmeans(

@@ -40,28 +40,24 @@ def confusion_matrix(
 ) -> DataFrame:
     """Rows per (label, prediction), zero cells included.
 
-    Without ``classes`` the classes are those seen in the group. The dense table
-    is built from the counted cells of a group, classes x classes at most.
+    Without ``classes`` the classes are those seen in the group. Only the class list
+    of a group meets in one row; the counted cells join the grid by equality.
     """
     cells = _cells(df, by)
-    seen = P.array_sort(P.array_union(P.collect_set("label"), P.collect_set("prediction")))
-    packed = cells.groupBy(*by).agg(
-        (doubles(classes) if classes is not None else seen).alias("_classes"),
-        P.map_from_entries(
-            P.collect_list(P.struct(P.struct("label", "prediction"), P.col("n")))
-        ).alias("_cells"),
-    )
-    return (
-        packed.withColumn("label", P.explode("_classes"))
+    seen = P.array_union(P.collect_set("label"), P.collect_set("prediction"))
+    lists = cells.groupBy(*by).agg((doubles(classes) if classes is not None else seen).alias("_classes"))
+    grid = (
+        lists.withColumn("label", P.explode("_classes"))
         .withColumn("prediction", P.explode("_classes"))
-        .select(
-            *by,
-            "label",
-            "prediction",
-            P.coalesce(
-                P.try_element_at("_cells", P.struct("label", "prediction")), P.lit(0).cast("long")
-            ).alias("n"),
-        )
+        .drop("_classes")
+    )
+    keys = [*by, "label", "prediction"]
+    same: Column = P.lit(True)
+    for c in keys:
+        same = same & P.col(f"g.{c}").eqNullSafe(P.col(f"c.{c}"))
+    return grid.alias("g").join(cells.alias("c"), same, "left").select(
+        *[P.col(f"g.{c}").alias(c) for c in keys],
+        P.coalesce("c.n", P.lit(0).cast("long")).alias("n"),
     )
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as P
 
 from foldlight.functions.vectors import as_vector
-from foldlight.operators.cluster import centers, fit_kmeans, within_cluster_cost
+from foldlight.operators.cluster import fit_kmeans
 from foldlight.operators.features import (
     build_pipeline,
     index_features,
@@ -154,6 +154,7 @@ def forest_grid_job(df: DataFrame, k: int = 10) -> tuple[Model, DataFrame]:
 
 
 def kmeans_job(df: DataFrame, k: int = 2, iterations: int = 100) -> tuple[KMeansModel, DataFrame]:
-    """k-means on the features: model and within-cluster cost."""
+    """k-means on the features: model and within-cluster cost, which the fit has summed already."""
     model = fit_kmeans(df.select("features"), k, iterations)
-    return model, within_cluster_cost(df, centers(model))
+    cost = float(model.summary.trainingCost)
+    return model, df.sparkSession.createDataFrame([(cost,)], "cost double")

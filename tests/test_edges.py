@@ -176,3 +176,24 @@ def test_kolmogorov_tail_is_smooth():
     assert ks_tail(1e-8, 10**12) == pytest.approx(1.0)
     assert ks_tail(0.041, 2000) == pytest.approx(0.002334, abs=1e-5)
     assert ks_tail(0.0, 5) == 1.0 and ks_tail(1.0, 10**6) == 0.0
+
+
+def test_nearest_centres(spark):
+    from foldlight.operators import cluster
+
+    rows = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [9.0, 9.0]), (4, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "id int, features array<double>").repartition(2)
+    centres = [[0.0, 0.0], [1.0, 0.0], [9.0, 8.0]]
+    got = {r.id: r.cluster for r in cluster.assign_clusters(df, centres).collect()}
+    assert got == {0: 0, 1: 1, 2: None, 3: 2, 4: 0}
+    assert cluster.within_cluster_cost(df, centres).head().cost == pytest.approx(1.25)
+    assert cluster.within_cluster_cost(df.filter("false"), centres).head().cost is None
+
+
+def test_confusion_grid(spark):
+    rows = [("g", 0.0, 1.0), ("g", 0.0, 0.0), ("g", 0.0, 0.0), (None, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, label double, prediction double")
+    got = {tuple(r)[:3]: r.n for r in evaluate.confusion_matrix(df, ["g"]).collect()}
+    assert got == {("g", 0.0, 0.0): 2, ("g", 0.0, 1.0): 1, ("g", 1.0, 0.0): 0, ("g", 1.0, 1.0): 0, (None, 2.0, 2.0): 1}
+    whole = evaluate.confusion_matrix(df, classes=[0.0, 1.0, 2.0])
+    assert whole.count() == 9 and whole.agg(F.sum("n")).head()[0] == 4
