@@ -18,6 +18,7 @@ for _module in (
     "checked_models",
     "checked_selection",
     "checked_factors",
+    "checked_trees",
     "files",
     "streams",
 ):
