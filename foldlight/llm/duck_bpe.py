@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldlight.llm.token_counts import safe_parts
-from foldlight.llm.words import chunks, kept
+from foldlight.llm.words import chunks, kept, tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -181,7 +181,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids binary").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(run), f"key {kind}, ids binary").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -196,7 +196,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
             columns = [*(batch.column(c) for c in carry), pa.array(decoded, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*carry, "decoded"])
 
-    return encoded.select(*carry, ids).mapInArrow(run, f"{schema}, decoded binary")
+    return encoded.select(*carry, ids).mapInArrow(tidy(run), f"{schema}, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,4 +212,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "decoded"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids binary, decoded binary").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(run), f"key {kind}, ids binary, decoded binary").withColumnRenamed("key", key)

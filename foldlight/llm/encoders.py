@@ -61,6 +61,18 @@ def _plain_ranks(spec: dict) -> dict[bytes, int] | None:
     return ranks if made == sorted(set(made)) and len(ranks) == 256 + len(made) else None
 
 
+def splits_at_spaces(path: str) -> bool:
+    """Whether the file's split pattern is the common one, whose safe boundaries are known."""
+    if not path.endswith(".json"):
+        return False
+
+    def plain() -> bool:
+        with open(path, encoding="utf-8") as file:
+            return _plain_ranks(json.load(file)) is not None
+
+    return kept(f"splits {path}", plain)
+
+
 def _open(path: str) -> Ids:
     if path.endswith(".model"):
         import sentencepiece

@@ -33,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlight.llm.words import Words, chunks, kept, windows, words
+from foldlight.llm.words import Words, chunks, kept, tidy, windows, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -180,7 +180,7 @@ def clean_lines(
     )
     if with_text:
         schema += ", clean_text string"
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("key", key)
 
 
 NAMES = [

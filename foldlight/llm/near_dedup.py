@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldlight.llm.graph import components, relabel
-from foldlight.llm.words import Words, chunks, mix, windows, words
+from foldlight.llm.words import Words, chunks, mix, tidy, windows, words
 from foldlight.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -179,7 +179,7 @@ class NearDuplicates:
                     )
 
         return self.docs.mapInArrow(
-            run, f"key {self.kind}, rid long, n long, node binary, bands array<long>, sig binary"
+            tidy(run), f"key {self.kind}, rid long, n long, node binary, bands array<long>, sig binary"
         )
 
     def _sets(self, rids: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ class NearDuplicates:
 
         found = self.docs.select("rid", "text").join(rids, "rid", "left_semi")
         found = found.select("rid", F.xxhash64("text").alias("hash"), "text").dropDuplicates(["rid", "hash"])
-        return found.select("text").mapInArrow(run, "node binary, set array<long>")
+        return found.select("text").mapInArrow(tidy(run), "node binary, set array<long>")
 
     def _likely(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Pairs (a, b) of classes whose sizes and sketches allow a link, with the estimate."""
@@ -204,7 +204,7 @@ class NearDuplicates:
             pairs = pairs.join(side, end)
         small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
         pairs = pairs.filter(100 * small >= self.percent * large).select("a", "b", "sig_a", "sig_b")
-        return pairs.mapInArrow(_likely(self.least), "a binary, b binary, likeness double")
+        return pairs.mapInArrow(tidy(_likely(self.least)), "a binary, b binary, likeness double")
 
     def _linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs (a, b) that the full sets confirm."""

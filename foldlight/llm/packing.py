@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldlight.llm.encoders import encoder
+from foldlight.llm.words import tidy
 from foldlight.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -122,7 +123,7 @@ def token_pieces(
                 )
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    pieces = rows.mapInArrow(run, f"key {kind}, piece int, start long, length long, ids binary")
+    pieces = rows.mapInArrow(tidy(run), f"key {kind}, piece int, start long, length long, ids binary")
     return pieces.withColumnRenamed("key", key)
 
 

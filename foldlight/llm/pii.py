@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldlight.llm.quality import fit_logistic
-from foldlight.llm.words import kept
+from foldlight.llm.words import kept, tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -294,7 +294,7 @@ class SpanModel:
 
         rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
         one = "struct<kind:string,start:bigint,end:bigint,base:boolean,probability:double>"
-        return rows.mapInArrow(run, f"key {kind}, spans array<{one}>").withColumnRenamed("key", key)
+        return rows.mapInArrow(tidy(run), f"key {kind}, spans array<{one}>").withColumnRenamed("key", key)
 
     def redact(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` with every span in ``text`` replaced by its kind in brackets; null stays null."""
@@ -315,7 +315,7 @@ class SpanModel:
                 columns[at] = pa.array(out, batch.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(tidy(run), schema)
 
 
 def fit_spans(docs: DataFrame, text: str = "text") -> SpanModel:
@@ -335,7 +335,7 @@ def fit_spans(docs: DataFrame, text: str = "text") -> SpanModel:
             ["row", "n"],
         )
 
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "row array<int>, n long")
+    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "row array<int>, n long")
     total = found.groupBy("row").agg(F.sum("n").alias("n")).orderBy("row").collect()
     if not total:
         return SpanModel(np.zeros(1 + _columns(np.zeros((1, width), int)).shape[1]))

@@ -31,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlight.llm.words import kept
+from foldlight.llm.words import kept, tidy
 from foldlight.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -130,7 +130,7 @@ class QualityModel:
 
         schema = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
         return docs.select(*carry, "text").mapInArrow(
-            run, schema + "n_bytes long, bad long, good long, score double"
+            tidy(run), schema + "n_bytes long, bad long, good long, score double"
         )
 
     def score(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,7 +163,7 @@ class QualityModel:
                 score, _ = _scores(data, dictionaries, weights)
                 yield batch.filter(pa.array(score >= least))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def _bytes(texts: pa.Array) -> list[bytes]:
@@ -231,7 +231,7 @@ def fit_quality(
     own = lines.join(shared.filter("low < high"), "line", "left_anti").groupBy("key", "label")
     own = own.agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("lines"))
     own = own.select("key", "label", F.concat_ws("\n", F.col("lines.line")).alias("text"))
-    parts = own.mapInArrow(cut, f"key {kind}, label int, number int, piece binary")
+    parts = own.mapInArrow(tidy(cut), f"key {kind}, label int, number int, piece binary")
     dictionaries = []
     for v in (0, 1):
         order = (F.xxhash64("key", "number"), "key", "number", "piece")

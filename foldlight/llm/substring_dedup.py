@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from foldlight.llm.words import Words, chunks, windows, words
+from foldlight.llm.words import Words, chunks, release, windows, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -170,7 +170,10 @@ def _anchor_entries(shape: Anchors, buckets: int):
             w = words(part.column("text"))
             found.append(windows(w.hashes(), shape.size)[shape.positions(w)])
         slot = table.column("slot")[0].as_py()
-        return pa.Table.from_batches([entries(slot, buckets, np.concatenate(found), found[0])])
+        out = pa.Table.from_batches([entries(slot, buckets, np.concatenate(found), found[0])])
+        del found
+        release()
+        return out
 
     return run
 
@@ -190,7 +193,10 @@ def _window_entries(shape: Anchors, buckets: int):
                 low.append(windows(hashes, shape.window)[starts])
                 high.append(windows(w.hashes(1), shape.window, 1)[starts])
         slot = table.column("slot")[0].as_py()
-        return pa.Table.from_batches([entries(slot, buckets, np.concatenate(low), np.concatenate(high))])
+        out = pa.Table.from_batches([entries(slot, buckets, np.concatenate(low), np.concatenate(high))])
+        del low, high
+        release()
+        return out
 
     return run
 
@@ -245,6 +251,7 @@ def _cleaned(shape: Anchors, schema: pa.Schema, carry: list[str]):
                     schema=schema,
                 )
             )
+        release()
         return pa.Table.from_batches(out, schema)
 
     return run

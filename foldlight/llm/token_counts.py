@@ -24,7 +24,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlight.llm.encoders import encoder
+from foldlight.llm.encoders import encoder, splits_at_spaces
+from foldlight.llm.words import tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -52,7 +53,7 @@ def safe_parts(text: str, limit: int) -> list[str]:
 
 def _lengths(texts: list[str], path: str, batch_bytes: int, split_chars: int) -> np.ndarray:
     encode = encoder(path)
-    split = split_chars if path.endswith(".json") else sys.maxsize
+    split = split_chars if splits_at_spaces(path) else sys.maxsize
     counts = np.zeros(len(texts), np.int64)
     batch: list[str] = []
     owners: list[int] = []
@@ -80,7 +81,7 @@ def count_tokens(
 ) -> DataFrame:
     """(key, n_bytes, n_tokens) for every row; ``tokenizer`` is a file that every executor has.
 
-    Files with their own white-space rules (``.model``) are given whole texts.
+    Files with other split rules than plain byte-level BPE are given whole texts.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -94,6 +95,6 @@ def count_tokens(
             )
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, n_bytes long, n_tokens long").withColumnRenamed(
+    return rows.mapInArrow(tidy(run), f"key {kind}, n_bytes long, n_tokens long").withColumnRenamed(
         "key", key
     )

@@ -33,6 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldlight.llm.words import tidy
 from foldlight.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -99,7 +100,7 @@ def _filled(keys: DataFrame, level: Level, number: int) -> bytes:
         return pa.table([table.column("part").slice(0, 1), pa.array([both], pa.binary())], ["part", "bits"])
 
     shape = "part int, bits binary"
-    parts = keys.mapInArrow(set_bits, shape).groupBy("part").applyInArrow(merged, shape).collect()
+    parts = keys.mapInArrow(tidy(set_bits), shape).groupBy("part").applyInArrow(merged, shape).collect()
     out = bytearray(-(-level.bits // 8))
     for row in parts:
         low = row["part"] * CHUNK
@@ -131,7 +132,7 @@ def build_cascade(universe: DataFrame, most_bytes: int = 64 << 20) -> Cascade:
                 yield batch.filter(pa.array(passed, pa.bool_()))
 
         other = universe.filter(F.col("listed") == F.lit(number % 2 == 1)).select("key")
-        keys = materialize(other.mapInArrow(mistaken, "key string"), "mistaken")
+        keys = materialize(other.mapInArrow(tidy(mistaken), "key string"), "mistaken")
         count = keys.count()
     return cascade
 
@@ -191,7 +192,7 @@ class UrlFilter:
                 )
 
         rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"))
-        out = rows.mapInArrow(run, f"key {kind}, host string, path string, rule string, verdict string")
+        out = rows.mapInArrow(tidy(run), f"key {kind}, host string, path string, rule string, verdict string")
         return out.withColumnRenamed("key", key)
 
 
@@ -219,7 +220,7 @@ def fit_url_filter(
             )
 
     urls = pages.select(F.col(url).cast("string").alias("url"))
-    universe = materialize(urls.mapInArrow(keys, "key string, is_host boolean").distinct(), "keys")
+    universe = materialize(urls.mapInArrow(tidy(keys), "key string, is_host boolean").distinct(), "keys")
     known = universe.filter("not is_host").select("key", F.col("key").isin(list(rules)).alias("listed"))
     listed = listed_hosts.select(F.col("host").alias("key"), F.lit(True).alias("listed")).distinct()
     hosts = universe.filter("is_host").select("key").join(listed, "key", "left")
