@@ -8,8 +8,9 @@ repeats itself fits both) turns it into a score from 0 to 1.
 
 Fitting reads a bounded sample: per label the ``sample_rows`` rows with the
 smallest hash of their key, and of these the ``sample_pieces`` pieces with the
-smallest hash. The curve weighs the sampled rows as the labels are spread. Scoring reads whole texts and needs no shuffle; the model is two
-dictionaries of ``dictionary_bytes`` and five numbers.
+smallest hash. The curve weighs the sampled rows as the labels are spread.
+Scoring reads whole texts and needs no shuffle; the model is two dictionaries of
+``dictionary_bytes`` and five numbers.
 
 Null text is scored as empty. Labels other than 0 and 1 and labels without a
 document are not used; where a label has no rows at all every score is the share
