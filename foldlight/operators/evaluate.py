@@ -126,12 +126,10 @@ def macro_from_classes(
         counted = P.col("class").isin([float(c) for c in classes])
         n: Column = P.lit(float(len(classes)))
     else:
-        # one row per (group, class) meets in this window
-        everywhere = Window.partitionBy(P.lit(0))
-        labels = P.collect_set(P.when(P.col("true_n") > 0, P.col("class"))).over(everywhere)
-        scores = scores.withColumn("_labels", labels)
-        counted = P.array_contains("_labels", P.col("class"))
-        n = P.first(P.size("_labels")).cast("double")
+        labels = scores.filter("true_n > 0").select(P.col("class").alias("_label")).distinct()
+        n = labels.agg(P.count(P.lit(1)).cast("double")).scalar()
+        scores = scores.join(labels, P.col("class") == P.col("_label"), "left")
+        counted = P.col("_label").isNotNull()
     return scores.groupBy(*by).agg(
         *[
             (P.sum(P.when(counted, P.col(s)).otherwise(0.0)) / n).alias(s)

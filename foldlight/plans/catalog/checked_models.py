@@ -65,6 +65,7 @@ def bayes_folds(spark, folder):
         seed=FOLD_SEED,
         key=LINE_KEY,
         classes=[0.0, 1.0, 2.0],
+        keep=(),
     )
 
 
