@@ -197,3 +197,16 @@ def test_confusion_grid(spark):
     assert got == {("g", 0.0, 0.0): 2, ("g", 0.0, 1.0): 1, ("g", 1.0, 0.0): 0, ("g", 1.0, 1.0): 0, (None, 2.0, 2.0): 1}
     whole = evaluate.confusion_matrix(df, classes=[0.0, 1.0, 2.0])
     assert whole.count() == 9 and whole.agg(F.sum("n")).head()[0] == 4
+
+
+def test_scope_removes_its_folders(spark):
+    from pathlib import Path
+
+    from foldlight.session import scratch_scope
+
+    df = spark.createDataFrame([(float(i % 7),) for i in range(100)], "x double")
+    with scratch_scope(spark) as paths:
+        assert stats.kolmogorov_smirnov(df, "x").count() == 1
+        written = [Path(p.removeprefix("file:")) for p in paths]
+        assert written and all(p.exists() for p in written)
+    assert not any(p.exists() for p in written)
