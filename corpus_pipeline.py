@@ -35,8 +35,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; wordless ones are no group."""
-    return NearDuplicates(docs).survivors()
+    """One document of each group of texts that share 80 % of their five-word shingles; wordless ones are no group."""
+    return NearDuplicates(docs, percent=80).survivors()
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

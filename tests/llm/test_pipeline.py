@@ -54,6 +54,24 @@ def test_near_dedup(steps):
     assert all(after[i] == before[i] for i in after)
 
 
+def test_near_dedup_at_80_percent(spark, folder, steps):
+    """20 five-word shingles and 16 of them in a longer text: 0.80; 17 of 22: below it."""
+    words = [[f"{c}{i}" for i in range(30)] for c in "abc"]
+    texts = [
+        words[0][:24], words[0][:20],  # 16 of 20
+        words[1][:23], [*words[1][:21], "x", "y", "z"],  # 17 of 22
+        words[2][:29], [*words[2][:27], "x", "y"],  # 23 of 27
+    ]
+    docs = [(i, " ".join(t), "en", "test", len(" ".join(t))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, steps["documents"].select(*COLUMNS).schema)
+    want = brute_components([d[:2] for d in docs], percent=80)
+    kept = rows(corpus_pipeline.near_dedup(spark, df, folder))
+    assert set(kept) == {i for i, c in want.items() if i == c} == {0, 2, 3, 4}
+    before, after = rows(steps["quality"]), rows(steps["near_dedup"])
+    want = brute_components([(i, r.text) for i, r in before.items()], percent=80)
+    assert set(after) == {i for i, c in want.items() if i == c}
+
+
 def test_substring_dedup(steps):
     before, after = rows(steps["near_dedup"]), rows(steps["substring_dedup"])
     want = brute_repeats([(i, r.text) for i, r in before.items()])

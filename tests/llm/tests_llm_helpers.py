@@ -18,7 +18,7 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
 
 
-def brute_components(rows, sets=None):
+def brute_components(rows, sets=None, percent=85):
     """key -> smallest key of its component, over all pairs of full sets; keys are unique."""
     sets = sets or [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
@@ -31,10 +31,10 @@ def brute_components(rows, sets=None):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if not a or not b or 100 * min(len(a), len(b)) < 85 * max(len(a), len(b)):
+            if not a or not b or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
                 continue
             both = len(a & b)
-            if 100 * both >= 85 * (len(a) + len(b) - both):
+            if 100 * both >= percent * (len(a) + len(b) - both):
                 parent[find(i)] = find(j)
     least = {}
     for i, (key, _) in enumerate(rows):
