@@ -80,10 +80,46 @@ def g3_association_rules(spark, folder):
     SELECT pattern, freq FROM sets, total WHERE freq >= ceil(0.5 * n)""",
 )
 def g4_frequent_sequences(spark, folder):
+    return sequence_patterns(spark, folder, 2)
+
+
+def sequence_patterns(spark, folder, length):
     events = table(spark, folder, "events").select(
         "user_id", P.to_date("ts").alias("day"), "event_type"
     )
     rows = patterns.sequences_from_rows(events, ["user_id"], "day", "event_type")
-    found = patterns.frequent_sequences(rows.select("sequence"), 0.5, 2)
+    found = patterns.frequent_sequences(rows.select("sequence"), 0.5, length)
     steps = P.transform("sequence", lambda s: P.array_join(P.sort_array(s), "+"))
     return found.select(P.array_join(steps, " > ").alias("pattern"), "freq")
+
+
+def sql_longer(k: int) -> str:
+    """Patterns of k + 1 items from the frequent ones of k: a later step, or one more item in the last step.
+
+    ``last`` is the first day a pattern can end on, ``before`` that of its steps but the last one.
+    """
+    return f"""
+    p{k + 1} AS (
+      SELECT p.u, p.pattern || ' > ' || e.t AS pattern, p.last AS before, [e.t] AS step, min(e.d) AS last
+      FROM p{k} p JOIN f{k} USING (pattern) JOIN e ON e.u = p.u AND e.d > p.last GROUP BY ALL
+      UNION ALL SELECT p.u, p.pattern || '+' || e.t, p.before, list_append(p.step, e.t), min(e.d)
+      FROM p{k} p JOIN f{k} USING (pattern) JOIN e ON e.u = p.u AND e.d > p.before AND e.t > p.step[-1]
+        JOIN days ON days.u = e.u AND days.d = e.d AND list_has_all(days.items, p.step) GROUP BY ALL),
+    f{k + 1} AS (SELECT pattern, count(*) AS freq FROM p{k + 1} GROUP BY pattern
+      HAVING count(*) >= (SELECT ceil(0.5 * n) FROM total))"""
+
+
+SEQUENCE_LENGTH = 5
+SQL_SEQUENCES = f"""WITH e AS (SELECT DISTINCT user_id AS u, CAST(ts AS DATE) AS d, event_type AS t FROM events),
+    total AS (SELECT count(DISTINCT u) AS n FROM e),
+    days AS (SELECT u, d, list(t) AS items FROM e GROUP BY u, d),
+    p1 AS (SELECT u, t AS pattern, DATE '0001-01-01' AS before, [t] AS step, min(d) AS last FROM e GROUP BY u, t),
+    f1 AS (SELECT pattern, count(*) AS freq FROM p1 GROUP BY pattern
+      HAVING count(*) >= (SELECT ceil(0.5 * n) FROM total)),
+    {",".join(sql_longer(k) for k in range(1, SEQUENCE_LENGTH))}
+    {" UNION ALL ".join(f"SELECT pattern, freq FROM f{k}" for k in range(1, SEQUENCE_LENGTH + 1))}"""
+
+
+@query("g4_frequent_sequences_of_five", SQL_SEQUENCES)
+def g4_frequent_sequences_of_five(spark, folder):
+    return sequence_patterns(spark, folder, SEQUENCE_LENGTH)

@@ -1,8 +1,11 @@
 """Literal inputs with results known by hand or from published examples."""
 
+import itertools
 import math
+import re
 import subprocess
 import sys
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -169,6 +172,37 @@ def test_frequent_sequences(spark):
     assert got == {"[[1]]": 3, "[[2]]": 3, "[[3]]": 2, "[[1, 2]]": 3, "[[1], [3]]": 2}
 
 
+def test_longer_sequences_by_brute_force(spark, tmp_path):
+    """All patterns of up to five items that half of the users hold, each tried on every user."""
+    from foldlight.plans.catalog import QUERIES
+
+    days = [
+        ["ab", "c", "a", "bc", "a"], ["ab", "bc", "ac", "b"], ["a", "c", "ab", "abc"], ["c", "b", "ab", "a", "c"],
+        ["abc", "abc"], ["b"],
+    ]
+    rows = [
+        (u, datetime(2024, 1, 1 + d), t) for u, own in enumerate(days) for d, step in enumerate(own) for t in step
+    ]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, event_type string").write.parquet(
+        f"{tmp_path}/events.parquet"
+    )
+    steps = ["a", "b", "c", "ab", "ac", "bc", "abc"]
+
+    def holds(own, pattern):
+        at = iter(own)
+        return all(any(set(p) <= set(step) for step in at) for p in pattern)
+
+    want = {}
+    for n in range(1, 6):
+        for pattern in itertools.product(steps, repeat=n):
+            freq = sum(holds(own, pattern) for own in days)
+            if sum(map(len, pattern)) <= 5 and freq >= 3:
+                want[" > ".join("+".join(p) for p in pattern)] = freq
+    got = QUERIES["g4_frequent_sequences_of_five"](spark, str(tmp_path)).collect()
+    assert {r["pattern"]: r["freq"] for r in got} == want and len(got) == len(want)
+    assert max(len(re.findall("[abc]", p)) for p in want) > 2
+
+
 def test_bisecting_kmeans(spark):
     df = vectors(spark, [[v, v] for b in (0, 10, 20, 30) for v in (b + 0.1, b + 0.3)])
     points = cluster.centers(cluster.fit_bisecting_kmeans(df, 4))
