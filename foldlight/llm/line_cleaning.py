@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,7 +72,7 @@ def failed_rule(line: str, seen: set[str]) -> str | None:
         return "boilerplate"
     if n <= 25 and phrase.search(line) is not None:
         return "notice"
-    if n >= 10 and 2 * max(map(tokens.count, set(tokens[:2]) | {tokens[n // 2]})) >= n:
+    if n >= 10 and 2 * max(Counter(tokens).values()) >= n:
         return "boilerplate"
     return None
 

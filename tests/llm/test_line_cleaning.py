@@ -75,6 +75,14 @@ def test_rules():
     assert clean(notice) == ("", 0, 18, 18)
 
 
+def test_repeated_word_at_any_place():
+    good = "A plain line of text that ends well. And one more."
+    stuffed = "buy these pills pills pills today pills pills online now."
+    assert clean(f"{good}\n{stuffed}") == (good, 0, 40 + 48, 48)
+    fewer = "buy these pills pills pills today pills my online now."
+    assert clean(f"{good}\n{fewer}")[3] == 0
+
+
 def test_verdicts_against_labels(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
