@@ -133,7 +133,7 @@ def candidates(text: str) -> list[tuple[str, int, int, int]]:
     out = [("email", a, b, 1) for a, b in emails(text)]
     for m in p["ip"].finditer(text):
         octets = m[0].split(".")
-        out.append(("ip", m.start(), m.end(), int(all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in octets))))
+        out.append(("ip", m.start(), m.end(), int(all(len(y := x.lstrip("0")) <= 3 and int(y or "0") <= 255 for x in octets))))
     for m in p["card"].finditer(text):
         digits = _digits(m[0]) if m.end() - m.start() <= 37 else ""
         if 12 <= len(digits) <= 19:

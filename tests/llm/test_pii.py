@@ -61,6 +61,12 @@ def test_long_runs_are_linear():
     assert list(emails("a" * 1000 + "@b.c")) == [(0, 1004)]
 
 
+def test_octet_of_many_zeros():
+    votes = {t[-7:]: [c[3] for c in candidates(t) if c[0] == "ip"] for t in ("0" * 5000 + x for x in ("1.1.2.3", "0.1.2.3"))}
+    assert votes == {"1.1.2.3": [1], "0.1.2.3": [1]}
+    assert [c[3] for c in candidates("0" * 5000 + "256.1.2.3") if c[0] == "ip"] == [0]
+
+
 PLANTED = [
     ("Call us, phone (212) 555-0147 any day.", "phone:15:29"),
     ("Write to jane.doe (at) mail (dot) example (dot) com please.", "email:9:51"),
