@@ -250,19 +250,19 @@ class NearDuplicates:
         return self._named(*self._solved())
 
     def survivors(self) -> DataFrame:
-        """One row of each component, all columns of ``docs``: the one with the smallest key."""
+        """All columns of ``docs``: of each component the row with the smallest key, and every wordless row."""
         rows, classes, roots = self._solved()
         if roots is not None:
             classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         else:
             classes = classes.withColumn("root", F.col("node"))
-        named = rows.join(classes.select("node", "root"), "node", "left").withColumn(
-            "root", F.coalesce("root", F.encode(F.col("rid").cast("string"), "utf-8"))
-        )
+        named = rows.join(classes.select("node", "root"), "node")
         order = F.struct(F.col("key").isNull(), "key", "rid")
         best = named.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.rid").alias("_rid"))
-        found = self.source.withColumn("_rid", self._rid(self.key, self.text))
-        return found.join(best, "_rid", "left_semi").dropDuplicates(["_rid"]).drop("_rid")
+        has_word = F.coalesce(F.col(self.text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        found = self.source.filter(has_word).withColumn("_rid", self._rid(self.key, self.text))
+        found = found.join(best, "_rid", "left_semi").dropDuplicates(["_rid"]).drop("_rid")
+        return found.select(*self.source.columns).union(self.source.filter(~has_word))
 
     def _solved(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """Rows of all documents, the classes, and the roots of classes that are not their own root."""

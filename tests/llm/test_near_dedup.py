@@ -4,7 +4,7 @@ import random
 
 from tests_llm_helpers import brute_components, shingles
 
-from foldlight.llm.near_dedup import near_duplicates
+from foldlight.llm.near_dedup import NearDuplicates, near_duplicates
 
 
 def expected(rows):
@@ -70,6 +70,15 @@ def test_odd_rows(odd):
     assert by[9][0].n_shingles == 1 and by[10][0].n_shingles == 1
 
 
+def test_every_wordless_row_survives(spark):
+    rows = [(None, None, "a"), (None, None, "b"), (None, " \n", "c"), (None, " \n", "d"), (5, "", "e"), (5, "", "e")]
+    rows += [(6, "one", "f"), (6, "one", "g"), (7, "one", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in NearDuplicates(docs).survivors().collect()]
+    assert sorted(r[2] for r in got if r[1] != "one") == ["a", "b", "c", "d", "e", "e"]
+    assert [r[0] for r in got if r[1] == "one"] == [6]
+
+
 def test_empty(empty):
     out = near_duplicates(empty)
     assert out.count() == 0
