@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foldlight.llm.duck_bpe import round_trip
 from foldlight.llm.line_cleaning import clean_lines
+from foldlight.llm.mixing import mix
 from foldlight.llm.near_dedup import near_duplicates
 from foldlight.llm.packing import pack, token_pieces
 from foldlight.llm.pii import KINDS, fit_spans
@@ -15,6 +16,7 @@ from foldlight.llm.quality import fit_quality, held_out
 from foldlight.llm.registry import ORACLE, QUERIES, query, table
 from foldlight.llm.substring_dedup import remove_repeats
 from foldlight.llm.syncmers import as_text, fingerprints
+from foldlight.llm.token_alignment import alignment_totals
 from foldlight.llm.token_counts import count_tokens
 from foldlight.llm.url_filter import fit_url_filter, hosts_with_words
 
@@ -188,3 +190,45 @@ def duckdb_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op12_source_mix",
+    r"""
+    WITH d AS MATERIALIZED (
+      SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+             md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS place
+      FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS id FROM s),
+    v AS (SELECT *, CAST(CASE id % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight,
+             CAST(2 * source_size AS DOUBLE) AS capacity FROM n),
+    r AS (
+      SELECT *, sum(capacity) OVER o - capacity AS capacity_before, sum(weight) OVER () - (sum(weight) OVER o - weight) AS weight_left,
+             1.5 * CAST(sum(source_size) OVER () AS DOUBLE) AS wanted
+      FROM v WINDOW o AS (ORDER BY capacity / weight, id ROWS UNBOUNDED PRECEDING)),
+    f AS (SELECT *, capacity * weight_left <= weight * (wanted - capacity_before) AS stopped FROM r),
+    l AS (
+      SELECT *, wanted - coalesce(sum(CASE WHEN stopped THEN capacity END) OVER (), 0) AS shared,
+             sum(CASE WHEN stopped THEN 0 ELSE weight END) OVER () AS weight_all FROM f),
+    t AS (SELECT source, source_size, CASE WHEN stopped THEN capacity ELSE weight * shared / weight_all END AS target FROM l),
+    b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+    x AS (
+      SELECT d.doc_id, d.size, b.source_size, b.target, b.whole, b.target - b.whole * b.source_size AS budget,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place ROWS UNBOUNDED PRECEDING) AS after
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+    SELECT doc_id, size, source_size, target,
+      CAST(size * (whole + CASE WHEN after < budget OR (after - size < budget AND after - budget <= budget - (after - size))
+                           THEN 1 ELSE 0 END) AS BIGINT) AS taken
+    FROM x""",
+)
+def source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix(table(spark, folder, "documents"), weights=(5, 2, 1), share=1.5, repeat=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_token_alignment")
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    totals = alignment_totals(table(spark, folder, "documents"), a, b)
+    return totals.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
