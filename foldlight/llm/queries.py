@@ -14,6 +14,7 @@ from foldlight.llm.packing import pack, token_pieces
 from foldlight.llm.pii import KINDS, fit_spans
 from foldlight.llm.quality import fit_quality, held_out
 from foldlight.llm.registry import ORACLE, QUERIES, query, table
+from foldlight.llm.spelling import altered_runs, spelling_forms, vocabulary
 from foldlight.llm.substring_dedup import remove_repeats
 from foldlight.llm.syncmers import as_text, fingerprints
 from foldlight.llm.token_alignment import alignment_totals
@@ -232,3 +233,49 @@ def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     totals = alignment_totals(table(spark, folder, "documents"), a, b)
     return totals.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query(
+    "op11_spelling_forms",
+    r"""
+    WITH RECURSIVE run AS MATERIALIZED (
+      SELECT doc_id, translate(u.run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) u
+      GROUP BY ALL),
+    crc AS MATERIALIZED (  -- one step of CRC-32 for each byte
+      SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS step
+      FROM range(256) r(i)),
+    hashed AS MATERIALIZED (
+      SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
+          string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+          lambda l: CASE WHEN unicode(l) < 128 THEN [unicode(l)::BIGINT] ELSE [192 + unicode(l)::BIGINT // 64, 128 + unicode(l)::BIGINT % 64] END))),
+          lambda c, b: xor(c >> 8, step[xor(c, b) % 256 + 1]))) AS h
+      FROM run, crc),
+    altered AS (
+      SELECT CASE WHEN h % 97 = 0 THEN left(run, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n FROM hashed),
+    words AS MATERIALIZED (
+      SELECT word, CAST(sum(n) AS BIGINT) AS n FROM altered WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    shorter AS MATERIALIZED (
+      SELECT word, i, left(word, i) || substr(word, i + 2) AS rest, substr(word, i + 1, 1) AS letter
+      FROM (SELECT word, unnest(range(len(word))) AS i FROM words)),
+    near AS MATERIALIZED (
+      SELECT DISTINCT a.word AS a, b.word AS b FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.letter <> b.letter
+      UNION SELECT s.word, s.rest FROM shorter s JOIN words w ON s.rest = w.word
+      UNION SELECT s.rest, s.word FROM shorter s JOIN words w ON s.rest = w.word),
+    best AS (
+      SELECT a AS word, count(*) AS n_near, min(struct_pack(minus := -n, near := b)) AS top
+      FROM near JOIN words w ON w.word = b GROUP BY a),
+    forms AS MATERIALIZED (
+      SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+             CASE WHEN -top.minus >= 2 * w.n THEN top.near END AS form, CASE WHEN -top.minus >= 2 * w.n THEN -top.minus END AS form_n
+      FROM words w LEFT JOIN best USING (word)),
+    climb AS (
+      SELECT word, form AS root FROM forms WHERE form IS NOT NULL
+      UNION SELECT c.word, f.form FROM climb c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL),
+    tops AS (SELECT c.word, c.root FROM climb c JOIN forms f ON c.root = f.word WHERE f.form IS NULL)
+    SELECT f.word, f.form, coalesce(t.root, f.word) AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+    FROM forms f LEFT JOIN tops t USING (word)""",
+)
+def spelling(spark: SparkSession, folder: str) -> DataFrame:
+    words = vocabulary(altered_runs(table(spark, folder, "documents"), one_in=97), min_length=5, min_count=3)
+    return spelling_forms(words, factor=2).select("word", "form", "root", "n", "n_near", "form_n")
