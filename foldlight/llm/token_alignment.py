@@ -7,12 +7,12 @@ as the token decodes to ends there. Tokens that share a character (parts of a mu
 character, byte-fallback pieces) are refined: their decoded bytes are counted on from the last cut. A text
 whose joined token bytes are not the space and the text has no tokens at all, and neither has null or empty text.
 
-Where both vocabularies allow it (A splits at spaces, no piece of B has a space mark after
-another character), a text is cut before a space that stands between two visible
-characters: no token of either spans that place, so the groups of a text are those of its segments in
-order. Segments not met before in this worker are aligned in one call of each library; the known
-ones are kept in two generations bounded by bytes, and a segment of any length is aligned alone. Other vocabularies
-read whole texts.
+Where both vocabularies allow it, a text is cut where no token of either can span: before a space that stands
+between two visible characters (A splits at spaces, no piece of B has a space mark after another
+character) and between a letter and punctuation (A splits there, no piece of B holds the two side by side). The groups of a
+text are those of its segments in order. Segments that this worker does not know are aligned in few calls of the
+libraries; one met for the second time becomes known, and the known ones are kept in two generations bounded by bytes. A segment of any
+length is aligned alone. Other vocabularies read whole texts.
 
 A link is a token of A and a token of B that end at the same byte. Counts of id pairs over all links are
 summed per task before a shuffle. The pair table depends on the vocabularies, not on the number of
@@ -27,8 +27,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import sys
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,11 @@ from foldlight.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Before a space that stands between a visible character and one that is no space.
-CUT = r"(?<=[!-~¡-¬®-ɏ])(?= [^ ])"
-KNOWN_BYTES = 64 << 20  # of one generation of known segments
-KEPT_SEGMENT = 1 << 12  # longer segments are aligned again when met again
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+TAILS = ',;:!?.)]}"/%*&-_\n'  # may begin a segment behind a letter, if the pieces of B allow it
+KNOWN_BYTES = 40 << 20  # of one generation of known segments
+KEPT_SEGMENT = 1 << 8  # longer segments are aligned again when met again
+SLOTS = 1 << 20  # marks of segments met once
 COUNT_AT_ONCE = 1 << 21  # links whose pairs are counted at once
 SLICE_PAIRS = 1 << 21
 
@@ -66,26 +69,20 @@ def token_ends(spans: list[Span], data: bytes) -> list[int] | None:
 
 
 def entry(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> Entry:
-    """Groups between the common ends, and the links at them."""
-    groups, links = [], []
-    common = sorted(set(a_ends) & set(b_ends))
-    i = j = 0
-    for cut in common:
-        k, m = i, j
-        while k < len(a_ids) and a_ends[k] <= cut:
-            k += 1
-        while m < len(b_ids) and b_ends[m] <= cut:
-            m += 1
-        groups.append(",".join(map(str, a_ids[i:k])) + "|" + ",".join(map(str, b_ids[j:m])))
-        ended_a = [a for a, e in zip(a_ids[i:k], a_ends[i:k], strict=True) if e == cut]
-        ended_b = [b for b, e in zip(b_ids[j:m], b_ends[j:m], strict=True) if e == cut]
-        links += [x for a in ended_a for b in ended_b for x in (a, b)]
-        i, j = k, m
-    return len(a_ids), len(b_ids), len(groups), ";".join(groups), np.array(links, "<u4").tobytes()
+    """Groups between the common ends, and the links at them; every token has a byte, so ends increase."""
+    groups, links, i, j = [], [], 0, 0
+    place = {e: m for m, e in enumerate(b_ends, 1)}
+    for k, e in enumerate(a_ends, 1):
+        m = place.get(e)
+        if m is not None:
+            groups.append(",".join(map(str, a_ids[i:k])) + "|" + ",".join(map(str, b_ids[j:m])))
+            links += (a_ids[k - 1], b_ids[m - 1])
+            i, j = k, m
+    return len(a_ids), len(b_ids), len(groups), ";".join(groups), struct.pack(f"<{len(links)}I", *links)
 
 
 class Aligner:
-    """Both tokenizers and the segments aligned so far; one per worker process."""
+    """Both tokenizers and the segments met so far; one per worker process."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         import sentencepiece
@@ -101,70 +98,93 @@ class Aligner:
         self.a_bytes = {i: bytes(letters[c] for c in word) for word, i in vocabulary.items() if all(c in letters for c in word)}
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        plain = [not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)) for i in range(len(pieces))]
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
-        independent = splits_at_spaces(a_path) and not any("▁" in p.lstrip("▁") for p in pieces)
-        self.cut = re.compile(CUT) if independent else None
+        self.anchor = len(self.b.encode("a"))  # pieces before a tail that is read behind this letter
+        self.cut = self._cut([p for p, known in zip(pieces, plain, strict=True) if known]) if splits_at_spaces(a_path) else None
         self.new: dict[str, Entry | None] = {}
         self.old: dict[str, Entry | None] = {}
         self.size = 0
+        self.once = bytearray(SLOTS)
+
+    @staticmethod
+    def _cut(pieces: list[str]) -> re.Pattern | None:
+        """Places that no token spans; None where the pieces allow none."""
+        if any("▁" in p.lstrip("▁") for p in pieces):
+            return None
+        letter = re.compile(f"[{LETTER}]")
+        beside = {y for p in pieces for x, y in zip(p, p[1:], strict=False) if letter.match(x)}
+        tails = "".join(c for c in TAILS if c not in beside)
+        behind_letter = f"|(?<=[{LETTER}])(?=[{re.escape(tails)}])" if tails else ""
+        return re.compile(f"(?<=[!-~¡-¬®-ɏ])(?= [^ ]){behind_letter}")
 
     def segments(self, text: str) -> list[str]:
         whole = " " + text
         return self.cut.split(whole) if self.cut else [whole]
 
-    def _a_spans(self, encoding, data: bytes, text: str) -> list[Span]:
+    def _a_spans(self, encoding, data: bytes, text: str) -> tuple[list[int], list[Span]]:
+        ids, offsets, decoded = encoding.ids, encoding.offsets, self.a_bytes
         if len(data) == len(text):
-            return [(s, e, self.a_bytes[i]) for i, (s, e) in zip(encoding.ids, encoding.offsets, strict=True)]
-        byte = [0]
-        for c in text:
-            byte.append(byte[-1] + len(c.encode()))
-        return [(byte[s], byte[e], self.a_bytes[i]) for i, (s, e) in zip(encoding.ids, encoding.offsets, strict=True)]
-
-    def _b_spans(self, proto) -> tuple[list[int], list[Span]]:
-        ids = [p.id for p in proto.pieces]
-        spans = [(p.begin + 1, p.end + 1, self.b_bytes[i]) for p, i in zip(proto.pieces, ids, strict=True)]
-        if spans:  # the first piece begins with the space that is no part of the text read
+            return ids, [(s, e, decoded[i]) for i, (s, e) in zip(ids, offsets, strict=True)]
+        byte = [0, *accumulate(len(c.encode()) for c in text)]
+        return ids, [(byte[s], byte[e], decoded[i]) for i, (s, e) in zip(ids, offsets, strict=True)]
+
+    def _b_spans(self, proto, tail: bool) -> tuple[list[int], list[Span]]:
+        decoded, shift = self.b_bytes, -1 if tail else 1
+        found = [(p.id, p.begin, p.end) for p in proto.pieces]
+        if tail:
+            found = found[self.anchor :]
+        spans = [(begin + shift, end + shift, decoded[i]) for i, begin, end in found]
+        if spans and not tail:  # the first piece begins with the space that is no part of the text read
             spans[0] = (0, *spans[0][1:])
-        return ids, spans
+        return [i for i, _, _ in found], spans
 
     def align(self, segments: list[str]) -> list[Entry | None]:
-        """Groups and links of each segment, all of which begin with a space; None: no tokens."""
+        """Groups and links of each segment, a space and text or a tail; None: no tokens."""
         encodings = self.a.encode_batch(segments, add_special_tokens=False)
-        protos = self.b.encode([s[1:] for s in segments], return_type="proto", num_threads=1)
+        read = [s[1:] if s[0] == " " else "a" + s for s in segments]
+        protos = self.b.encode(read, return_type="proto", num_threads=1)
         out: list[Entry | None] = []
         for segment, encoding, proto in zip(segments, encodings, protos, strict=True):
             data = segment.encode()
-            b_ids, b_spans = self._b_spans(proto)
-            a_ends = token_ends(self._a_spans(encoding, data, segment), data)
-            b_ends = token_ends(b_spans, data)
+            a_ids, a_spans = self._a_spans(encoding, data, segment)
+            b_ids, b_spans = self._b_spans(proto, segment[0] != " ")
+            a_ends, b_ends = token_ends(a_spans, data), token_ends(b_spans, data)
             fits = a_ends is not None and b_ends is not None
-            out.append(entry(encoding.ids, a_ends, b_ids, b_ends) if fits else None)
+            out.append(entry(a_ids, a_ends, b_ids, b_ends) if fits else None)
         return out
 
     def look_up(self, segments: set[str]) -> dict[str, Entry | None]:
-        """The entry of each segment; the new ones of at most KEPT_SEGMENT characters become known."""
+        """The entry of each segment; what is met for the second time becomes known."""
         if self.size > KNOWN_BYTES:
             self.old, self.new, self.size = self.new, {}, 0
+            self.once = bytearray(SLOTS)
+        new, old, once = self.new, self.old, self.once
         found: dict[str, Entry | None] = {}
-        for s in segments & self.new.keys():
-            found[s] = self.new[s]
-        for s in (segments & self.old.keys()) - found.keys():
-            self._keep(s, self.old[s])
-            found[s] = self.old[s]
-        missing = sorted(segments - found.keys())
+        missing = []
+        for s in segments:
+            if s in new:
+                found[s] = new[s]
+            elif s in old:
+                found[s] = old[s]
+                self._keep(s, old[s])
+            else:
+                missing.append(s)
         for i in range(0, len(missing), 1000):
             part = missing[i : i + 1000]
             for s, e in zip(part, self.align(part), strict=True):
                 found[s] = e
-                if len(s) <= KEPT_SEGMENT:
+                slot = hash(s) % SLOTS
+                if once[slot] and len(s) <= KEPT_SEGMENT:
                     self._keep(s, e)
+                once[slot] = 1
         return found
 
     def _keep(self, segment: str, found: Entry | None) -> None:
         self.new[segment] = found
-        self.size += 400 + len(segment) + (len(found[3]) + len(found[4]) if found else 0)
+        self.size += 300 + len(segment) + (len(found[3]) + len(found[4]) if found else 0)
 
     def texts(self, texts: list[str | None]) -> list[list[Entry]]:
         """Entries of each text in order; none for a text without tokens."""

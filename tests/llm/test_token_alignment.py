@@ -97,7 +97,7 @@ def test_segments_are_independent(tools):
     both = Aligner(A, B)
     rng = random.Random(7)
     pool = ["word", "It's", " ", "  ", "\n", "\t", "12", "'s", "é", "ß.", "日本、", "\U0001f600", "é", " ", "­", " ",
-            "<|endoftext|>", "<s>", "</s>", "<0x41>", "▁", "﻿", "\x00", "\x1c", "!?", "…", "ﬁ", "Ａ", "क्षि"]
+            "word,", "don't", "a.\n", "x)", "<|endoftext|>", "<s>", "</s>", "<0x41>", "▁", "﻿", "\x00", "\x1c", "!?", "…", "ﬁ", "Ａ", "क्षि"]
     cut = valid = 0
     for _ in range(3000):
         text = "".join(rng.choice(pool) + rng.choice(["", "", " "]) for _ in range(rng.randrange(1, 14)))
