@@ -11,8 +11,7 @@ Where both vocabularies allow it, a text is cut where no token of either can spa
 between two visible characters (A splits at spaces, no piece of B has a space mark after another
 character) and between a letter and punctuation (A splits there, no piece of B holds the two side by side). The groups of a
 text are those of its segments in order. Segments that this worker does not know are aligned in few calls of the
-libraries; one met for the second time becomes known, and the known ones are kept in two generations bounded by bytes. A segment of any
-length is aligned alone. Other vocabularies read whole texts.
+libraries; the known ones are kept in two generations bounded by bytes. A segment of any length is aligned alone. Other vocabularies read whole texts.
 
 A link is a token of A and a token of B that end at the same byte. Counts of id pairs over all links are
 summed per task before a shuffle. The pair table depends on the vocabularies, not on the number of
@@ -26,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
 import sys
@@ -44,11 +44,13 @@ from foldlight.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+VISIBLE = "!-~¡-¬®-ɏ"
+PLAIN = re.compile(f"[ \n{VISIBLE}]*")
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 TAILS = ',;:!?.)]}"/%*&-_\n'  # may begin a segment behind a letter, if the pieces of B allow it
-KNOWN_BYTES = 40 << 20  # of one generation of known segments
+KNOWN_BYTES = 72 << 20  # of one generation of known segments
+ROWS_AT_ONCE = 400
 KEPT_SEGMENT = 1 << 8  # longer segments are aligned again when met again
-SLOTS = 1 << 20  # marks of segments met once
 COUNT_AT_ONCE = 1 << 21  # links whose pairs are counted at once
 SLICE_PAIRS = 1 << 21
 
@@ -86,6 +88,8 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str) -> None:
         import sentencepiece
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
@@ -103,26 +107,42 @@ class Aligner:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         self.anchor = len(self.b.encode("a"))  # pieces before a tail that is read behind this letter
-        self.cut = self._cut([p for p, known in zip(pieces, plain, strict=True) if known]) if splits_at_spaces(a_path) else None
+        self.cut, self.tails = None, ""
+        if splits_at_spaces(a_path):
+            self._find_cuts([p for p, known in zip(pieces, plain, strict=True) if known])
         self.new: dict[str, Entry | None] = {}
         self.old: dict[str, Entry | None] = {}
         self.size = 0
-        self.once = bytearray(SLOTS)
 
-    @staticmethod
-    def _cut(pieces: list[str]) -> re.Pattern | None:
-        """Places that no token spans; None where the pieces allow none."""
+    def _find_cuts(self, pieces: list[str]) -> None:
+        """Set the places that no token spans, where the pieces allow any."""
         if any("▁" in p.lstrip("▁") for p in pieces):
-            return None
-        letter = re.compile(f"[{LETTER}]")
-        beside = {y for p in pieces for x, y in zip(p, p[1:], strict=False) if letter.match(x)}
-        tails = "".join(c for c in TAILS if c not in beside)
-        behind_letter = f"|(?<=[{LETTER}])(?=[{re.escape(tails)}])" if tails else ""
-        return re.compile(f"(?<=[!-~¡-¬®-ɏ])(?= [^ ]){behind_letter}")
+            return
+        beside = {y for p in pieces for x, y in zip(p, p[1:], strict=False) if x.isalpha()}
+        self.tails = "".join(c for c in TAILS if c not in beside)
+        behind_letter = f"|(?<=[{LETTER}])(?=[{re.escape(self.tails)}])" if self.tails else ""
+        self.cut = re.compile(f"(?<=[{VISIBLE}])(?= [^ ]){behind_letter}")
 
     def segments(self, text: str) -> list[str]:
+        """A space and the text, cut; not all places that allow a cut need to be taken."""
         whole = " " + text
-        return self.cut.split(whole) if self.cut else [whole]
+        if self.cut is None:
+            return [whole]
+        if "  " in whole or whole[-1] == " " or not PLAIN.fullmatch(text):
+            return self.cut.split(whole)
+        out, tails, split = [], self.tails, self.cut.split
+        for word in text.split(" "):  # every space stands before a visible character or a line's end
+            if "\n" in word:
+                out += split(" " + word)
+            elif word[-1] in tails:
+                base = word.rstrip(tails)
+                if base and base[-1].isalpha():
+                    out += (" " + base, word[len(base) :])
+                else:
+                    out.append(" " + word)
+            else:
+                out.append(" " + word)
+        return out
 
     def _a_spans(self, encoding, data: bytes, text: str) -> tuple[list[int], list[Span]]:
         ids, offsets, decoded = encoding.ids, encoding.offsets, self.a_bytes
@@ -157,11 +177,10 @@ class Aligner:
         return out
 
     def look_up(self, segments: set[str]) -> dict[str, Entry | None]:
-        """The entry of each segment; what is met for the second time becomes known."""
+        """The entry of each segment; those of at most KEPT_SEGMENT characters become known."""
         if self.size > KNOWN_BYTES:
             self.old, self.new, self.size = self.new, {}, 0
-            self.once = bytearray(SLOTS)
-        new, old, once = self.new, self.old, self.once
+        new, old = self.new, self.old
         found: dict[str, Entry | None] = {}
         missing = []
         for s in segments:
@@ -176,15 +195,13 @@ class Aligner:
             part = missing[i : i + 1000]
             for s, e in zip(part, self.align(part), strict=True):
                 found[s] = e
-                slot = hash(s) % SLOTS
-                if once[slot] and len(s) <= KEPT_SEGMENT:
+                if len(s) <= KEPT_SEGMENT:
                     self._keep(s, e)
-                once[slot] = 1
         return found
 
     def _keep(self, segment: str, found: Entry | None) -> None:
         self.new[segment] = found
-        self.size += 300 + len(segment) + (len(found[3]) + len(found[4]) if found else 0)
+        self.size += 350 + len(segment) + (len(found[3]) + len(found[4]) if found else 0)
 
     def texts(self, texts: list[str | None]) -> list[list[Entry]]:
         """Entries of each text in order; none for a text without tokens."""
@@ -217,7 +234,7 @@ def align_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(a_path, b_path)
         for batch in batches:
-            for part in chunks(batch):
+            for part in (c.slice(i, ROWS_AT_ONCE) for c in chunks(batch) for i in range(0, c.num_rows, ROWS_AT_ONCE)):
                 rows = both.texts(part.column("text").to_pylist())
                 groups = [";".join([e[3] for e in r]) for r in rows]
                 links = [b"".join([e[4] for e in r]) for r in rows]
