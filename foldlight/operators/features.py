@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
 from pyspark.ml.feature import (
     PCA,
@@ -19,12 +21,12 @@ from pyspark.ml.feature import (
     VectorIndexerModel,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as P
 
+from foldlight.functions import triangles
 from foldlight.functions.vectors import as_array, as_vector, dot, doubles
+from foldlight.session import materialize
 
 
 def label_indexer(label: str = "label", name: str = "indexed_label") -> StringIndexer:
@@ -140,31 +142,69 @@ def project(
     )
 
 
+FAN_IN_BYTES = 64 << 20  # of triangular factors that meet in one task
+
+
+def triangular_factor(df: DataFrame, features: str = "features") -> np.ndarray:
+    """R of A = QR for the rows of ``df``, by a tree of small factors; 0 x 0 for an empty table.
+
+    Each task reduces its rows batch by batch to one features x features triangle; triangles
+    are stacked and reduced in groups until one group is left. Rows without features are left out.
+    """
+
+    def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor = None
+        for batch in batches:
+            for block in triangles.rows_of(batch.column("entries")):
+                factor = triangles.stacked(factor, block)
+        yield triangles.lines(TaskContext.get().partitionId(), factor)
+
+    def reduce_group(group: pa.Table) -> pa.Table:
+        factor = None
+        for block in triangles.rows_of(group.column("entries").combine_chunks()):
+            factor = triangles.stacked(factor, block)
+        return pa.Table.from_batches([triangles.lines(group["part"][0].as_py(), factor)])
+
+    rows = as_array(df.select(P.col(features).alias("entries")), "entries").filter("entries IS NOT NULL")
+    level = materialize(rows.mapInArrow(reduce_rows, triangles.SCHEMA), "triangles")
+    while True:
+        size, parts, last = level.agg(P.max(P.size("entries")), P.count_distinct("part"), P.max("part")).first()
+        fan_in = max(2, FAN_IN_BYTES // (8 * (size or 1) ** 2))
+        if parts <= fan_in:
+            found = level.select("entries").toArrow()["entries"].combine_chunks()
+            factor = np.zeros((0, 0))
+            for block in triangles.rows_of(found):
+                factor = triangles.stacked(factor if factor.size else None, block)
+            return factor
+        width = max(fan_in, 2)
+        grouped = level.withColumn("part", P.floor(P.col("part") / width).cast("long"))
+        level = materialize(grouped.groupBy("part").applyInArrow(reduce_group, triangles.SCHEMA), "triangles")
+
+
 def singular_values(
     df: DataFrame, k: int = 3, r_cond: float = 1e-9, features: str = "features"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """U (input rows with a ``u`` column), s (component, value), V (feature, component).
 
-    One pass sums the Gram matrix, whatever the number of features; its eigenvectors
-    are taken from that features x features matrix, and U = A V / s is a row
-    expression over the input. Values below ``r_cond`` times the largest are left out.
+    One pass reduces the rows to a triangle of features x features entries, whose singular
+    values are those of the table; since no product of rows is formed, values down to some 1e-15 times the
+    largest are told from zero. U = A V / s is a row expression over the input. Values not above ``r_cond``
+    times the largest are left out.
     """
     spark = df.sparkSession
-    rows = MLUtils.convertVectorColumnsFromML(as_vector(df.select(features), features), features)
-    gram = RowMatrix(rows).computeGramianMatrix().toArray()
-    squares, v = np.linalg.eigh(gram)
-    s = np.sqrt(np.maximum(squares[::-1], 0.0))[:k]
+    factor = triangular_factor(df, features)
+    _, s, rows = np.linalg.svd(factor) if factor.size else (None, np.zeros(0), np.zeros((0, 0)))
+    s = s[:k]
     s = s[s > r_cond * max(s[:1], default=0.0)]
-    v = v[:, ::-1][:, : len(s)]
-    v = v * _signs(v)
+    v = rows.T[:, : len(s)]
+    v = v * _signs(v) if v.size else v
     values = spark.createDataFrame(
         [(i, float(x)) for i, x in enumerate(s)], "component int, singular_value double"
     )
     right = _long(spark, v, "loading")
     arrays = as_array(df, features)
-    left = arrays.withColumn(
-        "u", P.array(*[dot(P.col(features), doubles(v[:, j] / s[j])) for j in range(len(s))])
-    )
+    parts = [dot(P.col(features), doubles(v[:, j] / s[j])) for j in range(len(s))]
+    left = arrays.withColumn("u", P.array(*parts).cast("array<double>"))
     return left, values, right
 
 

@@ -15,11 +15,13 @@ from pyspark.ml.regression import (
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as P
 
+from foldlight.functions import pooling
 from foldlight.functions.vectors import as_array, as_vector
-from foldlight.session import enable_checkpoints
+from foldlight.operators.running import with_row_id
+from foldlight.session import enable_checkpoints, materialize
 
 
 def _fit(estimator: Estimator, df: DataFrame) -> Model:
@@ -69,17 +71,93 @@ def fit_isotonic(
 
     Rows with an equal feature value have one common fit, so they are merged to
     their weighted mean first and the estimator gets one row per distinct value.
-    A vector feature column with one entry is accepted too.
+    A vector feature column with one entry is accepted too. Spark pools the last blocks on the
+    driver: the model is for savable, small fits, ``isotonic_boundaries`` for any number of values.
     """
+    merged = _points(df, feature, label, weight)
+    return IsotonicRegression(
+        isotonic=increasing, featuresCol="feature", labelCol="label", weightCol="weight"
+    ).fit(merged)
+
+
+def _points(df: DataFrame, feature: str, label: str, weight: str | None) -> DataFrame:
+    """(feature, label, weight) with one row per distinct feature value: weighted mean and sum of weights."""
     if df.schema[feature].dataType.typeName() not in ("double", "float", "integer", "long"):
         df = as_array(df, feature).withColumn(feature, P.col(feature)[0])
     w = P.col(weight).cast("double") if weight else P.lit(1.0)
-    merged = df.groupBy(P.col(feature).cast("double").alias("feature")).agg(
+    return df.groupBy(P.col(feature).cast("double").alias("feature")).agg(
         (P.sum(w * P.col(label)) / P.sum(w)).alias("label"), P.sum(w).alias("weight")
     )
-    return IsotonicRegression(
-        isotonic=increasing, featuresCol="feature", labelCol="label", weightCol="weight"
-    ).fit(merged)
+
+
+def isotonic_boundaries(
+    df: DataFrame,
+    increasing: bool = True,
+    feature: str = "feature",
+    label: str = "label",
+    weight: str | None = None,
+    chunk: int = 200_000,
+) -> DataFrame:
+    """R5 as a table: (boundary, prediction) of the weighted isotonic regression, never on the driver.
+
+    One row per distinct feature value is numbered in order and cut into chunks of ``chunk``
+    blocks; each chunk pools its adjacent violators. While the last block of a chunk lies above the first
+    of the next one, the blocks left are numbered again and cut half a chunk further, so that these two meet. Pooling
+    gives one result in whatever order violators are merged. Rows without feature or label, or without a positive
+    weight, are left out; an empty table gives an empty result.
+    """
+    if chunk < 2:
+        raise ValueError("a chunk holds two blocks at least")
+    sign = 1.0 if increasing else -1.0
+    points = _points(df.filter(P.col(feature).isNotNull() & P.col(label).isNotNull()), feature, label, weight)
+    blocks = points.filter("weight > 0").select(
+        P.col("feature").alias("low"), P.col("feature").alias("high"), "weight", (sign * P.col("label")).alias("mean")
+    )
+    shift = 0
+    while True:
+        numbered = with_row_id(blocks, ["low"], "_id")
+        chunks = numbered.withColumn("chunk", P.floor((P.col("_id") + shift) / chunk).cast("long"))
+        cut = chunks.select("chunk", "low", "high", "weight", "mean")
+        blocks = materialize(cut.groupBy("chunk").applyInArrow(pooling.pooled, pooling.SCHEMA), "blocks")
+        ends = blocks.groupBy("chunk").agg(P.min_by("mean", "low").alias("first"), P.max_by("mean", "low").alias("last"))
+        after = ends.select((P.col("chunk") - 1).alias("chunk"), P.col("first").alias("next"))
+        if ends.join(after, "chunk").filter(P.col("last") > P.col("next")).isEmpty():
+            break
+        blocks = blocks.drop("chunk")
+        shift = 0 if shift else max(1, chunk // 2)
+    ends = P.when(P.col("low") < P.col("high"), P.array("low", "high")).otherwise(P.array("low"))
+    return blocks.select(P.explode(ends).alias("boundary"), (sign * P.col("mean")).alias("prediction"))
+
+
+def interpolate(boundaries: DataFrame, df: DataFrame, feature: str = "feature") -> DataFrame:
+    """R6 for a table of boundaries: ``df`` with ``prediction``, linear between boundaries and flat outside.
+
+    Distinct values and boundaries are sorted together in ranges that are written once; a range takes the nearest
+    boundary before and after it from one row per range, so no window spans the table. Null features
+    have a null prediction.
+    """
+    values = df.select(P.col(feature).cast("double").alias("x")).filter("x IS NOT NULL").distinct()
+    both = values.select("x", P.lit(None).cast("double").alias("y")).unionAll(
+        boundaries.select(P.col("boundary").alias("x"), P.col("prediction").alias("y"))
+    )
+    parts = materialize(both.repartitionByRange("x").withColumn("_part", P.spark_partition_id()), "ranges")
+    known = P.when(P.col("y").isNotNull(), P.struct("x", "y"))
+    per_part = parts.groupBy("_part").agg(P.min(known).alias("first"), P.max(known).alias("last"))
+    ranges = Window.partitionBy(P.lit(0)).orderBy("_part")  # one row per range
+    before = P.last("last", ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, -1))
+    after = P.first("first", ignorenulls=True).over(ranges.rowsBetween(1, Window.unboundedFollowing))
+    borders = per_part.select("_part", before.alias("_before"), after.alias("_after"))
+    inside = Window.partitionBy("_part").orderBy("x")
+    left = P.last(known, ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, 0))
+    right = P.first(known, ignorenulls=True).over(inside.rangeBetween(0, Window.unboundedFollowing))
+    near = parts.withColumns({"_left": left, "_right": right}).filter("y IS NULL").join(borders, "_part", "left")
+    near = near.select("x", P.coalesce("_left", "_before").alias("a"), P.coalesce("_right", "_after").alias("b"))
+    share = (P.col("x") - P.col("a.x")) / (P.col("b.x") - P.col("a.x"))
+    line = P.col("a.y") + (P.col("b.y") - P.col("a.y")) * share
+    inner = P.when(P.col("a.x") == P.col("b.x"), P.col("a.y")).otherwise(line)
+    flat = P.when(P.col("a").isNull(), P.col("b.y")).when(P.col("b").isNull(), P.col("a.y")).otherwise(inner)
+    found = near.select(P.col("x").alias("_x"), flat.alias("prediction"))
+    return df.join(found, P.col(feature).cast("double") == P.col("_x"), "left").drop("_x")
 
 
 def predict(model: Model, df: DataFrame, label: str = "label", keep: tuple[str, ...] = ()):

@@ -168,9 +168,9 @@ def r5_fit_isotonic(spark, folder):
     rows = table(spark, folder, "lineitem").select(
         P.col("l_quantity").alias("feature"), (P.col("l_extendedprice") / 1000.0).alias("label")
     )
-    model = regress.fit_isotonic(rows)
     points = rows.select("feature").distinct()
-    return model.transform(points).select("feature", *rounded(6, "prediction"))
+    boundaries = regress.isotonic_boundaries(rows)
+    return regress.interpolate(boundaries, points).select("feature", *rounded(6, "prediction"))
 
 
 # -- trees: the best single split over all rows -------------------------------------------
