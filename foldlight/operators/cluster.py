@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.clustering import (
     LDA,
@@ -21,7 +23,7 @@ from pyspark.sql import functions as P
 
 from foldlight.functions.nearest import nearest
 from foldlight.functions.vectors import as_array, as_vector
-from foldlight.session import enable_checkpoints
+from foldlight.session import enable_checkpoints, materialize
 
 
 def fit_kmeans(df: DataFrame, k: int = 2, iterations: int = 20, seed: int = 1) -> KMeansModel:
@@ -94,12 +96,92 @@ def fit_topics(
 
 
 def topic_words(model: LDAModel, df: DataFrame) -> DataFrame:
-    """Word by topic table (word, topic, weight), vocabulary x k rows."""
+    """Word by topic table (word, topic, weight), vocabulary x k rows, which pass through the driver.
+
+    For a vocabulary of any size there is ``fit_topic_tables``.
+    """
     matrix = model.topicsMatrix().toArray()
     rows = [(w, t, float(v)) for w, line in enumerate(matrix) for t, v in enumerate(line)]
     return df.sparkSession.createDataFrame(rows, "word int, topic int, weight double")
 
 
+@dataclass
+class TopicTables:
+    """C6 as tables: (word, topic, weight), (doc, topic, weight), and the objective after each step."""
+
+    words: DataFrame
+    docs: DataFrame
+    objective: list[float]
+
+
+def word_counts(df: DataFrame, features: str = "features", doc: str = "doc_id") -> DataFrame:
+    """(doc, word, n) with one row per word that a document holds, from vectors of counts."""
+    counts = as_array(df.select(P.col(doc).alias("doc"), features), features)
+    return counts.select("doc", P.posexplode(features).alias("word", "n")).filter("n > 0")
+
+
+def _summed(rows: DataFrame, by: str, k: int) -> DataFrame:
+    return rows.groupBy(by).agg(P.array(*[P.sum(P.col("share")[i]) for i in range(k)]).alias("weight"))
+
+
+def fit_topic_tables(
+    counts: DataFrame, k: int = 3, iterations: int = 20, seed: int = 1, alpha: float | None = None, eta: float = 1.1
+) -> TopicTables:
+    """C6 by expectation-maximisation on tables; neither the vocabulary nor the documents meet the driver.
+
+    ``counts`` has (doc, word, n), each pair once. Each row's count is divided over the topics in
+    proportion to (word weight + eta - 1) (doc weight + alpha - 1) / (topic weight + words (eta - 1)); the shares are summed
+    by word and by document, with partial sums per task. Words and documents are joined by equality, so a word that is
+    in every document is split by adaptive execution. Only the k topic totals and the objective, the logarithm of
+    the posterior up to a constant, are read back. It never falls from one step to the next. The first shares come
+    from a hash of seed, document and word. ``alpha`` is 50 / k + 1 unless given. Rows without a positive count are
+    left out; an empty table gives empty tables.
+    """
+    alpha = 50.0 / k + 1 if alpha is None else alpha
+    rows = materialize(counts.select("doc", "word", P.col("n").cast("double").alias("n")).filter("n > 0"), "counts")
+    lengths = rows.groupBy("doc").agg(P.sum("n").alias("length"))
+    draws = [(P.pmod(P.xxhash64(P.lit(seed), P.lit(i), "doc", "word"), P.lit(1000)) + 1).cast("double") for i in range(k)]
+    drawn = rows.withColumn("share", P.array(*draws))
+    scale = P.col("n") / P.aggregate("share", P.lit(0.0), lambda s, x: s + x)
+    shares = drawn.withColumn("share", P.transform("share", lambda x: x * scale))
+    objective: list[float] = []
+    for step in range(iterations + 1):
+        words = materialize(_summed(shares, "word", k), "words")
+        docs = materialize(_summed(shares, "doc", k).join(lengths, "doc"), "docs")
+        weight = P.col("weight")
+        logs = [P.sum(P.log(weight[i] + (eta - 1))) if eta > 1 else P.lit(0.0) for i in range(k)]
+        size, *sums = words.agg(P.count(P.lit(1)), *[P.sum(weight[i]) for i in range(k)], *logs).first()
+        if not size:
+            break
+        totals = [t + size * (eta - 1) for t in sums[:k]]
+        priors = (eta - 1) * sum(s - size * math.log(t) for s, t in zip(sums[k:], totals, strict=True))
+        if alpha > 1:
+            places = P.aggregate(P.transform("weight", lambda x: P.log(x + (alpha - 1))), P.lit(0.0), lambda s, x: s + x)
+            rest = P.log(P.col("length") + k * (alpha - 1)) * k
+            priors += (alpha - 1) * docs.agg(P.sum(places - rest)).first()[0]
+        by_word = words.select("word", P.col("weight").alias("of_word"))
+        by_doc = docs.select("doc", "length", P.col("weight").alias("of_doc"))
+        met = shares.select("doc", "word", "n").join(by_word, "word").join(by_doc, "doc")
+        product = [
+            (P.col("of_word")[i] + (eta - 1)) * (P.col("of_doc")[i] + (alpha - 1)) / totals[i] for i in range(k)
+        ]
+        met = met.withColumn("product", P.array(*product))
+        met = met.withColumn("total", P.aggregate("product", P.lit(0.0), lambda s, x: s + x))
+        log_share = P.col("n") * (P.log("total") - P.log(P.col("length") + k * (alpha - 1)))
+        if step == iterations:
+            objective.append(met.agg(P.sum(log_share)).first()[0] + priors)
+            break
+        met = materialize(met.select("doc", "word", "n", "product", "total", log_share.alias("log_share")), "met")
+        objective.append(met.agg(P.sum("log_share")).first()[0] + priors)
+        divided = P.transform("product", lambda x: x / P.col("total") * P.col("n"))
+        shares = met.select("doc", "word", "n", divided.alias("share"))
+    return TopicTables(
+        words.select("word", P.posexplode("weight").alias("topic", "weight")),
+        docs.select("doc", P.posexplode("weight").alias("topic", "weight")),
+        objective,
+    )
+
+
 def power_iteration_clusters(
     edges: DataFrame,
     k: int = 2,

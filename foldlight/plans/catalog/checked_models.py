@@ -28,7 +28,7 @@ from foldlight.sources.readers import table
 
 # -- naive Bayes -------------------------------------------------------------------
 
-NB_FOLDS = 5
+NB_FOLDS = 10
 F = [f"f{i}" for i in range(4)]
 SQL_NB = f"""
 x AS (
@@ -456,13 +456,43 @@ def letter_counts(spark, folder):
 def c6_topic_word_totals(spark, folder):
     """The topic weights of a word add up to its count in all documents."""
     docs = letter_counts(spark, folder)
-    weights = cluster.topic_words(cluster.fit_topics(docs, 3, iterations=5), docs)
+    weights = cluster.topic_words(cluster.fit_topics(docs, 3, iterations=20), docs)
     return weights.groupBy("word").agg(
         P.count_if(P.col("weight") > 0).alias("topics"),
         P.round(P.sum("weight"), 2).alias("total"),
     )
 
 
+@query(
+    "c6_topic_tables",
+    " UNION ALL ".join(
+        f"""SELECT 'word' AS kind, {i} AS id,
+        round(CAST(sum(length(lower(text)) - length(replace(lower(text), '{c}', ''))) AS DOUBLE), 2) AS total
+        FROM documents"""
+        for i, c in enumerate(LETTERS)
+    )
+    + """ UNION ALL SELECT 'step', CAST(i AS INT), 1.0::DOUBLE FROM range(1, 21) t(i)
+    UNION ALL SELECT 'documents', 0, CAST(count(*) AS DOUBLE) FROM documents WHERE regexp_matches(lower(text), '[a-z]')""",
+)
+def c6_topic_tables(spark, folder):
+    """Topic weights of each word after 20 steps, steps that do not lower the objective, documents whose weights add up."""
+    counts = cluster.word_counts(letter_counts(spark, folder))
+    found = cluster.fit_topic_tables(counts, 3, iterations=20)
+    words = found.words.groupBy(P.col("word").alias("id")).agg(P.round(P.sum("weight"), 2).alias("total"))
+    steps = [
+        (i, float(b >= a - 1e-9 * abs(a)))
+        for i, (a, b) in enumerate(zip(found.objective, found.objective[1:], strict=False), 1)
+    ]
+    sums = found.docs.groupBy("doc").agg(P.sum("weight").alias("weight"))
+    sizes = counts.groupBy("doc").agg(P.sum("n").alias("n"))
+    equal = P.count_if(P.abs(P.col("weight") - P.col("n")) <= 1e-6 * P.col("n")).cast("double")
+    right = sums.join(sizes, "doc").agg(P.lit(0).alias("id"), equal.alias("total"))
+    steps = spark.createDataFrame(steps, "id int, total double")
+    kinds = (("word", words), ("step", steps), ("documents", right))
+    parts = [df.select(P.lit(kind).alias("kind"), "id", "total") for kind, df in kinds]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 def trade_edges(spark, folder):
     """Quantity sold between supplier and customer nations."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")

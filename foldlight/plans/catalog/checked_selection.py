@@ -22,7 +22,7 @@ from foldlight.plans.catalog.scores import MACRO, PER_CLASS
 from foldlight.plans.catalog.transforms import SQL_PCA, two_features
 from foldlight.sources.readers import table
 
-FOLDS = 3
+FOLDS = 10
 
 
 def bayes_sql(

@@ -73,7 +73,7 @@ def m4_linear_svm(spark, folder):
 @query("m4_linear_svm_one_against_rest")
 def m4_linear_svm_one_against_rest(spark, folder):
     train, test = halves(embedding_rows(spark, folder), ["vec_id"])
-    return class_scores(classify.fit_linear_svm(train, iterations=10, classes=10), test)
+    return class_scores(classify.fit_linear_svm(train, iterations=100, classes=10), test)
 
 
 @query("m6_decision_tree_classifier")
@@ -152,7 +152,7 @@ def c5_gaussian_mixture(spark, folder):
 @query("c6_topics")
 def c6_topics(spark, folder):
     docs = letter_counts(spark, folder)
-    return cluster.topic_words(cluster.fit_topics(docs, 3, iterations=5), docs)
+    return cluster.topic_words(cluster.fit_topics(docs, 3, iterations=20), docs)
 
 
 @query("c7_power_iteration_clusters")

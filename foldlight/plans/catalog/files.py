@@ -149,11 +149,11 @@ def s8_read_baskets(spark, folder):
 
 @query(
     "k1_write_factors",
-    """SELECT 'productFeatures' AS side, count(DISTINCT props) AS lines, CAST(4 AS BIGINT) AS numbers FROM events
-    UNION ALL SELECT 'userFeatures', count(DISTINCT user_id), 4 FROM events""",
+    """SELECT 'productFeatures' AS side, count(DISTINCT props) AS lines, CAST(10 AS BIGINT) AS numbers FROM events
+    UNION ALL SELECT 'userFeatures', count(DISTINCT user_id), 10 FROM events""",
 )
 def k1_write_factors(spark, folder):
-    model = recommend.fit_als(user_item_ratings(spark, folder), rank=4, iterations=5, reg=0.1)
+    model = recommend.fit_als(user_item_ratings(spark, folder), rank=10, iterations=10, reg=0.1)
     path = scratch_path(spark, "factors")
     sinks.write_factors(model, path)
     inside = P.regexp_extract("value", r"^\d+,\[(.*)\]$", 1)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldlight.operators import features, recommend, regress
+from foldlight.operators import cluster, features, recommend, regress
 
 
 def table_of(spark, rows, parts=7):
@@ -163,3 +163,35 @@ def test_few_and_no_items(spark):
     assert [[x.item for x in r.recommendations] for r in recommend.top_products(u, v, 10).collect()] == [[0, 1]] * 3
     assert recommend.top_products(u, v.filter("false"), 10).count() == 0
     assert recommend.top_products(u.filter("false"), v, 10).count() == 0
+
+
+def test_topic_tables_follow_plain_steps(spark):
+    """One step from the tables' own weights, by NumPy, is the next step; the objective never falls."""
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 4, size=(30, 12))
+    rows = [(d, w, int(n)) for (d, w), n in np.ndenumerate(counts)] + [(0, 99, 0), (1, None, None)]
+    df = spark.createDataFrame(rows, "doc int, word int, n int")
+    k, alpha, eta = 3, 1.5, 1.1
+    found = [cluster.fit_topic_tables(df, k, steps, alpha=alpha, eta=eta) for steps in (3, 4)]
+
+    def matrix(table, size, name):
+        out = np.zeros((size, k))
+        for r in table.collect():
+            out[r[name], r.topic] = r.weight
+        return out
+
+    word, doc = matrix(found[0].words, 12, "word"), matrix(found[0].docs, 30, "doc")
+    phi = (word + eta - 1) / (word.sum(axis=0) + 12 * (eta - 1))
+    theta = (doc + alpha - 1) / (doc.sum(axis=1, keepdims=True) + k * (alpha - 1))
+    product = theta[:, None, :] * phi[None, :, :]
+    share = counts[:, :, None] * product / product.sum(axis=2, keepdims=True)
+    assert matrix(found[1].words, 12, "word") == pytest.approx(share.sum(axis=0))
+    assert matrix(found[1].docs, 30, "doc") == pytest.approx(share.sum(axis=1))
+    value = (counts * np.log(product.sum(axis=2))).sum() + (eta - 1) * np.log(phi).sum() + (alpha - 1) * np.log(theta).sum()
+    assert found[0].objective[-1] == pytest.approx(value) == pytest.approx(found[1].objective[3])
+    assert all(b >= a - 1e-9 * abs(a) for a, b in zip(found[1].objective, found[1].objective[1:], strict=False))
+
+
+def test_topic_tables_of_nothing(spark):
+    found = cluster.fit_topic_tables(spark.createDataFrame([(1, 1, 0)], "doc int, word int, n int"), 2, 3)
+    assert found.words.count() == 0 and found.docs.count() == 0 and found.objective == []
