@@ -11,9 +11,15 @@ Words without a pair are done. Texts are then looked up word by word.
 Decoding: token rows join the vocabulary and an ordered aggregation puts the
 bytes of each text together, in blocks of bounded size.
 
+A word above ``STRETCH`` bytes is contracted in stretches that overlap by half, as words of their own, and
+the stretches are joined where a token of one ends and a token of the next begins. Tokens are those of the whole word
+exactly if each two neighbours, contracted by themselves, stay as they are: the first contraction across a token's end would
+also happen in the two tokens alone. Two tokens that are neighbours in a stretch have stayed so; other pairs are contracted to
+see. Stretches that nowhere meet so are doubled.
+
 The merge table holds every way to cut a vocabulary entry into two entries. The
-memory of the database is bounded, nothing is written to local disk, and the
-known words of a worker are kept in two generations of ``KNOWN`` words. A text
+memory of the database is bounded, and so is what it is given at once (``BYTES_AT_ONCE``); nothing is written to local disk, and the
+known words of a worker are kept in two generations of ``KNOWN_BYTES``. A text
 above ``PART`` characters is cut where no word can span.
 
 Null text is encoded as empty. Rows are encoded one by one, so repeated rows and
@@ -40,12 +46,14 @@ from foldlight.llm.words import chunks, kept, tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-KNOWN = 500_000
+KNOWN_BYTES = 100 << 20  # of words, their ids and their places in a table
+KEPT_WORD = 1 << 10  # longer words are encoded again when met again
 PART = 1 << 20
-WORDS_AT_ONCE = 20_000
+BYTES_AT_ONCE = 1 << 18
+STRETCH = 96
 TOKENS_AT_ONCE = 1 << 18
 
-PLACES = 1 << 24  # a row's id is its word's number times this, plus its place
+PLACES = 1 << 32  # a row's id is its word's number times this, plus its place
 
 ENCODE = f"""
 WITH RECURSIVE step(id, token, after, done) AS (
@@ -104,14 +112,19 @@ class Database:
         self._table("vocabulary", {"token": token, "letters": letters})
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0
+        self.letters = {i: w for w, i in ranks.items()}
+        lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        lengths[list(ranks.values())] = [len(w) for w in ranks]
+        self.lengths = lengths
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def _contract(self, words: list[str]) -> list[bytes]:
-        data = [w.encode() for w in words]
+    def _contract(self, data: list[bytes]) -> list[bytes]:
+        """The ids of each word, none of them empty."""
         sizes = np.array([len(d) for d in data])
         token = self.byte[np.frombuffer(b"".join(data), np.uint8)]
         place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -123,22 +136,92 @@ class Database:
         flat = ids.values.to_numpy().astype("<u4").tobytes()
         return [flat[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
-    def learn(self, words: set[str]) -> None:
-        """Make every one of ``words`` known."""
-        if len(self.new) > KNOWN:
-            self.old, self.new = self.new, {}
+    def _contract_all(self, data: list[bytes]) -> list[bytes]:
+        """The ids of each word in calls of BYTES_AT_ONCE bytes, or one longer word."""
+        out: list[bytes] = []
+        begin = size = 0
+        for i, word in enumerate(data):
+            if size and size + len(word) > BYTES_AT_ONCE:
+                out += self._contract(data[begin:i])
+                begin, size = i, 0
+            size += len(word)
+        return out + self._contract(data[begin:]) if begin < len(data) else out
+
+    def _stretched(self, words: list[bytes], stretch: int = STRETCH) -> list[bytes]:
+        """The ids of words longer than a stretch."""
+        step = stretch // 2
+        parts = [[w[i : i + stretch] for i in range(0, max(len(w) - step, 1), step)] for w in words]
+        different = sorted({p for cut in parts for p in cut})
+        found = dict(zip(different, self._contract_all(different), strict=True))
+        out, again = [], []
+        for n, cut in enumerate(parts):
+            joined = self._joined([found[p] for p in cut], step)
+            out.append(joined or b"")
+            if joined is None:
+                again.append(n)
+        if again:  # a stretch as long as the word always ends it
+            for n, ids in zip(again, self._stretched([words[n] for n in again], 2 * stretch), strict=True):
+                out[n] = ids
+        return out
+
+    def _joined(self, parts: list[bytes], step: int) -> bytes | None:
+        """Ids of a word from those of its stretches, which begin ``step`` bytes apart; None where two do not meet."""
+        tokens = np.frombuffer(parts[0], "<u4")
+        ends = np.cumsum(self.lengths[tokens])
+        out, begin = [], 0  # kept tokens, and the first token of the present stretch that is not among them
+        for i, part in enumerate(parts[1:], 1):
+            after = np.frombuffer(part, "<u4")
+            starts = i * step + np.cumsum(self.lengths[after]) - self.lengths[after]
+            places, left, right = np.intersect1d(ends, starts, assume_unique=True, return_indices=True)
+            keep = left >= begin
+            left, right = left[keep], right[keep]
+            meets = None
+            for k, m in zip(left.tolist(), right.tolist(), strict=True):
+                # the token after the meeting place is the same in both, so its neighbours are too
+                if k + 1 < len(tokens) and tokens[k + 1] == after[m]:
+                    meets = k, m
+                    break
+            if meets is None and len(left):
+                k, m = int(left[0]), int(right[0])
+                pair = self.letters[tokens[k]] + self.letters[after[m]]
+                if self._contract([pair])[0] == tokens[[k]].tobytes() + after[[m]].tobytes():
+                    meets = k, m
+            if meets is None:
+                return None
+            out.append(tokens[begin : meets[0] + 1])
+            begin, tokens = meets[1], after
+            ends = starts + self.lengths[after]
+        return np.concatenate([*out, tokens[begin:]]).astype("<u4").tobytes()
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Make every one of ``words`` known; those to be forgotten after use."""
+        if self.size > KNOWN_BYTES:
+            self.old, self.new, self.size = self.new, {}, 0
         for w in words & self.old.keys():
-            self.new[w] = self.old[w]
+            if w not in self.new:
+                self.new[w] = self.old[w]
+                self.size += 3 * len(w) + 150
         missing = sorted(words - self.new.keys())
-        for i in range(0, len(missing), WORDS_AT_ONCE):
-            part = missing[i : i + WORDS_AT_ONCE]
-            self.new.update(zip(part, self._contract(part), strict=True))
+        data = [w.encode() for w in missing]
+        short = [i for i, d in enumerate(data) if len(d) <= STRETCH]
+        long = [i for i, d in enumerate(data) if len(d) > STRETCH]
+        for some, encoded in (
+            (short, self._contract_all([data[i] for i in short])),
+            (long, self._stretched([data[i] for i in long]) if long else []),
+        ):
+            for i, ids in zip(some, encoded, strict=True):
+                self.new[missing[i]] = ids
+                self.size += len(data[i]) + len(ids) + 150
+        return [missing[i] for i in long if len(data[i]) > KEPT_WORD]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [[self.pattern.findall(p) for p in safe_parts(t, PART)] for t in texts]
-        self.learn({w for parts in cut for part in parts for w in part})
+        passing = self.learn({w for parts in cut for part in parts for w in part})
         get = self.new.__getitem__
-        return [b"".join(b"".join(map(get, part)) for part in parts) for parts in cut]
+        out = [b"".join(b"".join(map(get, part)) for part in parts) for parts in cut]
+        for w in passing:
+            self.size -= len(w.encode()) + len(self.new.pop(w)) + 150
+        return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each row of little-endian unsigned 32-bit ids."""

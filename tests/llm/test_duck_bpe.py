@@ -60,7 +60,7 @@ def test_noise(database, reference):
 
 def test_every_vocabulary_entry(database, reference):
     words = [w.decode() for w in reference.token_byte_values() if _is_text(w)]
-    assert database._contract(words) == [packed(reference._core_bpe.encode_single_piece(w.encode())) for w in words]
+    assert database._contract_all([w.encode() for w in words]) == [packed(reference._core_bpe.encode_single_piece(w.encode())) for w in words]
 
 
 def _is_text(data):
@@ -72,9 +72,11 @@ def _is_text(data):
 
 def test_bounds_do_not_change_results(monkeypatch, reference):
     small = Database(PATH, PATTERN)
-    monkeypatch.setattr(duck_bpe, "KNOWN", 20)
+    monkeypatch.setattr(duck_bpe, "KNOWN_BYTES", 3000)
+    monkeypatch.setattr(duck_bpe, "KEPT_WORD", 10)
+    monkeypatch.setattr(duck_bpe, "STRETCH", 12)
     monkeypatch.setattr(duck_bpe, "PART", 50)
-    monkeypatch.setattr(duck_bpe, "WORDS_AT_ONCE", 7)
+    monkeypatch.setattr(duck_bpe, "BYTES_AT_ONCE", 60)
     monkeypatch.setattr(duck_bpe, "TOKENS_AT_ONCE", 9)
     rng = random.Random(1)
     for _ in range(5):
@@ -84,6 +86,33 @@ def test_bounds_do_not_change_results(monkeypatch, reference):
         assert small.decode(ids) == [t.encode() for t in texts]
 
 
+def test_stretches_meet_as_the_whole_word(database, reference):
+    rng = random.Random(2)
+    words = ["x" * n for n in (97, 143, 1000, 4999)] + ["ab" * 300, "abc" * 333, "=" * 777, " " * 5000, "é" * 400, "日本" * 150]
+    words += ["".join(rng.choice(pool) for _ in range(rng.randrange(2, 700))) for pool in ("ab", "aeiourst", "ACGT", "0123456789") for _ in range(40)]
+    words += [rng.choice(words)[:80] + "x" * rng.randrange(100, 300) + rng.choice(words)[:80] for _ in range(40)]
+    data = [w.encode() for w in words]
+    want = [packed(reference._core_bpe.encode_single_piece(d)) for d in data]
+    for stretch in (2, 14, 96):
+        assert database._stretched(data, stretch) == want
+
+
+def test_many_long_words(spark, reference):
+    """Texts of 4 kB made of 200-letter words, all different."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(200)) for _ in range(20))) for i in range(1000)]
+    got = {r.doc_id: bytes(r.ids) for r in encode(spark.createDataFrame(rows, "doc_id int, text string"), PATH, PATTERN).collect()}
+    assert all(got[i] == packed(reference.encode_ordinary(t)) for i, t in rows)
+
+
+def test_huge_words(database, reference):
+    rng = random.Random(4)
+    words = ["x" * (6 << 20), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=400_000)) * 15, "é" * ((1 << 23) + 5)]
+    for word in words:
+        assert database.encode([word]) == [packed(reference.encode_ordinary(word))]
+        assert word not in database.new
+
+
 def test_odd_rows(odd, reference):
     rows = decode(encode(odd, PATH, PATTERN), PATH, PATTERN).collect()
     want = sorted(str((r.doc_id, (r.text or "").encode())) for r in odd.collect())
