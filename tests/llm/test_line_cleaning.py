@@ -71,7 +71,7 @@ def test_rules():
     assert again == 1 and 0 < lost < total
     assert clean(good) == (good, 0, 40, 0)
     notice = "All rights reserved."
-    assert clean(f"{good}\n{notice}") == (good, 0, 40, 0)
+    assert clean(f"{good}\n{notice}") == (good, 0, 58, 18)
     assert clean(notice) == ("", 0, 18, 18)
 
 
