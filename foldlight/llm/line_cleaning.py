@@ -9,8 +9,9 @@ A line (split at ``\\n``) is removed when a rule fails it:
   half of ten or more, or a notice: a licence, cookie, sign-in or rights phrase in
   a line of at most 25 words.
 
-Lines without a word are never judged. A document whose removed lines, notices among them, hold
-more than ``max_lost`` of its word characters is rejected, and so is one that fails the
+Lines without a word are never judged. A text may have a notice at its head and one at its foot: up to
+``FREE_NOTICES`` of them count neither for nor against a text that has other lines, and where there are more, all
+count as lost. A document whose removed lines hold more than ``max_lost`` of its word characters is rejected, and so is one that fails the
 base limits (fewer than 10 words, or over 20 % of words in repeated
 5-word windows). Only the document itself is looked at, so there is no shuffle.
 
@@ -45,6 +46,7 @@ PHRASES = (
     r"|copyright|©|sign in\b|log in\b|subscribe|newsletter|skip to (main )?content|share (this|on)\b"
 )
 WINDOW = 5
+FREE_NOTICES = 2
 
 
 def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
@@ -77,23 +79,30 @@ def failed_rule(line: str, seen: set[str]) -> str | None:
 
 
 def clean(text: str) -> tuple[str, int, int, int]:
-    """(text without failed lines, repeated lines, word characters, and of these removed)."""
+    """(text without failed lines, repeated lines, word characters judged, and of these removed)."""
     seen: set[str] = set()
     left = []
-    again = total = lost = 0
+    again = total = lost = notices = noticed = 0
     for line in text.split("\n"):
         if line.strip(SPACES):
             size = sum(map(len, line.split()))
             rule = failed_rule(line, seen)
             if rule is None:
                 left.append(line)
-            total += size
-            lost += size if rule else 0
+            if rule == "notice":
+                notices += 1
+                noticed += size
+            else:
+                total += size
+                lost += size if rule else 0
             again += line in seen
             seen.add(line)
         else:
             left.append(line)
-    return ("\n".join(left) if lost else text), again, total, lost
+    if notices > FREE_NOTICES or not total:
+        total += noticed
+        lost += noticed
+    return ("\n".join(left) if lost or notices else text), again, total, lost
 
 
 def repeated_words(w: Words) -> np.ndarray:

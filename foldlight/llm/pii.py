@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -125,6 +126,19 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def joined_spans(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted(spans):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def candidates(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, checker's vote) of all candidate spans."""
     p = patterns()
@@ -261,11 +275,15 @@ class SpanModel:
                 memo[row] = self.probability(row)
             kind, start, end, check = span
             (base if check == 1 else other).append((start, kind, end, check == 1, memo[row]))
-        taken = [(s, e) for s, _, e, _, _ in base]
+        starts, ends = joined_spans([(s, e) for s, _, e, _, _ in base])
         for found in sorted(other, key=lambda f: (-f[4], f[0])):
-            if found[4] >= 0.5 and all(found[2] <= s or e <= found[0] for s, e in taken):
+            start, end = found[0], found[2]
+            at = bisect_right(starts, start)
+            free = (at == 0 or ends[at - 1] <= start) and (at == len(starts) or starts[at] >= end)
+            if found[4] >= 0.5 and free:
                 base.append(found)
-                taken.append((found[0], found[2]))
+                starts.insert(at, start)
+                ends.insert(at, end)
         return sorted(base, key=lambda f: (f[0], KINDS.index(f[1]), f[2]))
 
     def spans(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -71,7 +71,10 @@ def test_rules():
     assert again == 1 and 0 < lost < total
     assert clean(good) == (good, 0, 40, 0)
     notice = "All rights reserved."
-    assert clean(f"{good}\n{notice}") == (good, 0, 58, 18)
+    assert clean(f"{good}\n{notice}") == (good, 0, 40, 0)
+    many = "\n".join([good, *(f"Page {i}. {notice}" for i in range(60))])
+    text, _, total, lost = clean(many)
+    assert text == good and total - lost == 40 and lost > 1000
     assert clean(notice) == ("", 0, 18, 18)
 
 

@@ -114,3 +114,20 @@ def test_odd_rows(odd):
 def test_empty(empty):
     model = fit_spans(empty)
     assert model.spans(empty).count() == 0 and model.redact(empty).count() == 0
+
+
+def test_spans_of_a_long_text_in_linear_time(documents):
+    """A megabyte of addresses and numbers; accepted spans overlap no other."""
+    import time
+
+    model = fit_spans(documents)
+    text = "mail ann at example dot org or +1 415 555 0100 or 10.0.0.1, 415-555-0133 and bob@example.org; " * 11_000
+    begun = time.perf_counter()
+    found = model.find(text)
+    assert time.perf_counter() - begun < 20
+    base = [(s, e) for s, _, e, b, _ in found if b]
+    assert len(base) >= 33_000
+    ends = 0
+    for start, _, end, checked, _ in found:
+        assert checked or start >= ends
+        ends = max(ends, end)
