@@ -151,11 +151,11 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), path if end is None else path[: end.start()]
 
 
-def rule_keys(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Candidate rules of a page: domains from long to short, with path beginnings of ``lengths``."""
+def rule_keys(host: str, path: str, lengths: list[int], most: int) -> list[str]:
+    """Candidate rules of a page: domains of at most ``most`` labels, from long to short, with path beginnings of ``lengths``."""
     if not host:
         return []
-    labels = host.split(".")
+    labels = host.rsplit(".", most)[-most:] if host.count(".") >= most else host.split(".")
     domains = [".".join(labels[i:]) for i in range(len(labels))]
     starts = [path[:n] for n in lengths if len(path) >= n]
     return [d + p for d in domains if d for p in starts]
@@ -167,11 +167,12 @@ class UrlFilter:
 
     rules: dict[str, str]
     lengths: list[int]
+    most: int
     fitting: Cascade
     hosts: Cascade
 
     def verdict(self, host: str, path: str) -> tuple[str | None, str]:
-        fits = [k for k in rule_keys(host, path, self.lengths) if k in self.fitting]
+        fits = [k for k in rule_keys(host, path, self.lengths, self.most) if k in self.fitting]
         if fits:
             rule = min(fits, key=lambda r: (-len(r), r))
             return rule, self.rules[rule]
@@ -204,13 +205,14 @@ def fit_url_filter(
     if any("/" not in r for r in rules):
         raise ValueError("a rule is a host and a path that begins with /")
     lengths = sorted({len(r) - r.index("/") for r in rules})
+    most = max((r[: r.index("/")].count(".") + 1 for r in rules), default=1)  # labels of the longest rule host
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple[str, bool]] = set()
             for u in batch.column("url").to_pylist():
                 host, path = host_and_path(u)
-                found.update((k, False) for k in rule_keys(host, path, lengths))
+                found.update((k, False) for k in rule_keys(host, path, lengths, most))
                 if host:
                     found.add((host, True))
             rows = sorted(found)
@@ -225,7 +227,7 @@ def fit_url_filter(
     listed = listed_hosts.select(F.col("host").alias("key"), F.lit(True).alias("listed")).distinct()
     hosts = universe.filter("is_host").select("key").join(listed, "key", "left")
     hosts = hosts.select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
-    return UrlFilter(rules, lengths, build_cascade(known), build_cascade(hosts))
+    return UrlFilter(rules, lengths, most, build_cascade(known), build_cascade(hosts))
 
 
 def hosts_with_words(pages: DataFrame, words: list[str], url: str = "url") -> DataFrame:

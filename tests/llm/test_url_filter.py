@@ -91,3 +91,12 @@ def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     hosts = hosts_with_words(pages, HOST_WORDS)
     assert fit_url_filter(pages, ALLOW_RULES, BLOCK_RULES, hosts).judge(pages).count() == 0
+
+
+def test_host_of_very_many_labels(spark):
+    """Only endings as long as a rule's host are looked at, so a long host takes no longer than it is."""
+    hosts = ["a." * 50_000 + "example.org", "b." * 50_000 + "casino.com", ".".join(["x"] * 5000), "..org", "."]
+    pages = spark.createDataFrame([(i, f"http://{h}/en/1") for i, h in enumerate(hosts)], "page_id long, url string")
+    model = fit_url_filter(pages, ["org/"], ["example.org/en/1", "b.casino.com/"], hosts_with_words(pages, ["casino"]))
+    got = {r.page_id: (r.rule, r.verdict) for r in model.judge(pages).collect()}
+    assert got == {0: ("example.org/en/1", "block"), 1: ("b.casino.com/", "block"), 2: (None, "allow"), 3: ("org/", "allow"), 4: (None, "allow")}
