@@ -62,7 +62,7 @@ def _lengths(texts: list[str], path: str, batch_bytes: int, split_chars: int) ->
         for part in safe_parts(text, split):
             batch.append(part)
             owners.append(i)
-            size += len(part)
+            size += len(part) if part.isascii() else len(part.encode())
             if size >= batch_bytes:
                 np.add.at(counts, owners, [len(x) for x in encode(batch)])
                 batch, owners, size = [], [], 0
