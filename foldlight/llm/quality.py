@@ -199,14 +199,16 @@ def fit_quality(
 ) -> QualityModel:
     """Fit on labelled rows that are not held out; ``labels`` has the key and ``label`` 0 or 1."""
     usable = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key))
-    usable = usable.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    usable = usable.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).distinct()
     drawn = [
         usable.filter(F.col("label") == v).orderBy(F.xxhash64("key"), "key").limit(sample_rows)
         for v in (0, 1)
     ]
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # at most 2 * sample_rows keys are broadcast
-    sample = materialize(rows.join(F.broadcast(drawn[0].union(drawn[1])), "key"), "labelled")
+    copies = rows.join(F.broadcast(drawn[0].union(drawn[1])), "key")
+    # a key may stand in many rows: one text of each, so that the sample stays as small as it is said to be
+    sample = materialize(copies.groupBy("key", "label").agg(F.min("text").alias("text")), "labelled")
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(counts) < 2:
         share = next(iter(counts), 0.5)

@@ -83,3 +83,15 @@ def test_sample_is_bounded(spark, documents):
     model = fit_quality(documents, labels, sample_rows=5, sample_pieces=9, dictionary_bytes=700)
     assert all(len(d) <= 9000 for d in model.dictionaries)
     assert model.score(documents).agg(F.count("score")).first()[0] == documents.count()
+
+
+def test_repeated_keys_do_not_enlarge_the_sample(spark, folder):
+    """A labelled key in many rows and a label given many times: the model is that of one row each."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    first = labels.orderBy("doc_id").limit(3)
+    again = docs.join(first.select("doc_id"), "doc_id").select(*docs.columns)
+    more = docs.unionByName(again).unionByName(again).unionByName(again)
+    a = fit_quality(docs, labels)
+    b = fit_quality(more, labels.unionByName(first).unionByName(first))
+    assert a.weights.tolist() == pytest.approx(b.weights.tolist()) and a.dictionaries == b.dictionaries
