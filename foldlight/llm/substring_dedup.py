@@ -260,11 +260,16 @@ def _cleaned(shape: Anchors, schema: pa.Schema, carry: list[str]):
 def slot_count(total_bytes: int, least: int, grain: int = 1 << 16, most: int = 128 << 20) -> int:
     """Slots for a table: their size grows with the root of the table up to ``most`` bytes.
 
-    Slots times buckets is the number of shuffled rows, hence the root.
+    Slots times buckets is the number of shuffled rows, hence the root, and buckets of their own size.
     """
     return max(least, math.isqrt(total_bytes // grain + 1), -(-total_bytes // most), 1)
 
 
+def bucket_count(total_bytes: int, least: int, most: int = 1 << 30) -> int:
+    """Buckets of hashes for a table: each answers for about ``most`` bytes of text, some half of it in hashes."""
+    return max(least, -(-total_bytes // most), 1)
+
+
 def remove_repeats(
     docs: DataFrame,
     key: str = "doc_id",
@@ -282,15 +287,18 @@ def remove_repeats(
         F.col(text).cast("string").alias("text"),
         *(F.col(c).alias(n) for c, n in zip(carry, named, strict=True)),
     )
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = slots
     if slots is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        slots = slot_count(size, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        slots, buckets = slot_count(size, least), bucket_count(size, least)
     shape = Anchors(window, period)
-    dealt = rows.withColumn("slot", F.pmod(F.xxhash64("key", "text"), F.lit(slots)).cast("int"))
+    # copies of one row are dealt apart by the task that reads them
+    dealt = rows.withColumn("slot", F.pmod(F.xxhash64("key", "text", F.spark_partition_id()), F.lit(slots)).cast("int"))
     by_slot = dealt.groupBy("slot")
-    anchors = by_slot.applyInArrow(_anchor_entries(shape, slots), ENTRIES)
+    anchors = by_slot.applyInArrow(_anchor_entries(shape, buckets), ENTRIES)
     repeated = anchors.groupBy("bucket").applyInArrow(answers, ANSWERS)
-    found = by_slot.cogroup(repeated.groupBy("slot")).applyInArrow(_window_entries(shape, slots), ENTRIES)
+    found = by_slot.cogroup(repeated.groupBy("slot")).applyInArrow(_window_entries(shape, buckets), ENTRIES)
     confirmed = found.groupBy("bucket").applyInArrow(answers, ANSWERS)
     out = T.StructType([dealt.schema[c] for c in ("key", *named)])
     out = out.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")

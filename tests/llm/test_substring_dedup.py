@@ -5,7 +5,7 @@ import random
 import pytest
 from tests_llm_helpers import brute_repeats
 
-from foldlight.llm.substring_dedup import difference_cover, remove_repeats, slot_count
+from foldlight.llm.substring_dedup import bucket_count, difference_cover, remove_repeats, slot_count
 
 def expected(rows, window=35):
     numbered = brute_repeats(list(enumerate(t for _, t in rows)), window)
@@ -72,3 +72,4 @@ def test_difference_cover(period):
 def test_slots_follow_the_size():
     assert slot_count(0, 1) == 1
     assert slot_count(175 << 40, 200) * (128 << 20) >= 175 << 40
+    assert bucket_count(175 << 40, 200) == 175 << 10 and bucket_count(0, 8) == 8
