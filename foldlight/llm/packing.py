@@ -155,7 +155,7 @@ PLACED = "sequence_id long, offset long, open boolean, bins long, bound long"
 
 def _packed(items: DataFrame, round_number: int, capacity: int, part_rows: int) -> DataFrame:
     parts = max(1, -(-items.count() // part_rows))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("key", "piece", F.lit(round_number)), F.lit(parts)))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("place", F.lit(round_number)), F.lit(parts)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
     packed = dealt.groupBy("part").applyInArrow(_packer(capacity, round_number), f"{schema}, {PLACED}")
     return materialize(packed, "packed")
@@ -171,14 +171,16 @@ def pack(
     key: str = "doc_id",
     carry: tuple[str, ...] = (),
     part_rows: int = 32_768,
-    rounds: int = 4,
+    rounds: int | None = None,
 ) -> DataFrame:
     """(key, piece, length, carried columns, sequence_id, offset) for rows (key, piece, length, ...).
 
-    ``rounds`` bounds how often gaps are exchanged.
+    Pieces are dealt by a number written with them, so the pieces of one key spread like any others. Gaps are
+    exchanged while a round saves more than one sequence in 100,000, or at most ``rounds`` times.
     """
-    names = ["key", "piece", "length", *carry]
+    names = ["key", "piece", "length", "place", *carry]
     items = pieces.select(F.col(key).alias("key"), "piece", F.col("length").cast("long"), *carry)
+    items = items.withColumn("place", F.monotonically_increasing_id())
     items = materialize(items, "pieces")
     packed = _packed(items, 0, capacity, part_rows)
     histogram = items.groupBy("length").count().collect()  # at most ``capacity`` rows
@@ -188,7 +190,7 @@ def pack(
     bound, used = lower_bound(counts, capacity), _bins(packed)
     gap, room = F.col("bins") > F.col("bound"), F.col("open")
     chosen, again = gap, 0
-    while used > bound and again < rounds:
+    while used > bound and (rounds is None or again < rounds):
         again += 1
         if chosen is gap and packed.filter(gap).isEmpty():
             chosen = room
@@ -197,8 +199,10 @@ def pack(
         saved = _bins(moved) - _bins(renewed)
         if saved > 0:
             packed, used = packed.filter(~chosen).unionByName(renewed), used - saved
-        elif chosen is gap:
+        if saved > used // 100_000:
+            continue
+        if chosen is gap:
             chosen = room
         else:
             break
-    return packed.select(*names, "sequence_id", "offset").withColumnRenamed("key", key)
+    return packed.select("key", "piece", "length", *carry, "sequence_id", "offset").withColumnRenamed("key", key)
