@@ -155,7 +155,7 @@ PLACED = "sequence_id long, offset long, open boolean, bins long, bound long"
 
 def _packed(items: DataFrame, round_number: int, capacity: int, part_rows: int) -> DataFrame:
     parts = max(1, -(-items.count() // part_rows))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("place", F.lit(round_number)), F.lit(parts)))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("_place", F.lit(round_number)), F.lit(parts)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
     packed = dealt.groupBy("part").applyInArrow(_packer(capacity, round_number), f"{schema}, {PLACED}")
     return materialize(packed, "packed")
@@ -178,9 +178,9 @@ def pack(
     Pieces are dealt by a number written with them, so the pieces of one key spread like any others. Gaps are
     exchanged while a round saves more than one sequence in 100,000, or at most ``rounds`` times.
     """
-    names = ["key", "piece", "length", "place", *carry]
+    names = ["key", "piece", "length", "_place", *carry]
     items = pieces.select(F.col(key).alias("key"), "piece", F.col("length").cast("long"), *carry)
-    items = items.withColumn("place", F.monotonically_increasing_id())
+    items = items.withColumn("_place", F.monotonically_increasing_id())
     items = materialize(items, "pieces")
     packed = _packed(items, 0, capacity, part_rows)
     histogram = items.groupBy("length").count().collect()  # at most ``capacity`` rows
