@@ -23,13 +23,14 @@ gives an empty result. Columns not named are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
 import struct
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -54,24 +55,30 @@ KEPT_SEGMENT = 1 << 8  # longer segments are aligned again when met again
 COUNT_AT_ONCE = 1 << 21  # links whose pairs are counted at once
 SLICE_PAIRS = 1 << 21
 
-Span = tuple[int, int, bytes]  # first byte, byte after the last, decoded bytes
+Span = tuple[int, int]  # first byte, byte after the last
 Entry = tuple[int, int, int, str, bytes]  # tokens of A, of B, groups, their text, linked id pairs
 
 
-def token_ends(spans: list[Span], data: bytes) -> list[int] | None:
-    """The byte after each token; None where the decoded bytes are not ``data``."""
+def token_ends(spans: Iterable[Span], pieces: list[bytes], data: bytes) -> list[int] | None:
+    """The byte after each token, given its span and its decoded bytes; None where these are not ``data``."""
+    if b"".join(pieces) != data:
+        return None
     ends, at = [], 0
-    for start, end, piece in spans:
-        if start == at and end - start == len(piece):
+    for (start, end), piece in zip(spans, pieces, strict=True):
+        size = len(piece)
+        if start == at and end - start == size:
             at = end  # the span is the token's own
         else:  # it shares characters with its neighbours
-            at += len(piece)
+            at += size
         ends.append(at)
-    return ends if b"".join([s[2] for s in spans]) == data else None
+    return ends
 
 
 def entry(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> Entry:
     """Groups between the common ends, and the links at them; every token has a byte, so ends increase."""
+    if len(b_ids) == 1:
+        group = ",".join(map(str, a_ids)) + "|" + str(b_ids[0])
+        return len(a_ids), 1, 1, group, struct.pack("<2I", a_ids[-1], b_ids[0])
     groups, links, i, j = [], [], 0, 0
     place = {e: m for m, e in enumerate(b_ends, 1)}
     for k, e in enumerate(a_ends, 1):
@@ -144,22 +151,16 @@ class Aligner:
                 out.append(" " + word)
         return out
 
-    def _a_spans(self, encoding, data: bytes, text: str) -> tuple[list[int], list[Span]]:
-        ids, offsets, decoded = encoding.ids, encoding.offsets, self.a_bytes
-        if len(data) == len(text):
-            return ids, [(s, e, decoded[i]) for i, (s, e) in zip(ids, offsets, strict=True)]
-        byte = [0, *accumulate(len(c.encode()) for c in text)]
-        return ids, [(byte[s], byte[e], decoded[i]) for i, (s, e) in zip(ids, offsets, strict=True)]
-
     def _b_spans(self, proto, tail: bool) -> tuple[list[int], list[Span]]:
-        decoded, shift = self.b_bytes, -1 if tail else 1
-        found = [(p.id, p.begin, p.end) for p in proto.pieces]
-        if tail:
-            found = found[self.anchor :]
-        spans = [(begin + shift, end + shift, decoded[i]) for i, begin, end in found]
+        shift = -1 if tail else 1
+        found = proto.pieces[self.anchor :] if tail else proto.pieces
+        ids, spans = [], []
+        for p in found:
+            ids.append(p.id)
+            spans.append((p.begin + shift, p.end + shift))
         if spans and not tail:  # the first piece begins with the space that is no part of the text read
-            spans[0] = (0, *spans[0][1:])
-        return [i for i, _, _ in found], spans
+            spans[0] = (0, spans[0][1])
+        return ids, spans
 
     def align(self, segments: list[str]) -> list[Entry | None]:
         """Groups and links of each segment, a space and text or a tail; None: no tokens."""
@@ -167,11 +168,16 @@ class Aligner:
         read = [s[1:] if s[0] == " " else "a" + s for s in segments]
         protos = self.b.encode(read, return_type="proto", num_threads=1)
         out: list[Entry | None] = []
+        a_bytes, b_bytes = self.a_bytes, self.b_bytes
         for segment, encoding, proto in zip(segments, encodings, protos, strict=True):
             data = segment.encode()
-            a_ids, a_spans = self._a_spans(encoding, data, segment)
+            a_ids, a_spans = encoding.ids, encoding.offsets
+            if len(data) != len(segment):
+                byte = [0, *accumulate(len(c.encode()) for c in segment)]
+                a_spans = [(byte[s], byte[e]) for s, e in a_spans]
             b_ids, b_spans = self._b_spans(proto, segment[0] != " ")
-            a_ends, b_ends = token_ends(a_spans, data), token_ends(b_spans, data)
+            a_ends = token_ends(a_spans, [a_bytes[i] for i in a_ids], data)
+            b_ends = token_ends(b_spans, [b_bytes[i] for i in b_ids], data)
             fits = a_ends is not None and b_ends is not None
             out.append(entry(a_ids, a_ends, b_ids, b_ends) if fits else None)
         return out
@@ -233,6 +239,13 @@ def align_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(a_path, b_path)
+        gc.disable()  # millions of small objects, none in a cycle
+        try:
+            yield from aligned(both, batches)
+        finally:
+            gc.enable()
+
+    def aligned(both: Aligner, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (c.slice(i, ROWS_AT_ONCE) for c in chunks(batch) for i in range(0, c.num_rows, ROWS_AT_ONCE)):
                 rows = both.texts(part.column("text").to_pylist())

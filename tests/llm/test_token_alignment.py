@@ -140,10 +140,11 @@ def test_long_texts(spark, tools):
 
 def test_token_ends():
     data = " é".encode()
-    assert token_ends([(0, 1, b" "), (1, 3, b"\xc3"), (1, 3, b"\xa9")], data) == [1, 2, 3]
-    assert token_ends([(0, 1, b" "), (1, 1, b"\xc3"), (1, 3, b"\xa9")], data) == [1, 2, 3]
-    assert token_ends([(0, 3, b" e")], data) is None
-    assert token_ends([], b"") == []
+    cut = [b" ", b"\xc3", b"\xa9"]
+    assert token_ends([(0, 1), (1, 3), (1, 3)], cut, data) == [1, 2, 3]
+    assert token_ends([(0, 1), (1, 1), (1, 3)], cut, data) == [1, 2, 3]
+    assert token_ends([(0, 3)], [b" e"], data) is None
+    assert token_ends([], [], b"") == []
 
 
 def test_groups_as_text(spark):
