@@ -23,7 +23,6 @@ gives an empty result. Columns not named are not read.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import os
@@ -35,6 +34,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -239,22 +239,16 @@ def align_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(a_path, b_path)
-        gc.disable()  # millions of small objects, none in a cycle
-        try:
-            yield from aligned(both, batches)
-        finally:
-            gc.enable()
-
-    def aligned(both: Aligner, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (c.slice(i, ROWS_AT_ONCE) for c in chunks(batch) for i in range(0, c.num_rows, ROWS_AT_ONCE)):
                 rows = both.texts(part.column("text").to_pylist())
-                groups = [";".join([e[3] for e in r]) for r in rows]
-                links = [b"".join([e[4] for e in r]) for r in rows]
+                fields = [tuple(zip(*r, strict=True)) or ((),) * 5 for r in rows]  # n_a, n_b, n_groups, groups, links
+                groups = [";".join(f[3]) for f in fields]
+                links = [b"".join(f[4]) for f in fields]
                 hashes = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
                 columns = [
                     part.column("key"),
-                    *(pa.array([sum([e[k] for e in r]) for r in rows], pa.int64()) for k in range(3)),
+                    *(pa.array([sum(f[k]) for f in fields], pa.int64()) for k in range(3)),
                     pa.array([len(x) // 8 for x in links], pa.int64()),
                     pa.array(hashes, pa.string()),
                     pa.array(links, pa.binary()),
@@ -269,25 +263,38 @@ def align_tokens(
     return rows.mapInArrow(tidy(run), f"key {kind}, {ALIGNED}, links binary{more}").withColumnRenamed("key", key)
 
 
+def linked(links: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The links of some rows, a in the low half and b in the high, and where each row's begin and the last ends."""
+    kind = np.int64 if pa.types.is_large_binary(links.type) else np.int32
+    if not len(links):
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    offsets = np.frombuffer(links.buffers()[1], kind)[links.offset : links.offset + len(links) + 1].astype(np.int64)
+    data = links.buffers()[2]
+    if data is None or offsets[0] == offsets[-1]:
+        return np.empty(0, np.uint64), np.zeros(len(links) + 1, np.int64)
+    codes = np.frombuffer(data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])), "<u8")
+    return codes, (offsets - offsets[0]) // 8
+
+
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(a, b, n, best): how many links hold each id pair, and whether no other pair of its b has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(parts), return_counts=True)
+            found = pa.array(np.concatenate(parts)).value_counts()
+            code, n = (x.to_numpy() for x in found.flatten())
             a, b = (code & np.uint64(0xFFFFFFFF)).astype(np.int64), (code >> np.uint64(32)).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
 
         parts, size = [], 0
         for batch in batches:
-            for links in batch.column("links"):
-                codes = np.frombuffer(links.as_buffer(), "<u8")  # a in the low half, b in the high
-                for i in range(0, len(codes), COUNT_AT_ONCE):
-                    parts.append(codes[i : i + COUNT_AT_ONCE].copy())
-                    size += len(parts[-1])
-                    if size >= COUNT_AT_ONCE:
-                        yield counted(parts)
-                        parts, size = [], 0
+            codes, _ = linked(batch.column("links"))
+            for i in range(0, len(codes), COUNT_AT_ONCE):
+                parts.append(codes[i : i + COUNT_AT_ONCE].copy())
+                size += len(parts[-1])
+                if size >= COUNT_AT_ONCE:
+                    yield counted(parts)
+                    parts, size = [], 0
         if parts:
             yield counted(parts)
 
@@ -307,24 +314,23 @@ def link_totals(aligned: DataFrame, pairs: DataFrame, slice_pairs: int = SLICE_P
         # hashed evenly, so a slice holds about slice_pairs rows however many there are
         part = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == i).toArrow()
         code = part["b"].to_numpy().astype(np.uint64) << np.uint64(32) | part["a"].to_numpy().astype(np.uint64)
-        order = np.argsort(code)
         best = part["best"].to_numpy().astype(np.int64)
-        sent = spark.sparkContext.broadcast((code[order], part["n"].to_numpy()[order], best[order]))
+        sent = spark.sparkContext.broadcast((pa.array(code), part["n"].to_numpy(), best))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             code, n, best = sent.value
-            for batch in batches:
-                n_best, total = [], []
-                for links in batch.column("links"):
-                    codes = np.frombuffer(links.as_buffer(), "<u8")
-                    at = np.searchsorted(code, codes)
-                    hit = at < len(code)
-                    hit[hit] = code[at[hit]] == codes[hit]
-                    n_best.append(int(best[at[hit]].sum()))
-                    total.append(int(n[at[hit]].sum()))
-                columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-                columns["n_best"] = pa.array(columns["n_best"].to_numpy() + np.array(n_best, np.int64))
-                columns["count_sum"] = pa.array(columns["count_sum"].to_numpy() + np.array(total, np.int64))
+            for part in (c for batch in batches for c in chunks(batch, "links")):
+                codes, edges = linked(part.column("links"))
+                at = pc.index_in(pa.array(codes), value_set=code).to_numpy(zero_copy_only=False)
+                hit = np.flatnonzero(~np.isnan(at)) if at.dtype.kind == "f" else np.arange(len(at))
+                at = at[hit].astype(np.int64)
+                # totals up to each link that is in this slice, then differences per row
+                among = np.searchsorted(hit, edges)
+                n_best = np.diff(np.concatenate([[0], np.cumsum(best[at])])[among])
+                total = np.diff(np.concatenate([[0], np.cumsum(n[at])])[among])
+                columns = dict(zip(part.schema.names, part.columns, strict=True))
+                columns["n_best"] = pa.array(columns["n_best"].to_numpy() + n_best)
+                columns["count_sum"] = pa.array(columns["count_sum"].to_numpy() + total)
                 yield pa.RecordBatch.from_pydict(columns)
 
         rows = rows.mapInArrow(tidy(run), rows.schema)
