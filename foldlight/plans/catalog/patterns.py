@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as P
 
-from foldlight.operators import patterns
+from foldlight.operators import patterns, sequences
 from foldlight.plans.catalog.registry import query, rounded
 from foldlight.sources.readers import table
 
@@ -123,3 +123,11 @@ SQL_SEQUENCES = f"""WITH e AS (SELECT DISTINCT user_id AS u, CAST(ts AS DATE) AS
 @query("g4_frequent_sequences_of_five", SQL_SEQUENCES)
 def g4_frequent_sequences_of_five(spark, folder):
     return sequence_patterns(spark, folder, SEQUENCE_LENGTH)
+
+
+@query("g4_sequences_by_id_lists", SQL_SEQUENCES)
+def g4_sequences_by_id_lists(spark, folder):
+    events = table(spark, folder, "events").select("user_id", P.to_date("ts").alias("day"), "event_type")
+    found = sequences.frequent_sequences_by_lists(events, ["user_id"], "day", "event_type", 0.5, SEQUENCE_LENGTH)
+    steps = P.transform("sequence", lambda s: P.array_join(s, "+"))
+    return found.select(P.array_join(steps, " > ").alias("pattern"), "freq")
