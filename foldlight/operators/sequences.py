@@ -30,27 +30,34 @@ def itemset_spans(lists: DataFrame, need: int) -> DataFrame:
     return spans.join(often, "items").select("owner", "items", "first", "last", "freq")
 
 
-def itemset_lists(facts: DataFrame, need: int, longest: int) -> list[tuple[DataFrame, DataFrame]]:
-    """Id-lists and spans of the frequent itemsets, one pair of tables for each size.
+def itemset_lists(facts: DataFrame, need: int, longest: int) -> tuple[DataFrame, DataFrame]:
+    """Id-lists (owner, items, step) and spans of the frequent itemsets of all sizes.
 
     ``facts`` are distinct rows (owner, step, item). A list of one more item is an equality
     join by owner and step, so the steps of one long sequence are spread like any others.
     """
-    found: list[tuple[DataFrame, DataFrame]] = []
     lists = facts.select("owner", "step", P.array("item").alias("items"))
-    while len(found) < longest:
+    singles = None
+    all_lists, all_spans = [], []
+    for size in range(1, longest + 1):
         spans = materialize(itemset_spans(lists, need), "spans")
+        all_spans.append(spans)
         if spans.isEmpty():
             break
         lists = materialize(lists.join(spans.select("items").distinct(), "items", "leftsemi"), "lists")
-        found.append((lists, spans))
-        singles = found[0][0].select("owner", "step", P.col("items")[0].alias("_item"))
+        all_lists.append(lists)
+        if size == 1:
+            singles = lists.select("owner", "step", P.col("items")[0].alias("_item"))
         lists = (
             lists.join(singles, ["owner", "step"])
             .filter(P.col("_item") > P.element_at("items", -1))
             .select("owner", "step", P.array_append("items", P.col("_item")).alias("items"))
         )
-    return found
+    return together(all_lists or [lists.limit(0)]), together(all_spans)
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def next_steps(probes: DataFrame, lists: DataFrame) -> DataFrame:
@@ -86,13 +93,15 @@ def next_steps(probes: DataFrame, lists: DataFrame) -> DataFrame:
     )
 
 
-def followers(firsts: DataFrame, spans: DataFrame) -> DataFrame:
-    """(owner, before, items, after): itemsets that an owner holds later than the end of a prefix.
+def followers(firsts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """(owner, before, items, after): patterns of ``length`` items that an owner holds.
 
-    A sequence brings its frequent prefixes and itemsets here, not its steps.
+    Each is a prefix and an itemset that occurs later than the prefix ends. A sequence
+    brings its frequent prefixes and itemsets here, not its steps.
     """
+    rest = spans.select("owner", "items", "last", (P.lit(length) - P.size("items")).alias("length"))
     return (
-        firsts.join(spans.select("owner", "items", "last"), "owner")
+        firsts.join(rest, ["owner", "length"])
         .filter(P.col("last") > P.col("first"))
         .select("owner", P.col("id").alias("before"), "items", P.col("first").alias("after"))
     )
@@ -122,53 +131,48 @@ def frequent_sequences_by_lists(
     facts = materialize(held.distinct(), "facts")
     total = facts.select("owner").distinct().count()
     need = max(1, math.ceil(min_support * total))
-    sets = itemset_lists(facts.dropna(subset=["step", "item"]), need, max_length)
-    found: list[DataFrame] = []  # by length: id, before, items, sequence, freq
-    firsts: list[DataFrame] = []  # by length: owner, id, first
-    none = facts.limit(0).select(
-        P.array(P.array("item")).alias("sequence"), P.lit(0).cast("long").alias("freq")
-    )
+    lists, spans = itemset_lists(facts.dropna(subset=["step", "item"]), need, max_length)
+    found: list[DataFrame] = []  # one table a length: id, before, items, sequence, freq
+    firsts: list[DataFrame] = []  # one table a length: owner, id, length, first
 
     for length in range(1, max_length + 1):
-        sizes = range(1, min(length - 1, len(sets)) + 1)
-        grown = {s: followers(firsts[length - s - 1], sets[s - 1][1]) for s in sizes}
-        patterns = []
-        if length <= len(sets):
-            alone = sets[length - 1][1].select("items", "freq").distinct()
-            patterns.append(
-                alone.select(
-                    P.lit(ALONE).cast("long").alias("before"), "items", P.array("items").alias("sequence"), "freq"
-                )
-            )
-        for s, longer in grown.items():
+        own = spans.filter(P.size("items") == length)
+        patterns = own.select(
+            P.lit(ALONE).cast("long").alias("before"), "items", P.array("items").alias("sequence"), "freq"
+        ).distinct()
+        if length > 1:
+            longer = followers(together(firsts), spans, length)
             often = longer.groupBy("before", "items").agg(P.count(P.lit(1)).alias("freq"))
-            prefixes = found[length - s - 1].select(P.col("id").alias("before"), "sequence")
-            patterns.append(
+            prefixes = together(
+                [
+                    level.select(P.col("id").alias("before"), "sequence", P.lit(n).alias("length"))
+                    for n, level in enumerate(found, 1)
+                ]
+            )
+            grown = (
                 often.filter(P.col("freq") >= need)
-                .join(prefixes, "before")
-                .select("before", "items", P.array_append("sequence", P.col("items")).alias("sequence"), "freq")
+                .withColumn("length", P.lit(length) - P.size("items"))
+                .join(prefixes, ["before", "length"])
+            )
+            patterns = patterns.unionByName(
+                grown.select(
+                    "before", "items", P.array_append("sequence", P.col("items")).alias("sequence"), "freq"
+                )
             )
-        if not patterns:
-            break
         # the ids are those of the written rows
-        level = materialize(
-            reduce(DataFrame.unionByName, patterns).withColumn("id", P.monotonically_increasing_id()), "patterns"
-        )
-        if level.isEmpty():
-            break
+        level = materialize(patterns.withColumn("id", P.monotonically_increasing_id()), "patterns")
         found.append(level)
-        if length == max_length:
+        if length == max_length or level.isEmpty():
             break
         names = level.select("before", "items", "id")
-        ends = []
-        if length <= len(sets):
-            single = names.filter(P.col("before") == ALONE).select("items", "id")
-            ends.append(sets[length - 1][1].join(single, "items").select("owner", "id", "first"))
-        for s, longer in grown.items():
+        single = names.filter(P.col("before") == ALONE).select("items", "id")
+        ends = own.join(single, "items").select("owner", "id", "first")
+        if length > 1:
             kept = longer.join(names, ["before", "items"]).select("owner", "id", "items", "after")
-            steps = next_steps(kept, sets[s - 1][0])
-            ends.append(
-                kept.join(steps, ["owner", "items", "after"]).select("owner", "id", P.col("next").alias("first"))
+            kept = materialize(kept, "kept")
+            steps = next_steps(kept, lists).withColumnRenamed("next", "first")
+            ends = ends.unionByName(
+                kept.join(steps, ["owner", "items", "after"]).select("owner", "id", "first")
             )
-        firsts.append(materialize(reduce(DataFrame.unionByName, ends), "firsts"))
-    return reduce(DataFrame.unionByName, [f.select("sequence", "freq") for f in found], none)
+        firsts.append(materialize(ends.withColumn("length", P.lit(length)), "firsts"))
+    return together(found).select("sequence", "freq")

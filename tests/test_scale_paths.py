@@ -1,10 +1,14 @@
-"""Forms whose work must not meet in one place: triangles, pooled blocks, bounded products."""
+"""Forms whose work must not meet in one place: triangles, pooled blocks, bounded products, id-lists."""
+
+import itertools
+from datetime import date
+from random import Random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldlight.operators import cluster, features, recommend, regress
+from foldlight.operators import cluster, features, recommend, regress, sequences
 
 
 def table_of(spark, rows, parts=7):
@@ -195,3 +199,78 @@ def test_topic_tables_follow_plain_steps(spark):
 def test_topic_tables_of_nothing(spark):
     found = cluster.fit_topic_tables(spark.createDataFrame([(1, 1, 0)], "doc int, word int, n int"), 2, 3)
     assert found.words.count() == 0 and found.docs.count() == 0 and found.objective == []
+
+
+def holds(own, pattern):
+    at = iter(own)
+    return all(any(set(p) <= set(step) for step in at) for p in pattern)
+
+
+@pytest.mark.parametrize("support, longest", [(0.5, 4), (0.3, 3), (1.0, 5)])
+def test_sequences_by_lists(spark, support, longest):
+    days = [["ab", "c", "a", "bc"], ["ab", "bc", "ac"], ["a", "c", "abc"], ["c", "b", "ab", "a"], ["abc", "abc"], ["b"]]
+    rows = [(u, d, t) for u, own in enumerate(days) for d, step in enumerate(own) for t in step]
+    df = spark.createDataFrame(rows + rows[:7], "user long, day int, kind string")
+    steps = ["a", "b", "c", "ab", "ac", "bc", "abc"]
+    want = {}
+    for n in range(1, longest + 1):
+        for pattern in itertools.product(steps, repeat=n):
+            freq = sum(holds(own, pattern) for own in days)
+            if sum(map(len, pattern)) <= longest and freq >= support * len(days):
+                want[" > ".join("+".join(p) for p in pattern)] = freq
+    got = sequences.frequent_sequences_by_lists(df, ["user"], "day", "kind", support, longest).collect()
+    assert {" > ".join("+".join(s) for s in r["sequence"]): r["freq"] for r in got} == want
+    assert len(got) == len(want)
+
+
+def test_sequences_by_lists_of_odd_tables(spark):
+    shape = "a string, b string, owner int, step date, item int"
+    day = [date(2024, 1, d) for d in (1, 2, 3)]
+    rows = [
+        (None, "x", 1, day[0], 7), (None, "x", 1, day[1], 8), (None, "x", 2, day[1], 7),  # one sequence with a null in its key
+        ("p", "x", 3, day[0], 7), ("p", "x", 3, day[2], 8),
+        ("q", "x", 4, None, 7), ("q", "x", 4, day[1], None),  # holds nothing, counts
+        ("r", None, 5, day[0], 8), ("r", None, 5, None, 8),
+    ]
+    mine = lambda df: {
+        str(r["sequence"]): r["freq"]
+        for r in sequences.frequent_sequences_by_lists(df, ["a", "b"], "step", "item", 0.5).collect()
+    }
+    assert mine(spark.createDataFrame(rows, shape)) == {"[[7]]": 2, "[[8]]": 3, "[[7], [8]]": 2}
+    assert mine(spark.createDataFrame([], shape)) == {}
+    assert mine(spark.createDataFrame([("a", "b", 1, None, None)], shape)) == {}
+
+
+def test_next_steps_of_a_hot_owner(spark, monkeypatch):
+    """A list that spans many ranges gives the same steps, and no probe meets more than its range."""
+    rng = Random(3)
+    listed = {("hot", "a"): sorted(rng.sample(range(9_000), 4_000))}
+    listed |= {(f"u{n}", k): sorted(rng.sample(range(60), 5)) for n in range(40) for k in "ab"}
+    probes = [(o, [k], rng.randrange(-1, max(steps) + 2)) for (o, k), steps in listed.items() for _ in range(30)]
+    probes += [("hot", ["a"], listed["hot", "a"][-1]), ("nobody", ["a"], 4), ("hot", ["b"], 4)]
+    steps = spark.createDataFrame(
+        [(o, [k], s) for (o, k), own in listed.items() for s in own], "owner string, items array<string>, step int"
+    )
+    asked = spark.createDataFrame(probes, "owner string, items array<string>, after int")
+    cut = []
+    write = sequences.materialize
+
+    def keep(df, name):
+        cut.append(write(df, name))
+        return cut[-1]
+
+    monkeypatch.setattr(sequences, "materialize", keep)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        got = sequences.next_steps(asked, steps).collect()
+        per_range = cut[0].filter("owner = 'hot'").groupBy("_part").count().collect()
+    finally:
+        spark.conf.set(name, before)
+    want = {
+        (o, k[0], after): min((s for s in listed.get((o, k[0]), []) if s > after), default=None)
+        for o, k, after in probes
+    }
+    assert {(r["owner"], r["items"][0], r["after"]): r["next"] for r in got} == want and len(got) == len(want)
+    assert len(per_range) > 4 and max(r["count"] for r in per_range) < 2_000
