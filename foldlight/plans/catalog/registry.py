@@ -208,13 +208,14 @@ def quality_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def priced_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """lineitem with its part as (label = price, features) for regressors."""
+def priced_rows(spark: SparkSession, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """lineitem with its part as (label = price, features) for regressors, after the columns of ``keep``."""
     lines = table(spark, folder, "lineitem").select(
-        "l_partkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice"
+        *dict.fromkeys([*keep, "l_partkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice"])
     )
     parts = table(spark, folder, "part").select("p_partkey", "p_retailprice", "p_size")
     return lines.join(parts, P.col("l_partkey") == P.col("p_partkey")).select(
+        *keep,
         (P.col("l_extendedprice") / 1000.0).alias("label"),
         P.array(
             P.col("l_quantity"),

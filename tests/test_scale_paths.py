@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldlight.operators import cluster, features, recommend, regress, sequences
+from foldlight.operators import cluster, features, forests, recommend, regress, sequences
 
 
 def table_of(spark, rows, parts=7):
@@ -274,3 +274,47 @@ def test_next_steps_of_a_hot_owner(spark, monkeypatch):
     }
     assert {(r["owner"], r["items"][0], r["after"]): r["next"] for r in got} == want and len(got) == len(want)
     assert len(per_range) > 4 and max(r["count"] for r in per_range) < 2_000
+
+
+def test_draws_are_poisson_and_follow_the_key(spark):
+    rows = spark.range(20_000).select("id", forests.draws(5, ["id"]).alias("n"), forests.draws(6, ["id"]).alias("m"))
+    got = rows.agg(F.avg("n"), F.variance("n"), F.corr("n", "m"), F.avg((F.col("n") == 0).cast("int"))).head()
+    assert got[0] == pytest.approx(1, abs=0.03) and got[1] == pytest.approx(1, abs=0.05)
+    assert abs(got[2]) < 0.03 and got[3] == pytest.approx(np.exp(-1), abs=0.015)
+
+
+def noisy_rows(spark, n=400):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 3))
+    y = np.round(x[:, 0] * 2 + (x[:, 1] > 0) * 3 + rng.normal(size=n), 3)
+    rows = [(i if i else None, float(v), [float(c) for c in r]) for i, (r, v) in enumerate(zip(x, y, strict=True))]
+    return spark.createDataFrame(rows, "id int, label double, features array<double>")
+
+
+def test_hashed_forest_is_the_same_however_rows_lie(spark):
+    df = noisy_rows(spark)
+    found = []
+    for rows in (df.coalesce(1), df.repartition(9, "label")):
+        forest = forests.fit_hashed_forest_regressor(rows, ["id"], 3, 4)
+        found.append({r["label"]: r["prediction"] for r in forest.transform(df).collect()})
+        assert "_tree_0" not in forest.transform(df).columns
+    assert found[0].keys() == found[1].keys()
+    assert all(found[1][k] == pytest.approx(v) for k, v in found[0].items())
+    trees = [m.toDebugString for m in forest.trees]
+    assert len(set(trees)) == 3
+    for t, tree in enumerate(forest.trees):
+        leaves = {}
+        for r in tree.transform(features.as_vector(forest.drawn(df, t))).collect():
+            leaves.setdefault(r["prediction"], []).extend([r["label"]] * r["_draws"])
+        assert len(leaves) > 4
+        assert all(np.mean(own) == pytest.approx(leaf) for leaf, own in leaves.items())
+
+
+def test_hashed_forest_of_classes(spark):
+    """A class of one row, which some trees never draw, is known to all."""
+    df = noisy_rows(spark).withColumn("label", F.when(F.col("id") == 7, 3.0).otherwise((F.col("label") > 1).cast("double")))
+    forest = forests.fit_hashed_forest_classifier(df, ["id"], 4, 3)
+    scored = forest.transform(df).collect()
+    assert all(len(r["probability"]) == 4 and sum(r["probability"]) == pytest.approx(1) for r in scored)
+    assert np.mean([r["prediction"] == r["label"] for r in scored]) > 0.8
+    assert all(r["prediction"] == max(range(4), key=lambda c: (r["probability"][c], -c)) for r in scored)
