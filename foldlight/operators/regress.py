@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
     DecisionTreeRegressor,
     GBTRegressionModel,
     GBTRegressor,
-    IsotonicRegression,
-    IsotonicRegressionModel,
     LinearRegression,
     LinearRegressionModel,
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLWriter
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as P
 
 from foldlight.functions import pooling
-from foldlight.functions.vectors import as_array, as_vector
+from foldlight.functions.vectors import as_vector, is_vector
 from foldlight.operators.running import with_row_id
 from foldlight.session import enable_checkpoints, materialize
 
@@ -60,32 +61,83 @@ def fit_boosted_trees_regressor(
     return _fit(GBTRegressor(maxIter=rounds, maxDepth=depth, **params), df)
 
 
+class IsotonicTableModel(Model, HasFeaturesCol, HasPredictionCol):
+    """R5 as a model whose (boundary, prediction) rows stay a table, fitted, saved, loaded and applied by Spark."""
+
+    def __init__(self, boundaries: DataFrame) -> None:
+        super().__init__()
+        self._setDefault(featuresCol="feature", predictionCol="prediction")
+        self.boundaries = boundaries
+
+    def setPredictionCol(self, value: str) -> IsotonicTableModel:
+        return self._set(predictionCol=value)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        rows = dataset.withColumn("_feature", _value(dataset, self.getFeaturesCol()))
+        return interpolate(self.boundaries, rows, "_feature", self.getPredictionCol()).drop("_feature")
+
+    def write(self) -> MLWriter:
+        return _IsotonicTableWriter(self)
+
+    @classmethod
+    def load(cls, path: str) -> IsotonicTableModel:
+        """A saved table, or what Spark's own isotonic model saved: one row with all boundaries."""
+        spark = SparkSession.active()
+        metadata = DefaultParamsReader.loadMetadata(path, spark)
+        if metadata["class"].startswith("org.apache.spark."):
+            pairs = P.explode(P.arrays_zip("boundaries", "predictions")).alias("p")
+            rows = spark.read.parquet(f"{path}/data").select(pairs)
+            boundaries = rows.select(P.col("p.boundaries").alias("boundary"), P.col("p.predictions").alias("prediction"))
+        else:
+            boundaries = spark.read.schema("boundary double, prediction double").parquet(f"{path}/boundaries")
+        model = cls(boundaries)
+        for name in ("featuresCol", "predictionCol"):
+            if name in metadata["paramMap"]:
+                model._set(**{name: metadata["paramMap"][name]})
+        return model
+
+
+class _IsotonicTableWriter(MLWriter):
+    def __init__(self, model: IsotonicTableModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.boundaries.write.parquet(f"{path}/boundaries")
+
+
 def fit_isotonic(
     df: DataFrame,
     increasing: bool = True,
     feature: str = "feature",
     label: str = "label",
     weight: str | None = None,
-) -> IsotonicRegressionModel:
+) -> IsotonicTableModel:
     """Weighted isotonic regression of ``label`` on one numeric feature.
 
     Rows with an equal feature value have one common fit, so they are merged to
-    their weighted mean first and the estimator gets one row per distinct value.
-    A vector feature column with one entry is accepted too. Spark pools the last blocks on the
-    driver: the model is for savable, small fits, ``isotonic_boundaries`` for any number of values.
+    their weighted mean first and pooled as in ``isotonic_boundaries``, for any number of distinct values.
+    A vector feature column with one entry is accepted too. A value without feature or label is an error.
     """
-    merged = _points(df, feature, label, weight)
-    return IsotonicRegression(
-        isotonic=increasing, featuresCol="feature", labelCol="label", weightCol="weight"
-    ).fit(merged)
+    points = _points(df, feature, label, weight)
+    known = P.col("feature").isNotNull() & P.col("label").isNotNull()
+    error = P.raise_error("isotonic regression needs a feature and a label").cast("double")
+    points = points.withColumn("label", P.when(known, P.col("label")).otherwise(error))
+    return IsotonicTableModel(_pooled_points(points, increasing))
+
+
+def _value(df: DataFrame, feature: str) -> Column:
+    """One numeric feature as double, or the first entry of a vector or array."""
+    if df.schema[feature].dataType.typeName() in ("double", "float", "integer", "long"):
+        return P.col(feature).cast("double")
+    return (vector_to_array(P.col(feature)) if is_vector(df, feature) else P.col(feature))[0].cast("double")
 
 
 def _points(df: DataFrame, feature: str, label: str, weight: str | None) -> DataFrame:
     """(feature, label, weight) with one row per distinct feature value: weighted mean and sum of weights."""
-    if df.schema[feature].dataType.typeName() not in ("double", "float", "integer", "long"):
-        df = as_array(df, feature).withColumn(feature, P.col(feature)[0])
     w = P.col(weight).cast("double") if weight else P.lit(1.0)
-    return df.groupBy(P.col(feature).cast("double").alias("feature")).agg(
+    return df.groupBy(_value(df, feature).alias("feature")).agg(
         (P.sum(w * P.col(label)) / P.sum(w)).alias("label"), P.sum(w).alias("weight")
     )
 
@@ -106,10 +158,15 @@ def isotonic_boundaries(
     gives one result in whatever order violators are merged. Rows without feature or label, or without a positive
     weight, are left out; an empty table gives an empty result.
     """
+    points = _points(df.filter(P.col(feature).isNotNull() & P.col(label).isNotNull()), feature, label, weight)
+    return _pooled_points(points, increasing, chunk)
+
+
+def _pooled_points(points: DataFrame, increasing: bool = True, chunk: int = 200_000) -> DataFrame:
+    """(boundary, prediction) from one row (feature, label, weight) per feature value."""
     if chunk < 2:
         raise ValueError("a chunk holds two blocks at least")
     sign = 1.0 if increasing else -1.0
-    points = _points(df.filter(P.col(feature).isNotNull() & P.col(label).isNotNull()), feature, label, weight)
     blocks = points.filter("weight > 0").select(
         P.col("feature").alias("low"), P.col("feature").alias("high"), "weight", (sign * P.col("label")).alias("mean")
     )
@@ -129,8 +186,10 @@ def isotonic_boundaries(
     return blocks.select(P.explode(ends).alias("boundary"), (sign * P.col("mean")).alias("prediction"))
 
 
-def interpolate(boundaries: DataFrame, df: DataFrame, feature: str = "feature") -> DataFrame:
-    """R6 for a table of boundaries: ``df`` with ``prediction``, linear between boundaries and flat outside.
+def interpolate(
+    boundaries: DataFrame, df: DataFrame, feature: str = "feature", name: str = "prediction"
+) -> DataFrame:
+    """R6 for a table of boundaries: ``df`` with ``name``, linear between boundaries and flat outside.
 
     Distinct values and boundaries are sorted together in ranges that are written once; a range takes the nearest
     boundary before and after it from one row per range, so no window spans the table. Null features
@@ -156,7 +215,7 @@ def interpolate(boundaries: DataFrame, df: DataFrame, feature: str = "feature")
     line = P.col("a.y") + (P.col("b.y") - P.col("a.y")) * share
     inner = P.when(P.col("a.x") == P.col("b.x"), P.col("a.y")).otherwise(line)
     flat = P.when(P.col("a").isNull(), P.col("b.y")).when(P.col("b").isNull(), P.col("a.y")).otherwise(inner)
-    found = near.select(P.col("x").alias("_x"), flat.alias("prediction"))
+    found = near.select(P.col("x").alias("_x"), flat.alias(name))
     return df.join(found, P.col(feature).cast("double") == P.col("_x"), "left").drop("_x")
 
 

@@ -5,13 +5,17 @@ from __future__ import annotations
 from typing import TypeVar
 
 from pyspark.ml.recommendation import ALSModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.ml.util import JavaMLWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as P
 
 from foldlight.operators.recommend import item_factors, user_factors
+from foldlight.operators.regress import IsotonicTableModel
 
-M = TypeVar("M", bound=JavaMLWritable)
+M = TypeVar("M", bound=JavaMLWritable | IsotonicTableModel)
+
+TABLE_FORMS = {IsotonicRegressionModel: IsotonicTableModel}
 
 
 def _factor_line() -> Column:
@@ -34,8 +38,8 @@ def save_model(model: M, path: str) -> None:
 
 
 def load_model(kind: type[M], path: str) -> M:
-    """K2: read a model that :func:`save_model` wrote."""
-    return kind.load(path)
+    """K2: read a model that :func:`save_model` wrote; an isotonic one keeps its boundaries as a table."""
+    return TABLE_FORMS.get(kind, kind).load(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:

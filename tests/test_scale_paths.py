@@ -116,6 +116,46 @@ def test_isotonic_of_odd_tables(spark):
     assert [r.prediction for r in regress.interpolate(empty, df).collect()] == [None] * 4
 
 
+def test_isotonic_model_is_saved_and_applied_as_a_table(spark, tmp_path, monkeypatch):
+    """A fitted, saved and loaded model never has its boundaries on the driver, and predicts as Spark's own does."""
+    from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from foldlight.functions.vectors import as_vector
+    from foldlight.sources import sinks
+
+    def only_lines(read):
+        def checked(df, *args):
+            assert df.columns == ["value"], "collected"  # the lines of a model's metadata
+            return read(df, *args)
+
+        return checked
+
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(a + rng.normal(0, 5))) for i, a in enumerate(rng.integers(0, 300, 2000))]
+    df = spark.createDataFrame(rows, "id long, feature double, label double")
+    merged = df.groupBy("feature").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
+    own = IsotonicRegression(featuresCol="feature", weightCol="w").fit(merged)
+    want = {r.id: r.prediction for r in own.transform(df).collect()}
+    sinks.save_model(own, str(tmp_path / "own"))
+    with monkeypatch.context() as m:
+        for name in ("collect", "toPandas", "toArrow"):
+            m.setattr(DataFrame, name, only_lines(getattr(DataFrame, name)))
+        model = regress.fit_isotonic(df)
+        sinks.save_model(model, str(tmp_path / "table"))
+        again = sinks.load_model(IsotonicRegressionModel, str(tmp_path / "table")).setPredictionCol("again")
+        both = again.transform(model.transform(df))
+    assert both.filter("again = prediction").count() == 2000
+    assert {r.id: r.prediction for r in both.collect()} == pytest.approx(want)
+    old = sinks.load_model(IsotonicRegressionModel, str(tmp_path / "own"))
+    assert {r.id: r.prediction for r in old.transform(df).collect()} == pytest.approx(want)
+    vectors = as_vector(df.withColumn("feature", F.array("feature")), "feature")
+    found = regress.fit_isotonic(vectors).transform(vectors)
+    assert {r.id: r.prediction for r in found.collect()} == pytest.approx(want)
+    with pytest.raises(Exception, match="needs a feature and a label"):
+        regress.fit_isotonic(df.withColumn("label", F.lit(None).cast("double")))
+
+
 def test_million_rising_points_stay_a_table(spark, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 
