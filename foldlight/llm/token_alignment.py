@@ -10,8 +10,8 @@ whose joined token bytes are not the space and the text has no tokens at all, an
 Where both vocabularies allow it, a text is cut where no token of either can span: before a space that stands
 between two visible characters (A splits at spaces, no piece of B has a space mark after another
 character) and between a letter and punctuation (A splits there, no piece of B holds the two side by side). The groups of a
-text are those of its segments in order. Segments that this worker does not know are aligned in few calls of the
-libraries; the known ones are kept in two generations bounded by bytes. A segment of any length is aligned alone. Other vocabularies read whole texts.
+text are those of its segments in order. Segments that this worker does not know are joined to texts of some
+thousand characters, which both tokenizers cut at the same places, and aligned with few calls of the libraries; the known ones are kept in two generations bounded by bytes. A segment of any length is aligned alone. Other vocabularies read whole texts.
 
 A link is a token of A and a token of B that end at the same byte. Counts of id pairs over all links are
 summed per task before a shuffle. The pair table depends on the vocabularies, not on the number of
@@ -30,7 +30,7 @@ import re
 import struct
 import sys
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,8 @@ LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 TAILS = ',;:!?.)]}"/%*&-_\n'  # may begin a segment behind a letter, if the pieces of B allow it
 KNOWN_BYTES = 72 << 20  # of one generation of known segments
 ROWS_AT_ONCE = 400
+JOINED_CHARS = 1 << 13  # of segments that are read as one text
+SEPARATORS = (",", "|", ";", "\n")
 KEPT_SEGMENT = 1 << 8  # longer segments are aligned again when met again
 COUNT_AT_ONCE = 1 << 21  # links whose pairs are counted at once
 SLICE_PAIRS = 1 << 21
@@ -74,6 +76,17 @@ def token_ends(spans: Iterable[Span], pieces: list[bytes], data: bytes) -> list[
     return ends
 
 
+def joined_ends(spans: list[Span], sizes: np.ndarray, byte: np.ndarray | None = None) -> np.ndarray:
+    """``token_ends`` of a text that the tokens decode to; ``byte`` is the place of each character that spans count."""
+    bounds = np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
+    if byte is not None:
+        bounds = byte[bounds]
+    counted = np.cumsum(sizes)
+    own = (bounds[:, 0] == counted - sizes) & (bounds[:, 1] - bounds[:, 0] == sizes)
+    cut = np.maximum.accumulate(np.where(own, np.arange(len(own)), -1))  # the last token that ends with its span
+    return counted + np.where(cut >= 0, bounds[cut, 1] - counted[cut], 0)
+
+
 def entry(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> Entry:
     """Groups between the common ends, and the links at them; every token has a byte, so ends increase."""
     if len(b_ids) == 1:
@@ -113,8 +126,13 @@ class Aligner:
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
+        self.a_sizes = np.zeros(max(self.a_bytes, default=0) + 1, np.int64)
+        for i, piece in self.a_bytes.items():
+            self.a_sizes[i] = len(piece)
+        self.b_sizes = np.array([len(piece) for piece in self.b_bytes], np.int64)
+        self.names = [str(i) for i in range(max(len(self.a_sizes), len(self.b_sizes)))]
         self.anchor = len(self.b.encode("a"))  # pieces before a tail that is read behind this letter
-        self.cut, self.tails = None, ""
+        self.cut, self.joins, self.tails = None, None, ""
         if splits_at_spaces(a_path):
             self._find_cuts([p for p, known in zip(pieces, plain, strict=True) if known])
         self.new: dict[str, Entry | None] = {}
@@ -129,6 +147,7 @@ class Aligner:
         self.tails = "".join(c for c in TAILS if c not in beside)
         behind_letter = f"|(?<=[{LETTER}])(?=[{re.escape(self.tails)}])" if self.tails else ""
         self.cut = re.compile(f"(?<=[{VISIBLE}])(?= [^ ]){behind_letter}")
+        self.joins = re.compile(f" (?! )[ \n{VISIBLE}]*[{VISIBLE}]")
 
     def segments(self, text: str) -> list[str]:
         """A space and the text, cut; not all places that allow a cut need to be taken."""
@@ -182,6 +201,88 @@ class Aligner:
             out.append(entry(a_ids, a_ends, b_ids, b_ends) if fits else None)
         return out
 
+    def align_joined(self, segments: list[str]) -> list[Entry | None]:
+        """The same for segments that match ``joins``: read as one text, which both tokenizers cut between them.
+
+        Where the tokens' bytes are not the text, its halves are read.
+        """
+        if len(segments) == 1:
+            return self.align(segments)
+        text = "".join(segments)
+        data = text.encode()
+        encoding = self.a.encode(text, add_special_tokens=False)
+        proto = self.b.encode(text[1:], return_type="proto", num_threads=1)
+        a_list, a_spans = encoding.ids, encoding.offsets
+        b_list, b_spans = self._b_spans(proto, False)
+        a_ends = b_ends = None
+        if b"".join([self.a_bytes[i] for i in a_list]) == data == b"".join([self.b_bytes[i] for i in b_list]):
+            a_ids, b_ids = np.array(a_list, np.int64), np.array(b_list, np.int64)
+            byte = None
+            if len(data) != len(text):
+                widths = np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
+                byte = np.concatenate([[0], np.cumsum(widths)])
+            a_ends = joined_ends(a_spans, self.a_sizes[a_ids], byte)
+            b_ends = joined_ends(b_spans, self.b_sizes[b_ids])
+            sizes = [len(s) if s.isascii() else len(s.encode()) for s in segments]
+            edges = np.cumsum(np.array(sizes, np.int64))
+            common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+            at = np.searchsorted(common, edges)
+            if len(common) and np.array_equal(common[np.minimum(at, len(common) - 1)], edges):
+                return self._entries(a_ids, a_ends, b_ids, b_ends, common, at + 1)
+        half = len(segments) // 2
+        return self.align_joined(segments[:half]) + self.align_joined(segments[half:])
+
+    def _entries(
+        self, a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray, common: np.ndarray, upto: np.ndarray
+    ) -> list[Entry]:
+        """Entries of segments, given the common ends and how many of them each segment and those before it have."""
+        a_last, b_last = np.searchsorted(a_ends, common), np.searchsorted(b_ends, common)
+        links = np.empty((len(common), 2), "<u4")
+        links[:, 0], links[:, 1] = a_ids[a_last], b_ids[b_last]
+        # tokens in the order of the text of groups: those of A and of B of a group, then the next group's
+        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        before_b = np.concatenate([[0], b_last + 1])[a_group]
+        a_place, b_place = np.arange(len(a_ids)) + before_b, np.arange(len(b_ids)) + (a_last + 1)[b_group]
+        ids, signs = np.empty(len(a_ids) + len(b_ids), np.int64), np.zeros(len(a_ids) + len(b_ids), np.int64)
+        ids[a_place], ids[b_place] = a_ids, b_ids
+        signs[a_place[a_last]] = 1
+        signs[b_place[b_last]] = 2
+        signs[b_place[b_last[upto - 1]]] = 3
+        parts = [""] * (2 * len(ids))
+        parts[::2] = map(self.names.__getitem__, ids.tolist())
+        parts[1::2] = map(SEPARATORS.__getitem__, signs.tolist())
+        groups = "".join(parts).split("\n")
+        raw = links.tobytes()
+        n_a = np.diff(a_last[upto - 1] + 1, prepend=0).tolist()
+        n_b = np.diff(b_last[upto - 1] + 1, prepend=0).tolist()
+        n_groups = np.diff(upto, prepend=0).tolist()
+        stops = [0, *(8 * upto).tolist()]
+        out = []
+        for i in range(len(upto)):
+            out.append((n_a[i], n_b[i], n_groups[i], groups[i], raw[stops[i] : stops[i + 1]]))
+        return out
+
+    def aligned(self, segments: list[str]) -> Iterator[tuple[str, Entry | None]]:
+        """Each segment with its entry: those that may stand side by side are read together, others one by one."""
+        fits = self.joins.fullmatch if self.joins else lambda s: None
+        together: list[str] = []
+        alone: list[str] = []
+        size = 0
+        for s in segments:
+            if len(s) > KEPT_SEGMENT or not fits(s):
+                alone.append(s)
+                continue
+            together.append(s)
+            size += len(s)
+            if size > JOINED_CHARS:
+                yield from zip(together, self.align_joined(together), strict=True)
+                together, size = [], 0
+        if together:
+            yield from zip(together, self.align_joined(together), strict=True)
+        for i in range(0, len(alone), 1000):
+            part = alone[i : i + 1000]
+            yield from zip(part, self.align(part), strict=True)
+
     def look_up(self, segments: set[str]) -> dict[str, Entry | None]:
         """The entry of each segment; those of at most KEPT_SEGMENT characters become known."""
         if self.size > KNOWN_BYTES:
@@ -197,12 +298,10 @@ class Aligner:
                 self._keep(s, old[s])
             else:
                 missing.append(s)
-        for i in range(0, len(missing), 1000):
-            part = missing[i : i + 1000]
-            for s, e in zip(part, self.align(part), strict=True):
-                found[s] = e
-                if len(s) <= KEPT_SEGMENT:
-                    self._keep(s, e)
+        for s, e in self.aligned(missing):
+            found[s] = e
+            if len(s) <= KEPT_SEGMENT:
+                self._keep(s, e)
         return found
 
     def _keep(self, segment: str, found: Entry | None) -> None:

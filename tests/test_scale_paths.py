@@ -358,3 +358,19 @@ def test_hashed_forest_of_classes(spark):
     assert all(len(r["probability"]) == 4 and sum(r["probability"]) == pytest.approx(1) for r in scored)
     assert np.mean([r["prediction"] == r["label"] for r in scored]) > 0.8
     assert all(r["prediction"] == max(range(4), key=lambda c: (r["probability"][c], -c)) for r in scored)
+
+
+def test_segments_read_together_are_aligned_as_one_by_one(monkeypatch):
+    import public_tokenizers
+
+    from foldlight.llm.token_alignment import Aligner
+
+    both = Aligner(*(public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+    words = [" unwhtsch", " Ciónaé", " é", " ¨", " ª½", " a", " x9z", " $$$", " (9)", " Ünïß.###", ",", ".\nThe", " 日本", " \n", " ĳ ſ"]
+    alone = dict(zip(words, both.align(words), strict=True))
+    assert dict(both.aligned(words)) == alone
+    calls = []
+    real = both.align
+    monkeypatch.setattr(both, "align", lambda part: calls.append(len(part)) or real(part))
+    plain = [f" w{i}öst" for i in range(500)]
+    assert dict(both.aligned(plain)) == dict(zip(plain, real(plain), strict=True)) and not calls
