@@ -22,13 +22,21 @@ from pyspark.sql import functions as P
 from foldlight.functions import pooling
 from foldlight.functions.vectors import as_vector, is_vector
 from foldlight.operators.running import with_row_id
-from foldlight.session import enable_checkpoints, materialize
+from foldlight.session import enable_checkpoints, materialize, spread
 
 
 def _fit(estimator: Estimator, df: DataFrame) -> Model:
     return estimator.fit(as_vector(df, "features"))
 
 
+def _fit_trees(estimator: Estimator, df: DataFrame) -> Model:
+    """Trees keep their rows between passes, one block a part: as many parts as the rows need."""
+    needed = dict.fromkeys(estimator.getOrDefault(c) for c in ("featuresCol", "labelCol"))
+    if estimator.isSet("weightCol"):
+        needed[estimator.getOrDefault("weightCol")] = None
+    return _fit(estimator, spread(df.select(*needed)))
+
+
 def fit_linear_regression(
     df: DataFrame, fit_intercept: bool = False, **params
 ) -> LinearRegressionModel:
@@ -40,7 +48,7 @@ def fit_decision_tree_regressor(
     df: DataFrame, depth: int = 5, bins: int = 32, **params
 ) -> DecisionTreeRegressionModel:
     """R2: variance tree."""
-    return _fit(DecisionTreeRegressor(maxDepth=depth, maxBins=bins, **params), df)
+    return _fit_trees(DecisionTreeRegressor(maxDepth=depth, maxBins=bins, **params), df)
 
 
 def fit_random_forest_regressor(
@@ -50,7 +58,7 @@ def fit_random_forest_regressor(
     forest = RandomForestRegressor(
         numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, **params
     )
-    return _fit(forest, df)
+    return _fit_trees(forest, df)
 
 
 def fit_boosted_trees_regressor(
@@ -58,7 +66,7 @@ def fit_boosted_trees_regressor(
 ) -> GBTRegressionModel:
     """Boosted trees on squared error."""
     enable_checkpoints(df.sparkSession)
-    return _fit(GBTRegressor(maxIter=rounds, maxDepth=depth, **params), df)
+    return _fit_trees(GBTRegressor(maxIter=rounds, maxDepth=depth, **params), df)
 
 
 class IsotonicTableModel(Model, HasFeaturesCol, HasPredictionCol):

@@ -93,3 +93,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """``df`` dealt evenly into parts of about ``rows`` rows where it has more, so that what a pass over a
+    part reads does not grow with the table."""
+    size = df.count()
+    return df if size <= rows else df.repartition(-(-size // rows))

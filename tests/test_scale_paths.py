@@ -360,6 +360,28 @@ def test_hashed_forest_of_classes(spark):
     assert all(r["prediction"] == max(range(4), key=lambda c: (r["probability"][c], -c)) for r in scored)
 
 
+def test_tree_rows_are_dealt_into_parts_that_do_not_grow(spark, monkeypatch):
+    """A part that trees keep between passes has a bounded number of rows, however few parts the input has."""
+    from foldlight import session
+
+    rows = spark.range(0, 2000, 1, 1).select(
+        (F.col("id") % 50).cast("double").alias("label"), F.array((F.col("id") % 50).cast("double")).alias("features")
+    )
+    assert session.spread(rows, 2000).rdd.getNumPartitions() == 1
+    parts = session.spread(rows, 300)
+    assert parts.rdd.getNumPartitions() == 7 and parts.count() == 2000
+    dealt = []
+
+    def counted(df):
+        dealt.append(df.columns)
+        return session.spread(df, 300)
+
+    monkeypatch.setattr(regress, "spread", counted)
+    for fit in (regress.fit_boosted_trees_regressor, regress.fit_decision_tree_regressor, regress.fit_random_forest_regressor):
+        assert regress.predict(fit(rows), rows).count() == 2000
+    assert dealt == [["features", "label"]] * 3
+
+
 def test_segments_read_together_are_aligned_as_one_by_one(monkeypatch):
     import public_tokenizers
 
