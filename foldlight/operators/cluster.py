@@ -18,13 +18,15 @@ from pyspark.ml.clustering import (
     LDAModel,
     PowerIterationClustering,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as P
 
 from foldlight.functions.nearest import nearest
 from foldlight.functions.vectors import as_array, as_vector
 from foldlight.session import enable_checkpoints, materialize
 
+ROWS_A_PART = 1_000_000  # (doc, word, n) rows that are kept together
+
 
 def fit_kmeans(df: DataFrame, k: int = 2, iterations: int = 20, seed: int = 1) -> KMeansModel:
     """K-means."""
@@ -120,8 +122,8 @@ def word_counts(df: DataFrame, features: str = "features", doc: str = "doc_id")
     return counts.select("doc", P.posexplode(features).alias("word", "n")).filter("n > 0")
 
 
-def _summed(rows: DataFrame, by: str, k: int) -> DataFrame:
-    return rows.groupBy(by).agg(P.array(*[P.sum(P.col("share")[i]) for i in range(k)]).alias("weight"))
+def _summed(rows: DataFrame, by: str, k: int, *more: Column) -> DataFrame:
+    return rows.groupBy(by).agg(*[P.sum(f"share{i}").alias(f"weight{i}") for i in range(k)], *more)
 
 
 def fit_topic_tables(
@@ -131,55 +133,61 @@ def fit_topic_tables(
 
     ``counts`` has (doc, word, n), each pair once. Each row's count is divided over the topics in
     proportion to (word weight + eta - 1) (doc weight + alpha - 1) / (topic weight + words (eta - 1)); the shares are summed
-    by word and by document, with partial sums per task. Words and documents are joined by equality, so a word that is
-    in every document is split by adaptive execution. Only the k topic totals and the objective, the logarithm of
+    by word and by document, with partial sums per task. The rows are dealt by document once, sorted and kept for
+    all steps, so a step moves one row per document and one per word and task; shares are made again where they are
+    summed and never written. Only the k topic totals and the objective, the logarithm of
     the posterior up to a constant, are read back. It never falls from one step to the next. The first shares come
     from a hash of seed, document and word. ``alpha`` is 50 / k + 1 unless given. Rows without a positive count are
     left out; an empty table gives empty tables.
     """
     alpha = 50.0 / k + 1 if alpha is None else alpha
     rows = materialize(counts.select("doc", "word", P.col("n").cast("double").alias("n")).filter("n > 0"), "counts")
-    lengths = rows.groupBy("doc").agg(P.sum("n").alias("length"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_A_PART))
+    rows = rows.repartition(parts, "doc").sortWithinPartitions("doc").persist()
     draws = [(P.pmod(P.xxhash64(P.lit(seed), P.lit(i), "doc", "word"), P.lit(1000)) + 1).cast("double") for i in range(k)]
-    drawn = rows.withColumn("share", P.array(*draws))
-    scale = P.col("n") / P.aggregate("share", P.lit(0.0), lambda s, x: s + x)
-    shares = drawn.withColumn("share", P.transform("share", lambda x: x * scale))
+    drawn = rows.withColumns({f"share{i}": draw for i, draw in enumerate(draws)})
+    scale = P.col("n") / sum((P.col(f"share{i}") for i in range(k)), P.lit(0.0))
+    shares = drawn.withColumns({f"share{i}": P.col(f"share{i}") * scale for i in range(k)})
+    log_share = P.lit(0.0)
+    weights = [P.col(f"weight{i}") for i in range(k)]
     objective: list[float] = []
+    prior = None
     for step in range(iterations + 1):
         words = materialize(_summed(shares, "word", k), "words")
-        docs = materialize(_summed(shares, "doc", k).join(lengths, "doc"), "docs")
-        weight = P.col("weight")
-        logs = [P.sum(P.log(weight[i] + (eta - 1))) if eta > 1 else P.lit(0.0) for i in range(k)]
-        size, *sums = words.agg(P.count(P.lit(1)), *[P.sum(weight[i]) for i in range(k)], *logs).first()
+        per_doc = _summed(shares, "doc", k, P.sum("n").alias("length"), P.sum(log_share).alias("logs"))
+        docs = materialize(per_doc.filter("doc IS NOT NULL"), "docs")
+        logs = [P.sum(P.log(w + (eta - 1))) if eta > 1 else P.lit(0.0) for w in weights]
+        size, *sums = words.agg(P.count(P.lit(1)), *[P.sum(w) for w in weights], *logs).first()
         if not size:
             break
         totals = [t + size * (eta - 1) for t in sums[:k]]
-        priors = (eta - 1) * sum(s - size * math.log(t) for s, t in zip(sums[k:], totals, strict=True))
+        places = sum((P.log(w + (alpha - 1)) for w in weights), P.lit(0.0)) if alpha > 1 else P.lit(0.0)
+        rest = P.log(P.col("length") + k * (alpha - 1)) * k if alpha > 1 else P.lit(0.0)
+        of_docs, fit = docs.agg(P.sum(places - rest), P.sum("logs")).first()
+        if prior is not None:
+            objective.append(fit + prior)
+        prior = (eta - 1) * sum(s - size * math.log(t) for s, t in zip(sums[k:], totals, strict=True))
         if alpha > 1:
-            places = P.aggregate(P.transform("weight", lambda x: P.log(x + (alpha - 1))), P.lit(0.0), lambda s, x: s + x)
-            rest = P.log(P.col("length") + k * (alpha - 1)) * k
-            priors += (alpha - 1) * docs.agg(P.sum(places - rest)).first()[0]
-        by_word = words.select("word", P.col("weight").alias("of_word"))
-        by_doc = docs.select("doc", "length", P.col("weight").alias("of_doc"))
-        met = shares.select("doc", "word", "n").join(by_word, "word").join(by_doc, "doc")
+            prior += (alpha - 1) * of_docs
+        by_word = words.select("word", *[w.alias(f"of_word{i}") for i, w in enumerate(weights)])
+        by_doc = docs.select("doc", "length", *[w.alias(f"of_doc{i}") for i, w in enumerate(weights)])
+        met = rows.join(by_doc, "doc").join(by_word, "word")
         product = [
-            (P.col("of_word")[i] + (eta - 1)) * (P.col("of_doc")[i] + (alpha - 1)) / totals[i] for i in range(k)
+            (P.col(f"of_word{i}") + (eta - 1)) * (P.col(f"of_doc{i}") + (alpha - 1)) / totals[i] for i in range(k)
         ]
-        met = met.withColumn("product", P.array(*product))
-        met = met.withColumn("total", P.aggregate("product", P.lit(0.0), lambda s, x: s + x))
+        met = met.withColumns({f"product{i}": x for i, x in enumerate(product)})
+        met = met.withColumn("total", sum((P.col(f"product{i}") for i in range(k)), P.lit(0.0)))
         log_share = P.col("n") * (P.log("total") - P.log(P.col("length") + k * (alpha - 1)))
+        met = met.withColumn("log_share", log_share)
         if step == iterations:
-            objective.append(met.agg(P.sum(log_share)).first()[0] + priors)
+            objective.append(met.agg(P.sum("log_share")).first()[0] + prior)
             break
-        met = materialize(met.select("doc", "word", "n", "product", "total", log_share.alias("log_share")), "met")
-        objective.append(met.agg(P.sum("log_share")).first()[0] + priors)
-        divided = P.transform("product", lambda x: x / P.col("total") * P.col("n"))
-        shares = met.select("doc", "word", "n", divided.alias("share"))
-    return TopicTables(
-        words.select("word", P.posexplode("weight").alias("topic", "weight")),
-        docs.select("doc", P.posexplode("weight").alias("topic", "weight")),
-        objective,
-    )
+        divided = [(P.col(f"product{i}") / P.col("total") * P.col("n")).alias(f"share{i}") for i in range(k)]
+        shares = met.select("doc", "word", "n", "log_share", *divided)
+        log_share = P.col("log_share")
+    rows.unpersist()
+    weight = P.posexplode(P.array(*weights)).alias("topic", "weight")
+    return TopicTables(words.select("word", weight), docs.select("doc", weight), objective)
 
 
 def power_iteration_clusters(

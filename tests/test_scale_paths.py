@@ -382,6 +382,24 @@ def test_tree_rows_are_dealt_into_parts_that_do_not_grow(spark, monkeypatch):
     assert dealt == [["features", "label"]] * 3
 
 
+def test_topic_steps_write_no_row_per_word_of_a_document(spark, monkeypatch):
+    """Only the counts themselves are written at that size, once; each step writes words and documents."""
+    written = []
+    real = cluster.materialize
+
+    def noted(df, name):
+        written.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(cluster, "materialize", noted)
+    counts = spark.createDataFrame([(d, w, float(1 + (d * w) % 3)) for d in range(9) for w in range(5)], "doc long, word int, n double")
+    found = cluster.fit_topic_tables(counts, 2, iterations=3)
+    assert written == ["counts"] + ["words", "docs"] * 4
+    assert len(found.objective) == 4 and found.objective == sorted(found.objective)
+    want = {r.word: r.n for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    assert {r.word: r.n for r in found.words.groupBy("word").agg(F.sum("weight").alias("n")).collect()} == pytest.approx(want)
+
+
 def test_segments_read_together_are_aligned_as_one_by_one(monkeypatch):
     import public_tokenizers
 
