@@ -2,8 +2,11 @@
 
 No sequence becomes one row. An id-list names the steps at which a sequence holds an itemset,
 one row a step. A pattern is a shorter pattern followed by one more itemset, and all it needs to
-grow is the first step at which each sequence can end it: a prefix is one row per sequence, made
-by one aggregate or one look-up of the next step in a list.
+grow is the first step at which each sequence can end it: a prefix is one row per sequence.
+
+What can follow depends on that step alone. So the next step of every itemset is looked up once
+for each step of a sequence; prefixes only move to the step at which they end, where one
+equality join both counts what follows them and says where it ends.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from foldlight.operators.running import PART
 from foldlight.session import materialize
 
 ALONE = -1  # ``before`` of a pattern of one itemset
+SLOTS = 32  # itemsets of one size whose next steps share a row
 
 
 def itemset_spans(lists: DataFrame, need: int) -> DataFrame:
@@ -48,11 +52,13 @@ def itemset_lists(facts: DataFrame, need: int, longest: int) -> tuple[DataFrame,
         all_lists.append(lists)
         if size == 1:
             singles = lists.select("owner", "step", P.col("items")[0].alias("_item"))
-        lists = (
-            lists.join(singles, ["owner", "step"])
+        # both sides are whole tables, and what they give is read twice
+        grown = (
+            lists.join(singles.hint("merge"), ["owner", "step"])
             .filter(P.col("_item") > P.element_at("items", -1))
             .select("owner", "step", P.array_append("items", P.col("_item")).alias("items"))
         )
+        lists = materialize(grown, "grown") if size < longest else grown
     return together(all_lists or [lists.limit(0)]), together(all_spans)
 
 
@@ -60,50 +66,94 @@ def together(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def next_steps(probes: DataFrame, lists: DataFrame) -> DataFrame:
-    """(owner, items, after, next): the first step of the list that is later than ``after``.
+def next_steps(
+    probes: DataFrame, lists: DataFrame, key: Sequence[str] = ("owner", "items"), slots: int | None = None
+) -> DataFrame:
+    """(key, after, next): the first step of the list that is later than ``after``.
 
-    Probes and lists are cut into ranges of (owner, items, step), so the list of one hot owner
+    Probes and lists are cut into ranges of (key, step), so the list of one hot owner
     spans many tasks, and probes are never paired with steps. Inside a range a running minimum
     from the end answers; a list that goes on in later ranges adds their lowest step, one row
     for each border between ranges. ``next`` is null where the list has no later step.
+
+    With ``slots`` a key has that many lists, told apart by their column ``slot`` (from 0), and
+    ``next`` is an array with the answer of each.
     """
-    key = ["owner", "items"]
-    marks = lists.select(*key, P.col("step").alias("at"), "step").unionByName(
+    key, places = [*key], range(slots or 1)
+    slot = P.lit(0) if slots is None else P.col("slot")
+    marks = lists.select(*key, P.col("step").alias("at"), slot.cast("int").alias("slot")).unionByName(
         probes.select(*key, P.col("after").alias("at")).distinct(), allowMissingColumns=True
     )
     # of equal steps the probe comes first when read from the end
-    marks = marks.withColumn("probe", P.col("step").isNull())
+    marks = marks.withColumn("probe", P.col("slot").isNull())
     parts = materialize(
         marks.repartitionByRange(*key, "at", "probe").withColumn(PART, P.spark_partition_id()), "marks"
     )
+    lowest = [P.min(P.when(P.col("slot") == n, P.col("at"))) for n in places]
     from_end = Window.partitionBy(PART, *key).orderBy(P.desc("at"), P.desc("probe"))
     from_end = from_end.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = parts.withColumn("_inside", P.min("step").over(from_end)).filter("probe")
+    inside = parts.select("*", *[lowest[n].over(from_end).alias(f"_inside_{n}") for n in places]).filter("probe")
     later_parts = Window.partitionBy(*key).orderBy(P.desc(PART)).rowsBetween(Window.unboundedPreceding, -1)
     later = (
         parts.groupBy(PART, *key)
-        .agg(P.min("step").alias("_low"))
-        .withColumn("_later", P.min("_low").over(later_parts))
-        .filter("_later IS NOT NULL")
-        .select(PART, *key, "_later")
+        .agg(*[lowest[n].alias(f"_low_{n}") for n in places])
+        .select(PART, *key, *[P.min(f"_low_{n}").over(later_parts).alias(f"_later_{n}") for n in places])
+        .filter(P.coalesce(*[P.col(f"_later_{n}") for n in places]).isNotNull())
     )
-    return inside.join(later, [PART, *key], "left").select(
-        *key, P.col("at").alias("after"), P.coalesce("_inside", "_later").alias("next")
+    answers = [P.coalesce(f"_inside_{n}", f"_later_{n}") for n in places]
+    # a range has one border to the next, so few rows are sent to all
+    return inside.join(P.broadcast(later), [PART, *key], "left").select(
+        *key, P.col("at").alias("after"), (answers[0] if slots is None else P.array(*answers)).alias("next")
+    )
+
+
+def itemset_places(spans: DataFrame) -> DataFrame:
+    """(items, size, place, freq): the itemsets of a size numbered from 0."""
+    sizes = Window.partitionBy("size").orderBy("items")
+    return (
+        spans.select("items", P.size("items").alias("size"), "freq")
+        .distinct()
+        .withColumn("place", P.row_number().over(sizes) - 1)
+    )
+
+
+def next_itemsets(lists: DataFrame, spans: DataFrame, places: DataFrame, slots: int) -> DataFrame:
+    """(owner, size, slice, after, next): when each itemset next occurs, for every step of an owner.
+
+    One row holds the answers of ``slots`` itemsets of a size; rows in which none occurs again are left out.
+    """
+    coded = places.select(
+        "items",
+        "size",
+        P.floor(P.col("place") / slots).cast("int").alias("slice"),
+        (P.col("place") % slots).alias("slot"),
     )
+    key = ["owner", "size", "slice"]
+    steps = lists.join(coded, "items").select(*key, "slot", "step")
+    ends = spans.join(coded, "items").groupBy(*key).agg(P.max("last").alias("last"))
+    # the items of an itemset are itemsets, so these are all steps of the lists
+    points = lists.filter(P.size("items") == 1).select("owner", P.col("step").alias("after")).distinct()
+    probes = points.join(ends, "owner").filter(P.col("after") < P.col("last")).select(*key, "after")
+    return next_steps(probes, steps, key, slots)
 
 
-def followers(firsts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
-    """(owner, before, items, after): patterns of ``length`` items that an owner holds.
+def meet_next(ends: DataFrame, nexts: DataFrame) -> DataFrame:
+    """(owner, id, size, slice, next): each prefix with the itemsets that follow the step at which it ends.
 
-    Each is a prefix and an itemset that occurs later than the prefix ends. A sequence
-    brings its frequent prefixes and itemsets here, not its steps.
+    They meet by owner and step, so the prefixes and steps of one long sequence are spread like any
+    others. Both sides grow with the table: neither is sent to all, whatever its size.
     """
-    rest = spans.select("owner", "items", "last", (P.lit(length) - P.size("items")).alias("length"))
+    after = nexts.select("owner", P.col("after").alias("step"), "size", "slice", "next")
+    return ends.join(after.hint("merge"), ["owner", "step"]).drop("step")
+
+
+def followers(met: DataFrame, slots: int) -> DataFrame:
+    """(owner, before, size, place, step): the patterns of one more itemset that an owner holds, and their ends."""
+    place = (P.col("slice") * slots + P.col("slot")).alias("place")
     return (
-        firsts.join(rest, ["owner", "length"])
-        .filter(P.col("last") > P.col("first"))
-        .select("owner", P.col("id").alias("before"), "items", P.col("first").alias("after"))
+        met.select("owner", P.col("id").alias("before"), "size", "slice", P.posexplode("next").alias("slot", "step"))
+        .filter("step IS NOT NULL")
+        .select("owner", "before", "size", place, "step")
     )
 
 
@@ -122,57 +172,56 @@ def frequent_sequences_by_lists(
     are sorted. Repeated rows count once. A null step or item holds nothing, but its sequence
     counts in the total; null sequence keys are one sequence. No rows give no patterns.
 
-    Supports are counted before the look-up of ends, which only frequent patterns get, and those
-    of full length need none.
+    Sequences and itemsets go by numbers. Supports are counted before the ends, which only frequent
+    patterns get, and those of full length need none.
     """
     held = rows.select(
-        P.struct(*sequence).alias("owner"), P.col(step).alias("step"), P.col(item).alias("item")
+        P.struct(*sequence).alias("key"), P.col(step).alias("step"), P.col(item).alias("item")
     )
-    facts = materialize(held.distinct(), "facts")
-    total = facts.select("owner").distinct().count()
-    need = max(1, math.ceil(min_support * total))
-    lists, spans = itemset_lists(facts.dropna(subset=["step", "item"]), need, max_length)
-    found: list[DataFrame] = []  # one table a length: id, before, items, sequence, freq
-    firsts: list[DataFrame] = []  # one table a length: owner, id, length, first
+    held = materialize(held.distinct(), "held")
+    # the ids are those of the written rows, here and below
+    owners = held.select("key").distinct().withColumn("owner", P.monotonically_increasing_id())
+    owners = materialize(owners, "owners")
+    need = max(1, math.ceil(min_support * owners.count()))
+    facts = held.dropna(subset=["step", "item"]).join(owners, "key").select("owner", "step", "item")
+    lists, spans = itemset_lists(materialize(facts, "facts"), need, max_length)
+    places = materialize(itemset_places(spans), "places")
+    slots = min(SLOTS, 1 + (places.agg(P.max("place")).first()[0] or 0))
+    nexts = None
+    found: list[DataFrame] = []  # one table a length: id, before, size, place, sequence, freq
+    supports: list[DataFrame] = []  # one table a length of the prefix: before, size, place, freq
+    meetings: list[DataFrame] = []  # one table a length of the prefix: see meet_next
 
     for length in range(1, max_length + 1):
-        own = spans.filter(P.size("items") == length)
-        patterns = own.select(
-            P.lit(ALONE).cast("long").alias("before"), "items", P.array("items").alias("sequence"), "freq"
-        ).distinct()
-        if length > 1:
-            longer = followers(together(firsts), spans, length)
-            often = longer.groupBy("before", "items").agg(P.count(P.lit(1)).alias("freq"))
-            prefixes = together(
-                [
-                    level.select(P.col("id").alias("before"), "sequence", P.lit(n).alias("length"))
-                    for n, level in enumerate(found, 1)
-                ]
-            )
+        patterns = places.filter(P.col("size") == length).select(
+            P.lit(ALONE).cast("long").alias("before"), "size", "place", P.array("items").alias("sequence"), "freq"
+        )
+        for n, (level, often) in enumerate(zip(found, supports, strict=True), 1):
             grown = (
-                often.filter(P.col("freq") >= need)
-                .withColumn("length", P.lit(length) - P.size("items"))
-                .join(prefixes, ["before", "length"])
+                often.filter(P.col("size") == length - n)
+                .join(places.select("size", "place", "items"), ["size", "place"])
+                .join(level.select(P.col("id").alias("before"), "sequence"), "before")
+                .withColumn("sequence", P.array_append("sequence", P.col("items")))
             )
-            patterns = patterns.unionByName(
-                grown.select(
-                    "before", "items", P.array_append("sequence", P.col("items")).alias("sequence"), "freq"
-                )
-            )
-        # the ids are those of the written rows
+            patterns = patterns.unionByName(grown.select(*patterns.columns))
         level = materialize(patterns.withColumn("id", P.monotonically_increasing_id()), "patterns")
         found.append(level)
         if length == max_length or level.isEmpty():
             break
-        names = level.select("before", "items", "id")
-        single = names.filter(P.col("before") == ALONE).select("items", "id")
-        ends = own.join(single, "items").select("owner", "id", "first")
-        if length > 1:
-            kept = longer.join(names, ["before", "items"]).select("owner", "id", "items", "after")
-            kept = materialize(kept, "kept")
-            steps = next_steps(kept, lists).withColumnRenamed("next", "first")
-            ends = ends.unionByName(
-                kept.join(steps, ["owner", "items", "after"]).select("owner", "id", "first")
-            )
-        firsts.append(materialize(ends.withColumn("length", P.lit(length)), "firsts"))
+        if nexts is None:
+            short = places.filter(P.col("size") < max_length)  # a longer itemset follows nothing
+            nexts = materialize(next_itemsets(lists, spans, short, slots), "nexts")
+        names = level.select("before", "size", "place", "id")
+        own = spans.join(places.select("items", "size", "place"), "items").filter(P.col("size") == length)
+        own = own.join(names.filter(P.col("before") == ALONE), ["size", "place"])
+        ends = [own.select("owner", "id", P.col("first").alias("step"))]
+        for n, met in enumerate(meetings, 1):
+            grown = followers(met.filter(P.col("size") == length - n), slots)
+            ends.append(grown.join(names, ["before", "size", "place"]).select("owner", "id", "step"))
+        met = meet_next(together(ends), nexts.filter(P.col("size") <= max_length - length))
+        if length < max_length - 1:
+            met = materialize(met, "met")
+            meetings.append(met)
+        often = followers(met, slots).groupBy("before", "size", "place").agg(P.count(P.lit(1)).alias("freq"))
+        supports.append(materialize(often.filter(P.col("freq") >= need), "supports"))
     return together(found).select("sequence", "freq")

@@ -281,6 +281,84 @@ def test_sequences_by_lists_of_odd_tables(spark):
     assert mine(spark.createDataFrame([("a", "b", 1, None, None)], shape)) == {}
 
 
+def test_sequences_by_lists_move_few_rows(spark, monkeypatch):
+    """The look-up is made once, and of the longest prefixes, the most by far, no row is written."""
+    rng = Random(7)
+    days = [["".join(k for k in "abc" if rng.random() < 0.7) for _ in range(14)] for _ in range(12)]
+    df = spark.createDataFrame(
+        [(u, d, t) for u, own in enumerate(days) for d, step in enumerate(own) for t in step], "user long, day int, kind string"
+    )
+    written = {}
+    write = sequences.materialize
+
+    def keep(df, name):
+        written.setdefault(name, []).append(write(df, name))
+        return written[name][-1]
+
+    monkeypatch.setattr(sequences, "materialize", keep)
+    got = sequences.frequent_sequences_by_lists(df, ["user"], "day", "kind", 0.8).collect()
+    items = lambda r: sum(map(len, r["sequence"]))
+    of_four = sum(r["freq"] for r in got if items(r) == 4)
+    shorter = sum(r["freq"] for r in got if items(r) < 4)
+    assert len(written["marks"]) == 1
+    rows = {name: sum(t.count() for t in tables) for name, tables in written.items()}
+    assert of_four > 2_000 and shorter < 0.5 * of_four
+    # a prefix meets itemsets of at most three sizes, in one row each
+    assert rows["met"] <= 3 * shorter and max(rows.values()) < of_four
+
+
+@pytest.mark.parametrize("slots", [1, 2])
+def test_sequences_by_lists_in_slices(spark, monkeypatch, slots):
+    """Itemsets whose next steps lie in several rows, and joins that sort, give the same patterns."""
+    rng = Random(11)
+    rows = [(u if u else None, d, rng.choice("abcde")) for u in range(9) for d in range(8) for _ in range(4)]
+    df = spark.createDataFrame(rows, "user long, day int, kind string")
+    mine = lambda: sorted(
+        (str(r["sequence"]), r["freq"])
+        for r in sequences.frequent_sequences_by_lists(df, ["user"], "day", "kind", 0.6, 4).collect()
+    )
+    whole = mine()
+    monkeypatch.setattr(sequences, "SLOTS", slots)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        assert mine() == whole
+    finally:
+        spark.conf.set(name, before)
+    lists = {}
+    for u, d, t in rows:
+        lists.setdefault(u, {}).setdefault(d, set()).add(t)
+    own = [[day[d] for d in sorted(day)] for day in lists.values()]
+    steps = [c for k in range(1, 5) for c in itertools.combinations("abcde", k)]
+    want = [(list(c),) for c in steps]
+    want += [(list(x), list(y)) for x in steps for y in steps if len(x) + len(y) <= 4]
+    freqs = {str(list(p)): sum(holds(o, p) for o in own) for p in want}
+    assert {p: n for p, n in whole if p in freqs} == {p: n for p, n in freqs.items() if n >= 6}
+    assert len(whole) > len(want) // 4 and any(p not in freqs for p, _ in whole)
+
+
+def test_next_steps_of_many_lists(spark):
+    """Lists in slots of one key answer like lists of their own, also across ranges."""
+    rng = Random(5)
+    listed = {(o, n): sorted(rng.sample(range(3_000), 700)) for o in ("hot", "warm") for n in range(3)}
+    listed |= {(f"u{u}", n): sorted(rng.sample(range(40), 4)) for u in range(30) for n in (0, 2)}
+    steps = spark.createDataFrame(
+        [(o, n, s) for (o, n), own in listed.items() for s in own], "owner string, slot int, step int"
+    )
+    asked = sorted({(o, rng.randrange(-1, max(own) + 2)) for (o, _), own in listed.items() for _ in range(40)})
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        got = sequences.next_steps(spark.createDataFrame(asked, "owner string, after int"), steps, ["owner"], 3).collect()
+    finally:
+        spark.conf.set(name, before)
+    first = lambda own, after: min((s for s in own if s > after), default=None)
+    want = {(o, after): [first(listed.get((o, n), []), after) for n in range(3)] for o, after in asked}
+    assert {(r["owner"], r["after"]): r["next"] for r in got} == want and len(got) == len(want)
+
+
 def test_next_steps_of_a_hot_owner(spark, monkeypatch):
     """A list that spans many ranges gives the same steps, and no probe meets more than its range."""
     rng = Random(3)
