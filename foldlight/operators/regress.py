@@ -200,7 +200,8 @@ def interpolate(
     """R6 for a table of boundaries: ``df`` with ``name``, linear between boundaries and flat outside.
 
     Distinct values and boundaries are sorted together in ranges that are written once; a range takes the nearest
-    boundary before and after it from one row per range, so no window spans the table. Null features
+    boundary before and after it from one row per range, so no window spans the table. The boundary after a value
+    is the last one passed in falling order: a frame open at its end is read again for every row. Null features
     have a null prediction.
     """
     values = df.select(P.col(feature).cast("double").alias("x")).filter("x IS NOT NULL").distinct()
@@ -210,13 +211,13 @@ def interpolate(
     parts = materialize(both.repartitionByRange("x").withColumn("_part", P.spark_partition_id()), "ranges")
     known = P.when(P.col("y").isNotNull(), P.struct("x", "y"))
     per_part = parts.groupBy("_part").agg(P.min(known).alias("first"), P.max(known).alias("last"))
-    ranges = Window.partitionBy(P.lit(0)).orderBy("_part")  # one row per range
-    before = P.last("last", ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, -1))
-    after = P.first("first", ignorenulls=True).over(ranges.rowsBetween(1, Window.unboundedFollowing))
+    ranges = Window.partitionBy(P.lit(0)).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    before = P.last("last", ignorenulls=True).over(ranges.orderBy("_part"))
+    after = P.last("first", ignorenulls=True).over(ranges.orderBy(P.desc("_part")))
     borders = per_part.select("_part", before.alias("_before"), after.alias("_after"))
-    inside = Window.partitionBy("_part").orderBy("x")
-    left = P.last(known, ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, 0))
-    right = P.first(known, ignorenulls=True).over(inside.rangeBetween(0, Window.unboundedFollowing))
+    inside = Window.partitionBy("_part").rangeBetween(Window.unboundedPreceding, 0)
+    left = P.last(known, ignorenulls=True).over(inside.orderBy("x"))
+    right = P.last(known, ignorenulls=True).over(inside.orderBy(P.desc("x")))
     near = parts.withColumns({"_left": left, "_right": right}).filter("y IS NULL").join(borders, "_part", "left")
     near = near.select("x", P.coalesce("_left", "_before").alias("a"), P.coalesce("_right", "_after").alias("b"))
     share = (P.col("x") - P.col("a.x")) / (P.col("b.x") - P.col("a.x"))

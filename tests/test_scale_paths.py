@@ -108,6 +108,19 @@ def test_isotonic_predictions_are_those_of_the_estimator(spark):
     assert all(a == pytest.approx(b) for a, b in pairs)
 
 
+def test_isotonic_predictions_read_each_row_of_a_range_once(spark):
+    """No window frame is open at its end: Spark reads such a frame again for every row, the square of a range."""
+    rng = np.random.default_rng(4)
+    x, at = np.unique(rng.integers(0, 3000, 1500)) / 3.0, rng.integers(-300, 3300, 3000) / 3.0
+    boundaries = spark.createDataFrame([(float(a), float(a * a)) for a in x], "boundary double, prediction double")
+    asked = spark.createDataFrame([(float(a),) for a in at], "feature double")
+    found = regress.interpolate(boundaries, asked)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    rows = found.collect()
+    assert len(rows) == 3000
+    assert [r.prediction for r in rows] == pytest.approx(np.interp([r.feature for r in rows], x, x * x).tolist())
+
+
 def test_isotonic_of_odd_tables(spark):
     df = spark.createDataFrame([(None, 1.0), (1.0, None), (2.0, 5.0), (2.0, 7.0)], "feature double, label double")
     assert [tuple(r) for r in regress.isotonic_boundaries(df).collect()] == [(2.0, 6.0)]
