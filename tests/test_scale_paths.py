@@ -473,6 +473,24 @@ def test_tree_rows_are_dealt_into_parts_that_do_not_grow(spark, monkeypatch):
     assert dealt == [["features", "label"]] * 3
 
 
+def test_boosting_goes_on_after_the_first_rounds(spark):
+    """A call without a number of rounds has those of Spark's estimator; they lower the error."""
+    from pyspark.ml.regression import GBTRegressor
+
+    x = F.col("id").cast("double")
+    rows = spark.range(0, 400, 1, 2).select((F.sin(x / 9) * 5 + x / 50).alias("label"), F.array(x, x % 7).alias("features"))
+    whole = regress.fit_boosted_trees_regressor(rows, depth=2)
+    assert len(whole.trees) == GBTRegressor().getMaxIter() == 20
+    few = regress.fit_boosted_trees_regressor(rows, rounds=3, depth=2)
+    assert len(few.trees) == 3
+
+    def squares(model):
+        found = regress.predict(model, rows)
+        return found.agg(F.sum((F.col("prediction") - F.col("label")) ** 2).alias("s")).first().s
+
+    assert squares(whole) < 0.9 * squares(few)
+
+
 def test_topic_steps_write_no_row_per_word_of_a_document(spark, monkeypatch):
     """Only the counts themselves are written at that size, once; each step writes words and documents."""
     written = []
